@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relscope.functions import labels as L
+from relscope.operators import comparisons as cmp
 from relscope.operators import scoring
 from relscope.plans import fixtures as fx
+from relscope.plans import oracle_compare as oc
 from relscope.plans import oracle_scoring as os_
+from relscope.plans.specs import FIXTURE_SPECS, spec_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, Callable[[], str] | None]] = {}
@@ -131,6 +134,102 @@ def q_row_correct(spark, sf_dir):
     return L.derive_labels(ok).select("pair_id", "run_id", "strategy", "correct")
 
 
+# --------------------------------------------------------------------------- comparisons
+def fixture_runs(spark, sf_dir):
+    """fx_runs: run summaries of fx_predictions + metadata from run_id, annotated."""
+    rs = scoring.run_summary(fx.predictions(spark, sf_dir))
+    meta = spark.sql(fx.run_metadata_sql("{rs}"), rs=rs)
+    return cmp.annotate_runs(meta)
+
+
+def _specs(spark):
+    return spec_frame(spark, FIXTURE_SPECS)
+
+
+_RUN_PAYLOAD = ["run_id", "run_seq", "model", "accuracy", "n_eff", "n_correct"]
+
+
+@register("dataset_tag", oc.dataset_tag)
+def q_dataset_tag(spark, sf_dir):
+    return fixture_runs(spark, sf_dir).select("run_id", "dataset_file", "ds")
+
+
+@register("n_eff", oc.n_eff)
+def q_n_eff(spark, sf_dir):
+    return fixture_runs(spark, sf_dir).select("run_id", "strategy", "ds", "accuracy", "n_eff",
+                                               "n_correct")
+
+
+@register("lookup_run", oc.lookup_run)
+def q_lookup_run(spark, sf_dir):
+    found = cmp.lookup_run(_specs(spark), fixture_runs(spark, sf_dir))
+    return found.select("spec_seq", "side", "n_matches", *[F.col(f"run.{c}").alias(c) for c in _RUN_PAYLOAD])
+
+
+@register("compare_runs", oc.compare_runs)
+def q_compare_runs(spark, sf_dir):
+    return cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir))
+
+
+@register("ordered_report", oc.ordered_report)
+def q_ordered_report(spark, sf_dir):
+    from pyspark.sql import Window
+    c = cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir))
+    # Result-sized (one row per spec): a global order is cheap here.
+    w = Window.orderBy("group_seq", "spec_seq")
+    return c.select(F.row_number().over(w).alias("report_pos"), "group_seq", "spec_seq",
+                    "group", "comparison")
+
+
+@register("missing_runs", oc.missing_runs)
+def q_missing_runs(spark, sf_dir):
+    return cmp.missing_runs(_specs(spark), fixture_runs(spark, sf_dir))
+
+
+@register("ambiguous_runs", oc.ambiguous_runs)
+def q_ambiguous_runs(spark, sf_dir):
+    return cmp.ambiguous_runs(_specs(spark), fixture_runs(spark, sf_dir))
+
+
+@register("first_run_per_key", oc.first_run_per_key)
+def q_first_run_per_key(spark, sf_dir):
+    f = cmp.first_run_per_key(fixture_runs(spark, sf_dir))
+    return f.select("strategy", "few_shot_n", "ds", "batch_size", "n_runs", *_RUN_PAYLOAD)
+
+
+@register("few_shot_dose_response", oc.few_shot_dose_response)
+def q_few_shot_dose_response(spark, sf_dir):
+    return cmp.few_shot_dose_response(fixture_runs(spark, sf_dir))
+
+
+@register("cross_model", oc.cross_model)
+def q_cross_model(spark, sf_dir):
+    return cmp.cross_model(fixture_runs(spark, sf_dir))
+
+
+@register("significance_summary", oc.significance_summary)
+def q_significance_summary(spark, sf_dir):
+    return cmp.significance_summary(cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir)))
+
+
+@register("two_prop_ztest", oc.two_prop_ztest)
+def q_two_prop_ztest(spark, sf_dir):
+    """Every run against the first run (by run_seq) of its strategy."""
+    runs = fixture_runs(spark, sf_dir)
+    base = cmp.first_run_per_key(runs, ["strategy"]).select(
+        "strategy", F.col("run_id").alias("base_run_id"), F.col("accuracy").alias("b_acc"),
+        F.col("n_eff").alias("b_n"), F.col("n_correct").alias("b_x"))
+    j = runs.join(F.broadcast(base), "strategy")  # one row per strategy: at most 4
+    return j.select("run_id", "strategy", "base_run_id",
+                    *cmp._ztest_cols(F.col("accuracy"), F.col("n_eff"), F.col("n_correct"),
+                                     F.col("b_acc"), F.col("b_n"), F.col("b_x")))
+
+
+@register("comparison_report", oc.comparison_report)
+def q_comparison_report(spark, sf_dir):
+    return cmp.comparison_report(cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
