@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from relscope.functions import labels as L
 from relscope.operators import comparisons as cmp
+from relscope.operators import human as hum
+from relscope.operators import ratings
 from relscope.operators import scoring
 from relscope.plans import fixtures as fx
 from relscope.plans import oracle_compare as oc
+from relscope.plans import oracle_ratings as orat
 from relscope.plans import oracle_scoring as os_
 from relscope.plans.specs import FIXTURE_SPECS, spec_frame
 
@@ -230,6 +233,46 @@ def q_comparison_report(spark, sf_dir):
     return cmp.comparison_report(cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir)))
 
 
+# --------------------------------------------------------------------------- ratings
+_ROUND = 9  # float sums depend on row order: compared results keep 9 decimals
+
+
+@register("rating_agreement", orat.rating_agreement)
+def q_rating_agreement(spark, sf_dir):
+    return ratings.rating_agreement(fx.ratings(spark, sf_dir), "pred_relevance", "h1",
+                                    keys=["run_id"], round_to=_ROUND)
+
+
+@register("rating_correlation", orat.rating_correlation)
+def q_rating_correlation(spark, sf_dir):
+    return ratings.rating_correlation(fx.ratings(spark, sf_dir), "pred_relevance", "h1",
+                                      keys=["run_id"], round_to=_ROUND)
+
+
+@register("rating_agreement_all", orat.rating_agreement_all)
+def q_rating_agreement_all(spark, sf_dir):
+    return ratings.rating_agreement_all(fx.ratings(spark, sf_dir), keys=["run_id"],
+                                        round_to=_ROUND)
+
+
+@register("attach_labels", orat.attach_labels)
+def q_attach_labels(spark, sf_dir):
+    d = fx.predictions(spark, sf_dir).filter(F.col("strategy") == "D")
+    labels = fx.ratings(spark, sf_dir).select("pair_id", "h1", "h2")
+    j = ratings.attach_labels(d, labels, "pair_id")
+    return j.select("pair_id", "run_id", "strategy", "pred_relevance", "h1", "h2")
+
+
+@register("human_agreement", orat.human_agreement)
+def q_human_agreement(spark, sf_dir):
+    return hum.human_agreement(fx.human(spark, sf_dir))
+
+
+@register("human_confusion", orat.human_confusion)
+def q_human_confusion(spark, sf_dir):
+    return hum.human_confusion(fx.human(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
