@@ -149,6 +149,12 @@ def _specs(spark):
     return spec_frame(spark, FIXTURE_SPECS)
 
 
+def _p6(df):
+    """Compared results keep p to 6 decimals (the oracle integrates the normal
+    density numerically; the library value itself is exact)."""
+    return df.withColumn("p_value", F.round("p_value", 6))
+
+
 _RUN_PAYLOAD = ["run_id", "run_seq", "model", "accuracy", "n_eff", "n_correct"]
 
 
@@ -171,7 +177,7 @@ def q_lookup_run(spark, sf_dir):
 
 @register("compare_runs", oc.compare_runs)
 def q_compare_runs(spark, sf_dir):
-    return cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir))
+    return _p6(cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir)))
 
 
 @register("ordered_report", oc.ordered_report)
@@ -202,12 +208,12 @@ def q_first_run_per_key(spark, sf_dir):
 
 @register("few_shot_dose_response", oc.few_shot_dose_response)
 def q_few_shot_dose_response(spark, sf_dir):
-    return cmp.few_shot_dose_response(fixture_runs(spark, sf_dir))
+    return _p6(cmp.few_shot_dose_response(fixture_runs(spark, sf_dir)))
 
 
 @register("cross_model", oc.cross_model)
 def q_cross_model(spark, sf_dir):
-    return cmp.cross_model(fixture_runs(spark, sf_dir))
+    return _p6(cmp.cross_model(fixture_runs(spark, sf_dir)))
 
 
 @register("significance_summary", oc.significance_summary)
@@ -223,9 +229,9 @@ def q_two_prop_ztest(spark, sf_dir):
         "strategy", F.col("run_id").alias("base_run_id"), F.col("accuracy").alias("b_acc"),
         F.col("n_eff").alias("b_n"), F.col("n_correct").alias("b_x"))
     j = runs.join(F.broadcast(base), "strategy")  # one row per strategy: at most 4
-    return j.select("run_id", "strategy", "base_run_id",
-                    *cmp._ztest_cols(F.col("accuracy"), F.col("n_eff"), F.col("n_correct"),
-                                     F.col("b_acc"), F.col("b_n"), F.col("b_x")))
+    return _p6(j.select("run_id", "strategy", "base_run_id",
+                        *cmp._ztest_cols(F.col("accuracy"), F.col("n_eff"), F.col("n_correct"),
+                                         F.col("b_acc"), F.col("b_n"), F.col("b_x"))))
 
 
 @register("comparison_report", oc.comparison_report)

@@ -81,7 +81,7 @@ def _z_cols() -> str:
 
 
 def _final_cols() -> str:
-    return f"diff_pp, z, {normal_p_sql('z')} AS p_value, coalesce({normal_p_sql('z')} < 0.05, FALSE) AS significant"
+    return f"diff_pp, z, round({normal_p_sql('z')}, 6) AS p_value, coalesce({normal_p_sql('z')} < 0.05, FALSE) AS significant"
 
 
 def ctes() -> dict[str, str]:
