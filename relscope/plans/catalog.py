@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from relscope.functions import labels as L
 from relscope.operators import comparisons as cmp
 from relscope.operators import human as hum
+from relscope.operators import prompting
+from relscope.operators import sampling
 from relscope.operators import ratings
 from relscope.operators import scoring
 from relscope.plans import fixtures as fx
 from relscope.plans import oracle_compare as oc
 from relscope.plans import oracle_ratings as orat
+from relscope.plans import oracle_sampling as osa
 from relscope.plans import oracle_scoring as os_
 from relscope.plans.specs import FIXTURE_SPECS, spec_frame
+from relscope.schema import STRATEGIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, Callable[[], str] | None]] = {}
@@ -279,6 +283,117 @@ def q_human_confusion(spark, sf_dir):
     return hum.human_confusion(fx.human(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- sampling
+_C = (0, 1, 2)
+
+
+def _pred_pairs(spark, sf_dir):
+    return fx.predictions(spark, sf_dir).select("pair_id", "support")
+
+
+@register("seeded_shuffle", osa.seeded_shuffle)
+def q_seeded_shuffle(spark, sf_dir):
+    return sampling.seeded_shuffle(_pred_pairs(spark, sf_dir)).select("pair_id", "shuffle_key", "pos")
+
+
+@register("stratified_sample", osa.stratified_sample)
+def q_stratified_sample(spark, sf_dir):
+    fs = sampling.stratified_sample(_pred_pairs(spark, sf_dir), 10, _C)
+    return fs.select("pair_id", "support", "example_seq")
+
+
+@register("stratified_sample_large", osa.stratified_sample_large)
+def q_stratified_sample_large(spark, sf_dir):
+    fs = sampling.stratified_sample(_pred_pairs(spark, sf_dir), 6000, _C)
+    return fs.select("pair_id", "support")
+
+
+@register("union_class_samples", osa.union_class_samples)
+def q_union_class_samples(spark, sf_dir):
+    return sampling.union_class_samples(_pred_pairs(spark, sf_dir), 10, _C).select("pair_id", "support")
+
+
+@register("eligible_pool", osa.eligible_pool)
+def q_eligible_pool(spark, sf_dir):
+    return sampling.eligible_pool(_pred_pairs(spark, sf_dir), STRATEGIES["B"].few_shot_pool)
+
+
+def _eval_set(spark, sf_dir):
+    pairs = _pred_pairs(spark, sf_dir)
+    return sampling.exclude_few_shot(pairs, sampling.stratified_sample(pairs, 10, _C))
+
+
+@register("exclude_few_shot", osa.exclude_few_shot)
+def q_exclude_few_shot(spark, sf_dir):
+    return _eval_set(spark, sf_dir).select("pair_id", "support")
+
+
+@register("limit_sample", osa.limit_sample)
+def q_limit_sample(spark, sf_dir):
+    return sampling.limit_sample(_eval_set(spark, sf_dir), 1000).select("pair_id", "pos")
+
+
+@register("assign_batches", osa.assign_batches)
+def q_assign_batches(spark, sf_dir):
+    ev = sampling.limit_sample(_eval_set(spark, sf_dir), None)
+    return sampling.assign_batches(ev, 20).select("pair_id", "batch_id", "item_pos")
+
+
+# --------------------------------------------------------------------------- prompts
+_FS_N = {"A": 7, "B": 10, "C": 10, "D": 10}
+
+
+def _text_pairs(spark, sf_dir):
+    rel = (F.length("arg2") % 5) * F.lit(0.25).cast("double")
+    return fx.pairs(spark, sf_dir).withColumn("relevance", rel)
+
+
+def _strategy_inputs(spark, sf_dir, letter, batch_size=10):
+    pairs = _text_pairs(spark, sf_dir)
+    fs = sampling.stratified_sample(pairs, _FS_N[letter], STRATEGIES[letter].few_shot_pool)
+    ev = sampling.limit_sample(sampling.exclude_few_shot(pairs, fs), None)
+    batched = sampling.assign_batches(ev, batch_size).withColumn("strategy", F.lit(letter))
+    return fs, batched
+
+
+@register("format_answer", osa.format_answer)
+def q_format_answer(spark, sf_dir):
+    from relscope.functions import prompts as P
+    p = _text_pairs(spark, sf_dir)
+    return p.select("pair_id", "support", *[
+        P.format_answer(s, F.col("support"), F.col("relevance")).alias(f"answer_{s.lower()}")
+        for s in "ABCD"])
+
+
+def _blocks(spark, sf_dir):
+    out = None
+    for s in "ABCD":
+        fs, _ = _strategy_inputs(spark, sf_dir, s)
+        b = prompting.few_shot_block(fs, s, relevance_col="relevance")
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@register("format_few_shot", osa.format_few_shot)
+def q_format_few_shot(spark, sf_dir):
+    return _blocks(spark, sf_dir)
+
+
+@register("format_pairs", osa.format_pairs)
+def q_format_pairs(spark, sf_dir):
+    _, batched = _strategy_inputs(spark, sf_dir, "C")
+    return prompting.format_pairs(batched).select("batch_id", "pairs_block", "n_items")
+
+
+@register("build_prompts", osa.build_prompts)
+def q_build_prompts(spark, sf_dir):
+    batched = None
+    for s in "ABCD":
+        _, b = _strategy_inputs(spark, sf_dir, s)
+        batched = b if batched is None else batched.unionByName(b)
+    return prompting.build_prompts(batched, _blocks(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
