@@ -17,10 +17,13 @@ from relscope.operators import human as hum
 from relscope.operators import prompting
 from relscope.operators import sampling
 from relscope.operators import ratings
+from relscope.operators import replies as rep
 from relscope.operators import scoring
 from relscope.plans import fixtures as fx
 from relscope.plans import oracle_compare as oc
 from relscope.plans import oracle_ratings as orat
+from relscope.plans import oracle_replies as orep
+from relscope.plans import replies_fixture as rfx
 from relscope.plans import oracle_sampling as osa
 from relscope.plans import oracle_scoring as os_
 from relscope.plans.specs import FIXTURE_SPECS, spec_frame
@@ -394,6 +397,47 @@ def q_build_prompts(spark, sf_dir):
     return prompting.build_prompts(batched, _blocks(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- replies
+_RKEYS = ("run_id", "strategy", "batch_id")
+
+
+def _parsed(spark, sf_dir):
+    return rep.parse_replies(rfx.build(spark, sf_dir), keys=_RKEYS)
+
+
+@register("extract_json_array", orep.extract_json_array)
+def q_extract_json_array(spark, sf_dir):
+    from relscope.functions.replies import extract_json_array
+    r = rfx.build(spark, sf_dir)
+    return r.select("run_id", "batch_id", extract_json_array(F.col("reply")).alias("array_text"))
+
+
+@register("parse_replies", orep.parse_replies)
+def q_parse_replies(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("run_id", "batch_id", "n_expected", "n_items_reply",
+                                         "parse_status")
+
+
+@register("decode_predictions", orep.decode_predictions)
+def q_decode_predictions(spark, sf_dir):
+    d = rep.decode_predictions(_parsed(spark, sf_dir), keys=_RKEYS)
+    return d.select("run_id", "batch_id", "item_pos", "pred_attack", "pred_support",
+                    "pred_neither", "pred_relevance", "off_rubric")
+
+
+@register("attach_replies", orep.attach_replies)
+def q_attach_replies(spark, sf_dir):
+    batched = rfx.batched_predictions(spark, sf_dir).select("pair_id", *_RKEYS, "item_pos")
+    j = rep.attach_replies(batched, _parsed(spark, sf_dir), keys=_RKEYS)
+    return j.select("pair_id", "run_id", "batch_id", "item_pos", "pred_attack", "pred_support",
+                    "pred_neither", "pred_relevance", "parse_status")
+
+
+@register("batch_failures", orep.batch_failures)
+def q_batch_failures(spark, sf_dir):
+    return rep.batch_failures(_parsed(spark, sf_dir), keys=("run_id",))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
