@@ -438,6 +438,36 @@ def q_batch_failures(spark, sf_dir):
     return rep.batch_failures(_parsed(spark, sf_dir), keys=("run_id",))
 
 
+# --------------------------------------------------------------------------- inference
+def _eval_inputs(spark, sf_dir):
+    from relscope.operators import inference
+    return inference.plan_batches(_text_pairs(spark, sf_dir), "ABCD", few_shot_n=10,
+                                  batch_size=10, relevance_col="relevance")
+
+
+@register("batched_inference", osa.batched_inference)
+def q_batched_inference(spark, sf_dir):
+    """Prompts of all four strategies through the local stub model."""
+    from relscope.operators import inference
+    from relscope.operators.stub_model import stub_factory
+    batched, blocks = _eval_inputs(spark, sf_dir)
+    prompts = prompting.build_prompts(batched, blocks)
+    out = inference.batched_inference(prompts, stub_factory, max_retries=2, retry_wait=0.0)
+    return out.select("strategy", "batch_id", "n_items", "reply", "attempts", "error")
+
+
+@register("evaluate_pairs", osa.evaluate_pairs)
+def q_evaluate_pairs(spark, sf_dir):
+    """sample -> exclude -> batch -> prompt -> infer (stub) -> parse -> predictions."""
+    from relscope.operators import inference
+    from relscope.operators.stub_model import stub_factory
+    preds = inference.evaluate_pairs(_text_pairs(spark, sf_dir), "ABCD", stub_factory,
+                                     few_shot_n=10, batch_size=10, retry_wait=0.0,
+                                     relevance_col="relevance")
+    return preds.select("pair_id", "strategy", "support", "batch_id", "item_pos", "pred_attack",
+                        "pred_support", "pred_neither", "pred_relevance", "parse_status")
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -128,12 +128,13 @@ def _block_sql(strategy: str, fs: str) -> str:
   FROM {fs}"""
 
 
-def _strategy_ctes() -> str:
+def _strategy_ctes(fs_n=None) -> str:
+    fs_n = fs_n or _FS_N
     out = []
     for s in "ABCD":
         classes = (0, 1, 2) if s in "CD" else (0, 1)
         src = f"(SELECT *, {REL} AS relevance FROM fx_pairs)"
-        out.append(f"o_fs_{s} AS ({_sample_cte(src, _FS_N[s], classes)}\n)")
+        out.append(f"o_fs_{s} AS ({_sample_cte(src, fs_n[s], classes)}\n)")
         out.append(f"o_blk_{s} AS ({_block_sql(s, f'o_fs_{s}')}\n)")
         out.append(f"""o_ev_{s} AS (
   SELECT '{s}' AS strategy, e.*, row_number() OVER (ORDER BY {key('e.pair_id')}, e.pair_id) - 1 AS pos
@@ -163,7 +164,7 @@ def format_pairs() -> str:
         f", o_pb AS ({_pairs_block('o_ev_C')}\n)\nSELECT batch_id, pairs_block, n_items FROM o_pb"
 
 
-def build_prompts() -> str:
+def build_prompts(fs_n=None, tail_sql=None) -> str:
     union = " UNION ALL ".join(f"SELECT * FROM o_ev_{s}" for s in "ABCD")
     blocks = " UNION ALL ".join(f"SELECT strategy, few_shot_block FROM o_blk_{s}" for s in "ABCD")
     cases = []
@@ -172,8 +173,69 @@ def build_prompts() -> str:
         blk = "CASE WHEN few_shot_block IS NULL OR few_shot_block = '' THEN chr(10) ELSE chr(10) || few_shot_block || chr(10) END"
         cases.append(f"WHEN '{s}' THEN {sql_str(head)} || {blk} || pairs_block || {sql_str(respond)} "
                      f"|| CAST(n_items AS VARCHAR) || {sql_str(tail)}")
-    return with_clause(["fx_pairs"]) + _strategy_ctes() + f""",
+    body = f"""
+  SELECT p.strategy, p.batch_id, p.n_items, CASE p.strategy {' '.join(cases)} END AS prompt
+  FROM o_pb p LEFT JOIN o_bl b ON b.strategy = p.strategy"""
+    head = with_clause(["fx_pairs"]) + _strategy_ctes(fs_n) + f""",
 o_pb AS ({_pairs_block('(' + union + ')')}
-), o_bl AS ({blocks})
-SELECT p.strategy, p.batch_id, p.n_items, CASE p.strategy {' '.join(cases)} END AS prompt
-FROM o_pb p LEFT JOIN o_bl b ON b.strategy = p.strategy"""
+), o_bl AS ({blocks})"""
+    if tail_sql is None:
+        return head + body
+    return head + f", o_prompts AS ({body}\n), o_evall AS ({union})\n" + tail_sql
+
+
+_STUB_H = "md5(prompt)"
+
+
+def _stub_label(i: str) -> str:
+    return f"ascii(substr(h, ({i}) % 32 + 1, 1)) % 3"
+
+
+def _stub_item(label: str) -> str:
+    a = f"CAST(CASE WHEN {label} = 0 THEN 1 ELSE 0 END AS STRING)"
+    sup_b = f"CAST(CASE WHEN {label} = 0 THEN 0 ELSE 1 END AS STRING)"
+    s_ = f"CAST(CASE WHEN {label} = 1 THEN 1 ELSE 0 END AS STRING)"
+    n_ = f"CAST(CASE WHEN {label} = 2 THEN 1 ELSE 0 END AS STRING)"
+    r_ = f"CAST({label} * CAST(0.25 AS DOUBLE) AS STRING)"
+    return (f"CASE strategy WHEN 'A' THEN '{{\"attack\": ' || {a} || '}}' "
+            f"WHEN 'B' THEN '{{\"attack\": ' || {a} || ', \"support\": ' || {sup_b} || '}}' "
+            f"WHEN 'C' THEN '{{\"attack\": ' || {a} || ', \"support\": ' || {s_} || ', \"neither\": ' || {n_} || '}}' "
+            f"ELSE '{{\"attack\": ' || {a} || ', \"support\": ' || {s_} || ', \"neither\": ' || {n_} "
+            f"|| ', \"relevance\": ' || {r_} || '}}' END")
+
+
+EVAL_FS_N = {"A": 10, "B": 10, "C": 10, "D": 10}
+
+
+def batched_inference() -> str:
+    tail = f"""
+SELECT strategy, batch_id, n_items,
+       CASE WHEN substr(h, 1, 1) = '0' THEN NULL
+            ELSE '[' || array_to_string(list_transform(
+                   range(0, n_items + CASE WHEN substr(h, 1, 1) = '1' THEN 1 ELSE 0 END),
+                   lambda i: {_stub_item(_stub_label('i'))}), ', ') || ']' END AS reply,
+       CAST(CASE WHEN substr(h, 1, 1) = '0' THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+       CASE WHEN substr(h, 1, 1) = '0' THEN 'RuntimeError: model unavailable' END AS error
+FROM (SELECT *, {_STUB_H} AS h FROM o_prompts) t"""
+    return build_prompts(EVAL_FS_N, tail)
+
+
+def evaluate_pairs() -> str:
+    lab = _stub_label("e.item_pos")
+    tail = f"""
+SELECT e.pair_id, e.strategy, e.support, e.batch_id, e.item_pos,
+       CASE WHEN st = 'ok' THEN CAST(CASE WHEN {lab} = 0 THEN 1 ELSE 0 END AS INTEGER) END AS pred_attack,
+       CASE WHEN st = 'ok' AND e.strategy = 'B' THEN CAST(CASE WHEN {lab} = 0 THEN 0 ELSE 1 END AS INTEGER)
+            WHEN st = 'ok' AND e.strategy IN ('C', 'D') THEN CAST(CASE WHEN {lab} = 1 THEN 1 ELSE 0 END AS INTEGER)
+       END AS pred_support,
+       CASE WHEN st = 'ok' AND e.strategy IN ('C', 'D') THEN CAST(CASE WHEN {lab} = 2 THEN 1 ELSE 0 END AS INTEGER)
+       END AS pred_neither,
+       CASE WHEN st = 'ok' AND e.strategy = 'D' THEN {lab} * CAST(0.25 AS DOUBLE) END AS pred_relevance,
+       st AS parse_status
+FROM (SELECT *, CAST(floor(pos / 10) AS BIGINT) AS batch_id, CAST(pos % 10 AS INTEGER) AS item_pos
+      FROM o_evall) e
+JOIN (SELECT strategy, batch_id, {_STUB_H} AS h,
+             CASE WHEN substr({_STUB_H}, 1, 1) = '0' THEN 'call_failed'
+                  WHEN substr({_STUB_H}, 1, 1) = '1' THEN 'wrong_count' ELSE 'ok' END AS st
+      FROM o_prompts) p ON p.strategy = e.strategy AND p.batch_id = e.batch_id"""
+    return build_prompts(EVAL_FS_N, tail)
