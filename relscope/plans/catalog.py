@@ -468,6 +468,181 @@ def q_evaluate_pairs(spark, sf_dir):
                         "pred_support", "pred_neither", "pred_relevance", "parse_status")
 
 
+# --------------------------------------------------------------------------- sources / sinks
+_PAIR_COLS = ["arg1", "arg2", "support", "type"]
+_CSV_W = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+          "ignoreTrailingWhiteSpace": False}
+
+
+def _scratch(spark, name):
+    from relscope.session import scratch_dir
+    return scratch_dir(spark, name)
+
+
+@register("read_pairs_csv", osa.read_pairs_plain)
+def q_read_pairs_csv(spark, sf_dir):
+    from relscope.sources.pairs import read_pairs_csv
+    path = _scratch(spark, "pairs-csv") + "/pairs.csv"
+    fx.pairs(spark, sf_dir).select(*_PAIR_COLS).write.options(**_CSV_W).csv(path)
+    return read_pairs_csv(spark, path).select(*_PAIR_COLS)
+
+
+@register("read_pairs", osa.read_pairs_plain)
+def q_read_pairs(spark, sf_dir):
+    from relscope.sources.pairs import read_pairs
+    path = _scratch(spark, "pairs-parquet") + "/pairs.parquet"
+    fx.pairs(spark, sf_dir).select(*_PAIR_COLS).write.parquet(path)
+    return read_pairs(spark, path).select(*_PAIR_COLS)
+
+
+@register("read_pairs_arrow", osa.read_pairs_plain)
+def q_read_pairs_arrow(spark, sf_dir):
+    from relscope.sources.pairs import read_pairs_arrow, write_pairs_arrow
+    path = _scratch(spark, "pairs-arrow")
+    write_pairs_arrow(fx.pairs(spark, sf_dir).repartition(3), path).collect()  # file list only
+    return read_pairs_arrow(spark, path).select(*_PAIR_COLS)
+
+
+@register("check_inputs", osa.check_inputs)
+def q_check_inputs(spark, sf_dir):
+    from relscope.sources.pairs import check_inputs
+    return check_inputs(fx.pairs(spark, sf_dir)).select("pair_id")
+
+
+_PRED_COLS = ["pair_id", "run_id", "strategy", "support", "pred_attack", "pred_support",
+              "pred_neither", "pred_relevance"]
+
+
+@register("read_predictions", osa.predictions_plain)
+def q_read_predictions(spark, sf_dir):
+    from relscope.sources.predictions import read_predictions
+    from relscope.sources.sinks import write_predictions
+    path = _scratch(spark, "pred-csv")
+    write_predictions(fx.predictions(spark, sf_dir), path, fmt="csv")
+    return read_predictions(spark, path, fmt="csv").select(*_PRED_COLS)
+
+
+@register("write_predictions", osa.predictions_plain)
+def q_write_predictions(spark, sf_dir):
+    from relscope.sources.sinks import write_predictions
+    path = _scratch(spark, "pred-parquet")
+    write_predictions(fx.predictions(spark, sf_dir), path)
+    return spark.read.parquet(path).select(*_PRED_COLS)
+
+
+@register("rename_outputs", osa.rename_outputs)
+def q_rename_outputs(spark, sf_dir):
+    from relscope.sources.sinks import rename_outputs, with_support_label
+    d = rename_outputs(with_support_label(fx.predictions(spark, sf_dir)))
+    return d.select("pair_id", "`support [true value]`", "support_label")
+
+
+_RUN_COLS = ["run_id", "model", "strategy", "few_shot_n", "dataset_file", "batch_size",
+             "n_evaluated", "accuracy", "macro_f1", "true_positive_attack", "precision_attack",
+             "f1_score_no_relation"]
+
+
+@register("read_runs", oc.runs_plain)
+def q_read_runs(spark, sf_dir):
+    from relscope.sources.runs import read_runs
+    path = _scratch(spark, "runs-csv")
+    fixture_runs(spark, sf_dir).select(*_RUN_COLS).coalesce(1).write.options(**_CSV_W).csv(path)
+    r = read_runs(spark, path)
+    return r.select(F.col("run_id").try_cast("long").alias("run_id"), *_RUN_COLS[1:])
+
+
+@register("union_runs", oc.union_runs)
+def q_union_runs(spark, sf_dir):
+    from relscope.sources.runs import union_runs
+    runs = fixture_runs(spark, sf_dir).select(*_RUN_COLS)
+    old = runs.filter("run_id < 40")
+    new = runs.filter("run_id >= 40").drop("macro_f1")
+    return union_runs(old, new).select(*_RUN_COLS)
+
+
+@register("append_run_summary", os_.run_summary)
+def q_append_run_summary(spark, sf_dir):
+    from relscope.sources.sinks import append_run_summary
+    path = _scratch(spark, "overview")
+    summ = scoring.run_summary(fx.predictions(spark, sf_dir))
+    append_run_summary(summ.filter("run_id < 40"), path)
+    append_run_summary(summ.filter("run_id >= 40"), path)
+    return spark.read.parquet(path)
+
+
+@register("write_annotated_runs", oc.n_eff_plain)
+def q_write_annotated_runs(spark, sf_dir):
+    from relscope.sources.sinks import write_annotated_runs
+    path = _scratch(spark, "annotated")
+    write_annotated_runs(fixture_runs(spark, sf_dir).select("run_id", "ds", "n_eff", "n_correct"), path)
+    r = spark.read.option("header", True).csv(path)
+    return r.select(*[F.col(c).try_cast("long").alias(c) if c != "ds" else F.col(c)
+                      for c in ("run_id", "ds", "n_eff", "n_correct")])
+
+
+@register("write_comparisons", oc.comparisons_plain)
+def q_write_comparisons(spark, sf_dir):
+    from relscope.schema import COMPARISON_COLS
+    from relscope.sources.sinks import write_comparisons
+    path = _scratch(spark, "comparisons")
+    write_comparisons(cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir)), path)
+    r = spark.read.option("header", True).option("escape", '"').csv(path)
+    types = {"acc1": "double", "n1": "long", "acc2": "double", "n2": "long", "diff_pp": "double",
+             "z": "double", "p_value": "double", "significant": "boolean"}
+    out = r.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c)
+                     for c in COMPARISON_COLS])
+    return _p6(out)
+
+
+@register("write_report", oc.report_plain)
+def q_write_report(spark, sf_dir):
+    from relscope.sources.sinks import write_report
+    path = _scratch(spark, "report")
+    write_report(cmp.comparison_report(cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir))), path)
+    return spark.read.text(path)
+
+
+@register("write_annotation_sample", osa.annotation_sample)
+def q_write_annotation_sample(spark, sf_dir):
+    from relscope.sources.sinks import write_annotation_sample
+    path = _scratch(spark, "annotation")
+    write_annotation_sample(fx.pairs(spark, sf_dir), path, n=30)
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return r.select("pair_id", F.col("support").try_cast("long").alias("support"), "support_label",
+                    F.col("relevance").try_cast("double").alias("relevance"))
+
+
+@register("read_human_labels", orat.human_labels_plain)
+def q_read_human_labels(spark, sf_dir):
+    from relscope.sources.predictions import read_human_labels
+    path = _scratch(spark, "labels")
+    (fx.human(spark, sf_dir).select(F.col("doc_id").alias("orig_idx"), F.col("gold").alias("support"),
+                                    F.col("human").alias("support human labeled"))
+     .coalesce(1).write.options(**_CSV_W).csv(path))
+    return read_human_labels(spark, path).select("orig_idx", "support", "support_human")
+
+
+# --------------------------------------------------------------------------- streaming
+@register("stream_predictions", orep.parse_replies)
+def q_stream_predictions(spark, sf_dir):
+    from relscope.streaming.jobs import stream_predictions
+    src = _scratch(spark, "reply-files")
+    rfx.build(spark, sf_dir).repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    out = stream_predictions(spark, src, schema)
+    return spark.read.parquet(out).select("run_id", "batch_id", "n_expected", "n_items_reply",
+                                          "parse_status")
+
+
+@register("stream_run_summary", os_.run_summary)
+def q_stream_run_summary(spark, sf_dir):
+    from relscope.streaming.jobs import stream_run_summary
+    src = _scratch(spark, "prediction-files")
+    fx.predictions(spark, sf_dir).repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return stream_run_summary(spark, src, schema)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

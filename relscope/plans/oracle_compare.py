@@ -241,3 +241,33 @@ UNION ALL
 SELECT 3, 0, 0, 0, printf('Of %d comparisons, **%d** are significant at α = 0.05 and **%d** are not.',
                           count(*), count_if(significant), count_if(NOT significant))
 FROM o_cmp"""
+
+
+_RUN_COLS = ("run_id, model, strategy, few_shot_n, dataset_file, batch_size, n_evaluated, accuracy, "
+             "macro_f1, true_positive_attack, precision_attack, f1_score_no_relation")
+
+
+def runs_plain() -> str:
+    return _w("fx_runs") + f"SELECT {_RUN_COLS} FROM fx_runs"
+
+
+def union_runs() -> str:
+    return _w("fx_runs") + f"""
+SELECT {_RUN_COLS} FROM fx_runs WHERE run_id < 40
+UNION ALL
+SELECT {_RUN_COLS.replace("macro_f1", "CAST(NULL AS DOUBLE) AS macro_f1")} FROM fx_runs WHERE run_id >= 40"""
+
+
+def n_eff_plain() -> str:
+    return _w("o_runs") + "SELECT run_id, ds, n_eff, n_correct FROM o_runs"
+
+
+def comparisons_plain() -> str:
+    return _w("o_cmp") + """
+SELECT "group", comparison, strategy, factor, ds, group1, acc1, n1, group2, acc2, n2, diff_pp, z,
+       p_value, significant
+FROM o_cmp"""
+
+
+def report_plain() -> str:
+    return "SELECT line AS value FROM (" + comparison_report() + ") r"

@@ -133,3 +133,8 @@ SELECT 'C' AS strategy, t.class AS y_true, t.class_seq AS true_seq, p.class AS y
        p.class_seq AS pred_seq,
        (SELECT count(*) FROM fx_human h WHERE h.gold = t.class_seq AND h.human = p.class_seq) AS n
 FROM o_cls t, o_cls p"""
+
+
+def human_labels_plain() -> str:
+    return with_clause(["fx_human"]) + \
+        "SELECT doc_id AS orig_idx, gold AS support, human AS support_human FROM fx_human"

@@ -239,3 +239,33 @@ JOIN (SELECT strategy, batch_id, {_STUB_H} AS h,
                   WHEN substr({_STUB_H}, 1, 1) = '1' THEN 'wrong_count' ELSE 'ok' END AS st
       FROM o_prompts) p ON p.strategy = e.strategy AND p.batch_id = e.batch_id"""
     return build_prompts(EVAL_FS_N, tail)
+
+
+def read_pairs_plain() -> str:
+    return with_clause(["fx_pairs"]) + "SELECT arg1, arg2, support, type FROM fx_pairs"
+
+
+def check_inputs() -> str:
+    return with_clause(["fx_pairs"]) + "SELECT pair_id FROM fx_pairs"
+
+
+def predictions_plain() -> str:
+    return with_clause(["fx_predictions"]) + """
+SELECT pair_id, run_id, strategy, support, pred_attack, pred_support, pred_neither, pred_relevance
+FROM fx_predictions"""
+
+
+def rename_outputs() -> str:
+    return with_clause(["fx_predictions"]) + """
+SELECT pair_id, support AS "support [true value]",
+       CASE support WHEN 0 THEN 'Attack' WHEN 1 THEN 'Support' WHEN 2 THEN 'No Relation' END AS support_label
+FROM fx_predictions"""
+
+
+def annotation_sample() -> str:
+    return with_clause(["fx_pairs"]) + ", o_fs AS (" + _sample_cte("fx_pairs", 30, (0, 1, 2)) + """
+)
+SELECT pair_id, support,
+       CASE support WHEN 0 THEN 'Attack' WHEN 1 THEN 'Support' WHEN 2 THEN 'No Relation' END AS support_label,
+       CAST(NULL AS DOUBLE) AS relevance
+FROM o_fs"""

@@ -51,14 +51,11 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the shared checkpoint folder.
+    """A new, unique path (not yet created) below the shared checkpoint folder.
 
     Used for written intermediate tables (cutting lineage) and for the
     round trips of the source / sink queries.  Never a machine-local temp dir
     unless the session names none.
     """
     root = _checkpoint_root(spark)
-    path = os.path.join(root, "relscope", f"{name}-{uuid.uuid4().hex[:12]}")
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return os.path.join(root, "relscope", f"{name}-{uuid.uuid4().hex[:12]}")

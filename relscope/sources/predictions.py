@@ -23,7 +23,7 @@ LABEL_RENAMES = {
 }
 _CSV = {"header": True, "multiLine": True, "escape": '"'}
 
-_TYPES = {"orig_idx": "long", "support": "long", "pred_attack": "int", "pred_support": "int",
+_TYPES = {"orig_idx": "long", "run_id": "long", "support": "long", "pred_attack": "int", "pred_support": "int",
           "pred_neither": "int", "pred_relevance": "double", "h1": "double", "h2": "double",
           "support_human": "long", "relevance": "double"}
 
