@@ -205,7 +205,8 @@ def comparison_report(comparisons: DataFrame) -> DataFrame:
             head.append((i, g, 1, 0, GROUP_NOTES[g]))
         head.append((i, g, 2, 0, "| Comparison | acc1 (n1) | acc2 (n2) | diff (pp) | z | p-value | Sig? |"))
         head.append((i, g, 2, 1, "|---|---|---|---|---|---|---|"))
-    heads = spark.createDataFrame(head, "group_seq int, group string, part int, seq int, line string")
+    from relscope.session import values_frame
+    heads = values_frame(spark, head, "group_seq int, group string, part int, seq int, line string")
     present = comparisons.select("group_seq").distinct()
     heads = heads.join(F.broadcast(present), "group_seq", "left_semi").drop("group")
 

@@ -8,16 +8,17 @@ Global positions without a one-partition window
 -----------------------------------------------
 ``seeded_shuffle`` numbers every row 0..N-1 in key order:
 
-1. bucket = first ``bucket_digits`` hex digits of the key (16**digits buckets,
-   uniform because the key is a hash of a unique id);
-2. count rows per (group, bucket) -- a partial aggregate, so the shuffle holds
-   at most ``groups x 16**digits`` rows whatever N is;
-3. running offsets over that small table;
+1. rows per group (a partial aggregate: one row per group);
+2. bucket = first d hex digits of the key, d chosen per group so that a bucket
+   holds about ``ROWS_PER_BUCKET`` rows (uniform, because the key is a hash of
+   a unique id);
+3. count rows per (group, bucket) -- again a partial aggregate, at most
+   N / ROWS_PER_BUCKET + groups rows -- and running offsets over it;
 4. position = offset of the bucket + row_number() inside the bucket.
 
-Step 4's window is partitioned by the bucket, so each window task sorts about
-N / 16**digits rows; raise ``bucket_digits`` with the data (4 digits = 65,536
-buckets: ~1.5 M rows per bucket at 1e11 rows).
+Step 4's window is partitioned by (group, bucket) and the offset join uses the
+same keys, so the data is shuffled once; each window task sorts about
+``ROWS_PER_BUCKET`` rows however large or skewed a group is.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
-BUCKET_DIGITS = 4
+# Target rows per window task of the position numbering, and the most hex
+# digits a bucket may use (16**6 = 16.7 M buckets per group).
+ROWS_PER_BUCKET = 200_000
+MAX_DIGITS = 6
 # Quotas up to this size use the WindowGroupLimit plan (top-k per class before
 # the shuffle); larger ones use global positions per class.
 SMALL_QUOTA = 1000
@@ -37,25 +41,39 @@ def order_key(seed: int = DEFAULT_SEED, id_col: str = "pair_id") -> Column:
 
 
 def seeded_shuffle(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "pair_id",
-                   group_cols=(), pos_col: str = "pos", bucket_digits: int = BUCKET_DIGITS,
-                   bounded_groups: bool = True) -> DataFrame:
+                   group_cols=(), pos_col: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET,
+                   bounded_groups: bool = True, max_digits: int = MAX_DIGITS) -> DataFrame:
     """Adds ``pos`` (0-based position in seeded random order, per group) and
-    ``shuffle_key``.  ``bounded_groups`` says the group columns have a small,
-    known number of values (e.g. three classes): then the bucket-offset table
-    (groups x 16**digits rows) is broadcast."""
+    ``shuffle_key``.
+
+    The number of buckets adapts to each group's size: a group of n rows is
+    split on the first ``d = ceil(log16(n / rows_per_bucket))`` hex digits of
+    the key, so every window task sorts about ``rows_per_bucket`` rows -- a
+    hot group holding a third of the data gets many buckets, a small group
+    one.  ``bounded_groups`` says the group columns have few values (classes,
+    strategies): the per-group size table is then broadcast."""
     groups = list(group_cols)
-    keyed = df.withColumn("shuffle_key", order_key(seed, id_col)).withColumn(
-        "_bucket", F.conv(F.substring("shuffle_key", 1, bucket_digits), 16, 10).cast("int"))
-    counts = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select(*groups, "_bucket",
-                            (F.sum("_n").over(run) - F.col("_n")).alias("_offset"))
-    if bounded_groups:
-        offsets = F.broadcast(offsets)
-    inner = Window.partitionBy(*groups, "_bucket").orderBy("shuffle_key", id_col)
-    out = (keyed.join(offsets, groups + ["_bucket"])
+    keyed = df.withColumn("shuffle_key", order_key(seed, id_col))
+    gk = groups if groups else ["_g"]
+    if not groups:
+        keyed = keyed.withColumn("_g", F.lit(0))
+    sizes = keyed.groupBy(*gk).agg(F.count(F.lit(1)).alias("_gn"))
+    digits = F.least(F.lit(max_digits), F.greatest(F.lit(0), F.ceil(
+        F.log(16.0, F.col("_gn") / F.lit(float(rows_per_bucket)))))).cast("int")
+    sizes = sizes.select(*gk, digits.alias("_d"))
+    if bounded_groups or not groups:
+        sizes = F.broadcast(sizes)   # one row per group value
+    keyed = keyed.join(sizes, gk).withColumn(
+        "_bucket", F.when(F.col("_d") == 0, F.lit(0)).otherwise(
+            F.conv(F.expr("substring(shuffle_key, 1, _d)"), 16, 10).cast("long")))
+    counts = keyed.groupBy(*gk, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*gk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = counts.select(*gk, "_bucket", (F.sum("_n").over(run) - F.col("_n")).alias("_offset"))
+    inner = Window.partitionBy(*gk, "_bucket").orderBy("shuffle_key", id_col)
+    out = (keyed.join(offsets, gk + ["_bucket"])
            .withColumn(pos_col, F.col("_offset") + F.row_number().over(inner) - 1))
-    return out.drop("_bucket", "_offset")
+    drop = ["_bucket", "_offset", "_d"] + ([] if groups else ["_g"])
+    return out.drop(*drop)
 
 
 def class_quotas(n: int, classes) -> dict:

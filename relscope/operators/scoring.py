@@ -157,8 +157,9 @@ def accuracy(pred: DataFrame, keys=None) -> DataFrame:
 
 def class_dimension(spark) -> DataFrame:
     """(strategy, class, class_seq) for every scored class: a fixed 10-row table."""
+    from relscope.session import values_frame
     rows = [(s.letter, cls, i) for s in STRATEGIES.values() for i, cls in enumerate(s.classes)]
-    return spark.createDataFrame(rows, "strategy string, class string, class_seq int")
+    return values_frame(spark, rows, "strategy string, class string, class_seq int")
 
 
 def _run_classes(cells: DataFrame, k: list[str]) -> DataFrame:
@@ -200,20 +201,29 @@ def predicted_flag_counts(pred: DataFrame, keys=None) -> DataFrame:
                  .alias("predicted_count_no_relation")))
 
 
+def class_grid(spark) -> DataFrame:
+    """(strategy, y_true, true_seq, y_pred, pred_seq): every class pair of each
+    strategy -- fixed size (26 rows), so it is the broadcast side."""
+    dim = class_dimension(spark)
+    t = dim.select("strategy", F.col("class").alias("y_true"), F.col("class_seq").alias("true_seq"))
+    p = dim.select("strategy", F.col("class").alias("y_pred"), F.col("class_seq").alias("pred_seq"))
+    return t.join(p, "strategy")
+
+
 def confusion_matrix(pred: DataFrame, keys=None, wide: bool = False) -> DataFrame:
     """True x predicted counts over scored rows, every class pair of the strategy.
 
     Long form ``(keys, strategy, y_true, y_pred, n)``; ``wide=True`` pivots the
-    predicted labels with an explicit value list (no extra distinct pass)."""
+    predicted labels with an explicit value list (no extra distinct pass).
+    The cells are computed once; runs x grid is built from them and the fixed
+    class grid, so the prediction rows are read once."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k).filter(F.col("valid") & F.col("y_pred").isNotNull())
-    counts = (cells.withColumn("y_true", y_true("strategy", "support"))
+    cells = prediction_cells(pred, k)
+    runs = cells.select(*k, "strategy").distinct()
+    grid = runs.join(F.broadcast(class_grid(cells.sparkSession)), "strategy")
+    counts = (cells.filter(F.col("valid") & F.col("y_pred").isNotNull())
+              .withColumn("y_true", y_true("strategy", "support"))
               .groupBy(*k, "strategy", "y_true", "y_pred").agg(F.sum("n").cast("long").alias("n")))
-    rc = _run_classes(prediction_cells(pred, k), k)
-    grid = (rc.select(*k, "strategy", F.col("class").alias("y_true"),
-                      F.col("class_seq").alias("true_seq"))
-            .join(rc.select(*k, "strategy", F.col("class").alias("y_pred"),
-                            F.col("class_seq").alias("pred_seq")), k + ["strategy"]))
     long = (grid.join(counts, k + ["strategy", "y_true", "y_pred"], "left")
             .select(*k, "strategy", "y_true", "true_seq", "y_pred", "pred_seq",
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
@@ -223,11 +233,11 @@ def confusion_matrix(pred: DataFrame, keys=None, wide: bool = False) -> DataFram
             .pivot("y_pred", list(_EVAL_CLASSES)).agg(F.first("n")))
 
 
-def class_metrics(pred: DataFrame, keys=None) -> DataFrame:
+def class_metrics(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> DataFrame:
     """TP, FP, FN, TN, precision, recall, F1 per run and class of the strategy,
     plus ``count_ok``: TP+FP+FN+TN equals the scored rows for every class."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k)
+    cells = prediction_cells(pred, k) if cells is None else cells
     a = _cell_aggregates(cells, k)
     rc = _run_classes(cells, k)
     j = rc.join(a, k + ["strategy"])
@@ -238,7 +248,7 @@ def class_metrics(pred: DataFrame, keys=None) -> DataFrame:
             c = cls.replace(" ", "_").replace("-", "_").lower()
             e = F.when(F.col("class") == cls, F.col(f"_{part}_{c}")).otherwise(e)
         sel[part] = e
-    out = j.select(*k, "strategy", "class", "class_seq", "n_scored",
+    out = j.select(*k, "strategy", "class", "class_seq", "n_scored", "n_valid", "n_evaluated",
                    sel["tp"].alias("tp"), sel["fp"].alias("fp"),
                    sel["fn"].alias("fn"), sel["tn"].alias("tn"))
     prec = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
@@ -253,14 +263,14 @@ def macro_f1(pred: DataFrame, keys=None) -> DataFrame:
     """Mean F1 over the strategy's classes (summed in class order, so the value
     is bit-identical to the summary's) and the count of skipped rows."""
     k = _keys(pred, keys)
-    cm = class_metrics(pred, k)
+    cells = prediction_cells(pred, k)
+    cm = class_metrics(pred, k, cells=cells)
     ordered = F.array_sort(F.collect_list(F.struct("class_seq", "f1")))
     total = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x["f1"])
-    f1_tab = cm.groupBy(*k, "strategy").agg((total / F.count(F.lit(1))).alias("macro_f1"))
-    counts = (prediction_cells(pred, k).groupBy(*k, "strategy")
-              .agg(_n_if(F.col("valid") & F.col("y_pred").isNull()).alias("n_skipped"),
-                   _n_if(~F.col("valid")).alias("n_missing")))
-    return f1_tab.join(counts, k + ["strategy"])
+    return cm.groupBy(*k, "strategy").agg(
+        (total / F.count(F.lit(1))).alias("macro_f1"),
+        F.max(F.col("n_valid") - F.col("n_scored")).alias("n_skipped"),
+        F.max(F.col("n_evaluated") - F.col("n_valid")).alias("n_missing"))
 
 
 def count_check(pred: DataFrame, keys=None) -> DataFrame:

@@ -120,10 +120,12 @@ def spec_frame(spark: SparkSession, rows=None) -> DataFrame:
     """Spec table with ``spec_seq`` (row order) and ``group_seq`` (report order)."""
     rows = STUDY_SPECS if rows is None else rows
     order = {g: i for i, (g, _) in enumerate(GROUP_TITLES)}
+    from relscope.session import values_frame
     data = [(i, order.get(r[0], len(order))) + tuple(r) for i, r in enumerate(rows)]
-    return spark.createDataFrame(data, "spec_seq int, group_seq int, " + SPEC_SCHEMA)
+    return values_frame(spark, data, "spec_seq int, group_seq int, " + SPEC_SCHEMA)
 
 
 def group_frame(spark: SparkSession) -> DataFrame:
+    from relscope.session import values_frame
     data = [(i, g, t, GROUP_NOTES.get(g)) for i, (g, t) in enumerate(GROUP_TITLES)]
-    return spark.createDataFrame(data, "group_seq int, group string, title string, note string")
+    return values_frame(spark, data, "group_seq int, group string, title string, note string")

@@ -59,3 +59,29 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     root = _checkpoint_root(spark)
     return os.path.join(root, "relscope", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def values_frame(spark: SparkSession, rows, schema: str):
+    """A small fixed table as a JVM-side local relation (SQL VALUES).
+
+    Unlike ``createDataFrame`` on a Python list, no Python worker is involved
+    when the plan runs, and Catalyst sees the exact size (so it can broadcast)."""
+    cols = [c.strip().split(" ", 1) for c in schema.split(",")]
+    names = [c[0] for c in cols]
+    casts = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in cols)
+    if not rows:
+        nulls = ", ".join(f"CAST(NULL AS {t}) AS `{n}`" for n, t in cols)
+        return spark.sql(f"SELECT {nulls} WHERE FALSE")
+    vals = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    alias = ", ".join(f"`{n}`" for n in names)
+    return spark.sql(f"SELECT {casts} FROM VALUES {vals} AS t({alias})")

@@ -27,13 +27,21 @@ def test_class_with_fewer_rows_than_quota(spark):
 
 def test_seeded_shuffle_positions_are_dense_and_match_brute_force(spark):
     pred = fx.predictions(spark, SF_SMALL).select("pair_id")
-    got = sampling.seeded_shuffle(pred, bucket_digits=2).select("pair_id", "pos").toPandas()
+    got = sampling.seeded_shuffle(pred, rows_per_bucket=50).select("pair_id", "pos").toPandas()
     assert sorted(got.pos) == list(range(len(got)))
     import hashlib
     brute = sorted(got.pair_id, key=lambda p: (hashlib.md5(f"42|{p}".encode()).hexdigest(), p))
     assert list(got.sort_values("pos").pair_id) == brute
 
 
+def test_grouped_positions_with_many_buckets(spark):
+    df = _ids(spark, 600)
+    got = sampling.seeded_shuffle(df, group_cols=["support"], rows_per_bucket=7).toPandas()
+    for _, g in got.groupby("support"):
+        assert sorted(g.pos) == list(range(len(g)))
+        assert list(g.sort_values("pos").shuffle_key) == sorted(g.shuffle_key)
+
+
 def test_large_quota_path_equals_small_quota_path(spark):
     df = _ids(spark, 3000)
     old = sampling.SMALL_QUOTA
