@@ -43,17 +43,33 @@ def split_rejects(pred: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prediction_cells(pred: DataFrame, keys=None) -> DataFrame:
-    """Collapse prediction rows into scoring cells (the one row-sized pass)."""
+    """Collapse prediction rows into scoring cells (the one row-sized pass).
+
+    The row-level stage only groups by the raw values -- run keys, strategy,
+    gold and the three flags -- with a map-side partial count; the label rules
+    (validity, predicted label, correctness) are then evaluated on the cells,
+    which are few (runs x gold x flag combinations).  Consumers aggregate the
+    cells with conditional sums, never with filters on derived labels, so the
+    optimizer has nothing to push back into the row-level stage."""
     k = _keys(pred, keys)
     cols = k + ["strategy", "support", "pred_attack", "pred_support", "pred_neither"]
     scored, _ = split_rejects(pred.select(*cols))
-    d = derive_labels(scored)
-    return (d.groupBy(*k, "strategy", "support", "valid", "y_pred")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.coalesce(F.sum("correct"), F.lit(0)).cast("long").alias("n_correct"),
-                 F.sum(F.coalesce("pred_attack", F.lit(0))).cast("long").alias("flag_attack"),
-                 F.sum(F.coalesce("pred_support", F.lit(0))).cast("long").alias("flag_support"),
-                 F.sum(F.coalesce("pred_neither", F.lit(0))).cast("long").alias("flag_neither")))
+    raw = scored.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    d = derive_labels(raw)
+    n = F.col("n")
+    # Optimization fence: the labels reference the cell count (n >= 1, so the
+    # values are unchanged).  Predicates on them -- including the not-null
+    # constraints Catalyst infers from later joins -- then stay on the small
+    # cell table instead of being inlined into the row-level scan filter.
+    fence = n > 0
+    d = d.withColumns({"valid": F.when(fence, F.col("valid")),
+                       "y_pred": F.when(fence, F.col("y_pred")),
+                       "correct": F.when(fence, F.col("correct"))})
+    return d.select(*k, "strategy", "support", "valid", "y_pred", "n",
+                    (F.coalesce(F.col("correct"), F.lit(0)) * n).cast("long").alias("n_correct"),
+                    (F.coalesce("pred_attack", F.lit(0)) * n).cast("long").alias("flag_attack"),
+                    (F.coalesce("pred_support", F.lit(0)) * n).cast("long").alias("flag_support"),
+                    (F.coalesce("pred_neither", F.lit(0)) * n).cast("long").alias("flag_neither"))
 
 
 def _n_if(cond: Column) -> Column:
@@ -171,9 +187,9 @@ def _run_classes(cells: DataFrame, k: list[str]) -> DataFrame:
 def gold_distribution(pred: DataFrame, keys=None) -> DataFrame:
     """Valid rows per true label, for each class of the strategy (0 when absent)."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k).filter("valid")
+    cells = prediction_cells(pred, k)
     counts = (cells.withColumn("class", y_true("strategy", "support"))
-              .groupBy(*k, "strategy", "class").agg(F.sum("n").cast("long").alias("n_gold")))
+              .groupBy(*k, "strategy", "class").agg(_n_if(F.col("valid")).alias("n_gold")))
     return (_run_classes(cells, k).join(counts, k + ["strategy", "class"], "left")
             .select(*k, "strategy", "class", "class_seq",
                     F.coalesce("n_gold", F.lit(0)).cast("long").alias("n_gold")))
@@ -182,10 +198,9 @@ def gold_distribution(pred: DataFrame, keys=None) -> DataFrame:
 def predicted_distribution(pred: DataFrame, keys=None) -> DataFrame:
     """Valid rows per predicted label (nulls left out), for each class of the strategy."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k).filter("valid")
-    counts = (cells.filter(F.col("y_pred").isNotNull())
-              .groupBy(*k, "strategy", F.col("y_pred").alias("class"))
-              .agg(F.sum("n").cast("long").alias("n_pred")))
+    cells = prediction_cells(pred, k)
+    counts = (cells.groupBy(*k, "strategy", F.col("y_pred").alias("class"))
+              .agg(_n_if(F.col("valid")).alias("n_pred")))
     return (_run_classes(cells, k).join(counts, k + ["strategy", "class"], "left")
             .select(*k, "strategy", "class", "class_seq",
                     F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred")))
@@ -221,9 +236,9 @@ def confusion_matrix(pred: DataFrame, keys=None, wide: bool = False) -> DataFram
     cells = prediction_cells(pred, k)
     runs = cells.select(*k, "strategy").distinct()
     grid = runs.join(F.broadcast(class_grid(cells.sparkSession)), "strategy")
-    counts = (cells.filter(F.col("valid") & F.col("y_pred").isNotNull())
-              .withColumn("y_true", y_true("strategy", "support"))
-              .groupBy(*k, "strategy", "y_true", "y_pred").agg(F.sum("n").cast("long").alias("n")))
+    counts = (cells.withColumn("y_true", y_true("strategy", "support"))
+              .groupBy(*k, "strategy", "y_true", "y_pred")
+              .agg(_n_if(F.col("valid") & F.col("y_pred").isNotNull()).alias("n")))
     long = (grid.join(counts, k + ["strategy", "y_true", "y_pred"], "left")
             .select(*k, "strategy", "y_true", "true_seq", "y_pred", "pred_seq",
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
