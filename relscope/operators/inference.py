@@ -82,20 +82,30 @@ def persist_replies(replies_df: DataFrame, name: str = "replies") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def plan_batches(pairs: DataFrame, strategies, few_shot_n: int = 0, limit: int | None = None,
+def plan_batches(pairs: DataFrame, strategies, few_shot_n=0, limit: int | None = None,
                  batch_size: int = 10, seed: int = sampling.DEFAULT_SEED,
                  relevance_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per strategy: few-shot sample, evaluation rows (minus the sample, then
-    the limit), batches.  Returns (batched rows, few-shot blocks), each with a
-    ``strategy`` column, all strategies in one plan."""
-    batched, blocks = None, None
-    for s in check_strategies(strategies):
-        fs = sampling.stratified_sample(pairs, few_shot_n, STRATEGIES[s].few_shot_pool, seed)
-        ev = sampling.limit_sample(sampling.exclude_few_shot(pairs, fs), limit, seed)
-        b = sampling.assign_batches(ev, batch_size).withColumn("strategy", F.lit(s))
-        blk = prompting.few_shot_block(fs, s, relevance_col)
-        batched = b if batched is None else batched.unionByName(b)
-        blocks = blk if blocks is None else blocks.unionByName(blk)
+    """All strategies in one plan: every pair is repeated once per strategy
+    (a generator, not a join), then few-shot sample per (strategy, class),
+    exclusion, positions per strategy, limit and batches -- one pass over the
+    pairs and one shuffle for the positions, whatever the number of strategies.
+
+    ``few_shot_n`` is an int or a dict strategy -> n.  Returns (batched rows,
+    few-shot blocks); both carry ``strategy``."""
+    letters = check_strategies(strategies)
+    n_by = few_shot_n if isinstance(few_shot_n, dict) else {s: few_shot_n for s in letters}
+    per = pairs.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in letters])))
+    pools = {s: STRATEGIES[s].few_shot_pool for s in letters}
+    n_pos = {s: n for s, n in n_by.items() if n > 0 and s in letters}
+    if n_pos:
+        fs = sampling.stratified_sample_by(per, n_pos, pools, "strategy", seed)
+        ev = sampling.exclude_few_shot(per, fs, group_cols=["strategy"])
+    else:
+        fs, ev = None, per
+    ev = sampling.limit_sample(ev, limit, seed, group_cols=["strategy"])
+    batched = sampling.assign_batches(ev, batch_size)
+    sample = fs if fs is not None else per.limit(0).withColumn("example_seq", F.lit(0))
+    blocks = prompting.few_shot_blocks(sample, letters, relevance_col)
     return batched, blocks
 
 

@@ -39,6 +39,31 @@ def few_shot_block(sample: DataFrame | None, strategy: str, relevance_col: str |
                       block.alias("few_shot_block"))
 
 
+def few_shot_blocks(sample: DataFrame, strategies, relevance_col: str | None = None,
+                    class_col: str = "support") -> DataFrame:
+    """``few_shot_block`` for several strategies in one aggregation over a
+    sample carrying a ``strategy`` column; every listed strategy gets a row
+    (zero-shot ones an empty block).  D without a relevance column is zero-shot."""
+    from relscope.session import values_frame
+    letters = list(strategies)
+    has_rel = relevance_col is not None and relevance_col in sample.columns
+    rel = F.col(relevance_col) if has_rel else F.lit(None).cast("double")
+    ans = F.lit(None).cast("string")
+    for s in letters:
+        ans = F.when(F.col("strategy") == s, P.format_answer(s, F.col(class_col), rel)).otherwise(ans)
+    ex = P.format_example(F.col("example_seq"), F.col("arg1"), F.col("arg2"), ans)
+    usable = sample if has_rel else sample.filter(F.col("strategy") != "D")
+    agg = usable.groupBy("strategy").agg(
+        F.count(F.lit(1)).alias("n_examples"),
+        P.ordered_join(ex, F.col("example_seq"), "\n\n").alias("_examples"))
+    block = F.concat(F.format_string(P.FEW_SHOT_HEADER, F.col("n_examples")), F.lit("\n\n"),
+                     F.col("_examples"), F.lit("\n\n"), F.lit(P.FEW_SHOT_FOOTER))
+    names = values_frame(sample.sparkSession, [(s,) for s in letters], "strategy string")
+    return (names.join(agg, "strategy", "left")   # <= 4 strategies on the left
+            .select("strategy", F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
+                    F.coalesce(block, F.lit("")).alias("few_shot_block")))
+
+
 def format_pairs(batched: DataFrame, keys=("strategy", "batch_id")) -> DataFrame:
     """Per batch: the numbered pairs block and the item count."""
     keys = [k for k in keys if k in batched.columns]

@@ -118,6 +118,32 @@ def stratified_sample(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED,
     return picked.withColumn("example_seq", F.row_number().over(seq))
 
 
+def stratified_sample_by(df: DataFrame, n_by_group: dict, pools: dict, group_col: str = "strategy",
+                         seed: int = DEFAULT_SEED, id_col: str = "pair_id",
+                         class_col: str = "support") -> DataFrame:
+    """``stratified_sample`` for several groups (e.g. strategies) in one plan:
+    each group has its own n and class pool; the window is partitioned by
+    (group, class) and still gets the WindowGroupLimit pre-filter."""
+    quota = F.lit(0)
+    top = 0
+    for g, n in n_by_group.items():
+        for c, q in class_quotas(n, pools[g]).items():
+            top = max(top, q)
+            quota = F.when((F.col(group_col) == g) & (F.col(class_col) == c), F.lit(q)).otherwise(quota)
+    keyed = df.withColumn("shuffle_key", order_key(seed, id_col)).withColumn("_quota", quota)
+    keyed = keyed.filter(F.col("_quota") > 0)
+    if top <= SMALL_QUOTA:
+        w = Window.partitionBy(group_col, class_col).orderBy("shuffle_key", id_col)
+        picked = (keyed.withColumn("_rn", F.row_number().over(w))
+                  .filter((F.col("_rn") <= max(top, 1)) & (F.col("_rn") <= F.col("_quota"))))
+    else:
+        picked = (seeded_shuffle(keyed.drop("shuffle_key"), seed, id_col, [group_col, class_col], "_rn")
+                  .filter(F.col("_rn") < F.col("_quota")))
+    seq = Window.partitionBy(group_col).orderBy(
+        F.md5(F.concat_ws("|", F.lit("fs"), F.col("shuffle_key"))), id_col)
+    return picked.drop("_rn", "_quota").withColumn("example_seq", F.row_number().over(seq))
+
+
 def union_class_samples(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED,
                         id_col: str = "pair_id", class_col: str = "support") -> DataFrame:
     """Per-class samples concatenated with unionByName: equivalent to
@@ -134,18 +160,22 @@ def union_class_samples(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED
     return out
 
 
-def exclude_few_shot(df: DataFrame, few_shot: DataFrame, id_col: str = "pair_id") -> DataFrame:
-    """Evaluation rows = all rows minus the sampled examples.  The sample has
-    at most n rows (a parameter), so it is the broadcast side."""
-    return df.join(F.broadcast(few_shot.select(id_col)), id_col, "left_anti")
+def exclude_few_shot(df: DataFrame, few_shot: DataFrame, id_col: str = "pair_id",
+                     group_cols=()) -> DataFrame:
+    """Evaluation rows = all rows minus the sampled examples (per group when
+    ``group_cols`` is given).  The sample has at most n rows per group (a
+    parameter), so it is the broadcast side."""
+    keys = list(group_cols) + [id_col]
+    return df.join(F.broadcast(few_shot.select(*keys)), keys, "left_anti")
 
 
 def limit_sample(df: DataFrame, limit: int | None, seed: int = DEFAULT_SEED,
-                 id_col: str = "pair_id", pos_col: str = "pos") -> DataFrame:
+                 id_col: str = "pair_id", pos_col: str = "pos", group_cols=()) -> DataFrame:
     """First ``limit`` rows in seeded order (all rows when limit is None), with
-    their 0-based position.  Positions come from ``seeded_shuffle``, so any
-    limit -- including none -- runs distributed."""
-    out = seeded_shuffle(df, seed, id_col, pos_col=pos_col)
+    their 0-based position (per group when ``group_cols`` is given).
+    Positions come from ``seeded_shuffle``, so any limit -- including none --
+    runs distributed."""
+    out = seeded_shuffle(df, seed, id_col, group_cols=group_cols, pos_col=pos_col)
     return out if limit is None else out.filter(F.col(pos_col) < limit)
 
 

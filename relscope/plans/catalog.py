@@ -368,18 +368,15 @@ def q_format_answer(spark, sf_dir):
         for s in "ABCD"])
 
 
-def _blocks(spark, sf_dir):
-    out = None
-    for s in "ABCD":
-        fs, _ = _strategy_inputs(spark, sf_dir, s)
-        b = prompting.few_shot_block(fs, s, relevance_col="relevance")
-        out = b if out is None else out.unionByName(b)
-    return out
+def _all_strategies(spark, sf_dir, fs_n=None):
+    from relscope.operators import inference
+    return inference.plan_batches(_text_pairs(spark, sf_dir), "ABCD", few_shot_n=fs_n or _FS_N,
+                                  batch_size=10, relevance_col="relevance")
 
 
 @register("format_few_shot", osa.format_few_shot)
 def q_format_few_shot(spark, sf_dir):
-    return _blocks(spark, sf_dir)
+    return _all_strategies(spark, sf_dir)[1]
 
 
 @register("format_pairs", osa.format_pairs)
@@ -390,11 +387,8 @@ def q_format_pairs(spark, sf_dir):
 
 @register("build_prompts", osa.build_prompts)
 def q_build_prompts(spark, sf_dir):
-    batched = None
-    for s in "ABCD":
-        _, b = _strategy_inputs(spark, sf_dir, s)
-        batched = b if batched is None else batched.unionByName(b)
-    return prompting.build_prompts(batched, _blocks(spark, sf_dir))
+    batched, blocks = _all_strategies(spark, sf_dir)
+    return prompting.build_prompts(batched, blocks)
 
 
 # --------------------------------------------------------------------------- replies
