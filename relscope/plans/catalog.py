@@ -493,7 +493,7 @@ def q_read_pairs(spark, sf_dir):
 def q_read_pairs_arrow(spark, sf_dir):
     from relscope.sources.pairs import read_pairs_arrow, write_pairs_arrow
     path = _scratch(spark, "pairs-arrow")
-    write_pairs_arrow(fx.pairs(spark, sf_dir).repartition(3), path).collect()  # file list only
+    write_pairs_arrow(fx.pairs(spark, sf_dir).repartition(3), path).write.format("noop").mode("overwrite").save()
     return read_pairs_arrow(spark, path).select(*_PAIR_COLS)
 
 
