@@ -75,7 +75,9 @@ def batched_inference(prompts: DataFrame, client_factory: ClientFactory, max_ret
 
 
 def persist_replies(replies_df: DataFrame, name: str = "replies") -> DataFrame:
-    """Write replies to the shared checkpoint folder and read them back."""
+    """Write a frame (replies, or any intermediate worth keeping) to the shared
+    checkpoint folder and read it back: the lineage is cut, and a lost
+    executor later never recomputes what is behind it."""
     spark = replies_df.sparkSession
     path = scratch_dir(spark, name)
     replies_df.write.mode("overwrite").parquet(path)
@@ -122,13 +124,14 @@ def evaluate_pairs(pairs: DataFrame, strategies, client_factory: ClientFactory,
     item_pos, decoded flags and the batch's ``parse_status``."""
     batched, blocks = plan_batches(pairs, strategies, few_shot_n, limit, batch_size, seed,
                                    relevance_col)
-    prompts = prompting.build_prompts(batched, blocks)
+    # Each batch row carries its members, so the replies are attached row-locally.
+    members = [c for c in ("pair_id", "support", "orig_idx") if c in batched.columns]
+    prompts = prompting.build_prompts(batched, blocks, member_cols=members)
     raw = batched_inference(prompts, client_factory, max_retries, retry_wait, delay_seconds,
                             parallelism)
     raw = raw.select("strategy", "batch_id", F.col("n_items").alias("n_expected"),
-                     "reply", "attempts", "error")
+                     "reply", "attempts", "error", "members")
     if persist:
         raw = persist_replies(raw)
-    parsed = replies.parse_replies(raw, keys=("strategy", "batch_id"))
-    keep = [c for c in batched.columns if not c.startswith("pred_")]
-    return replies.attach_replies(batched.select(*keep), parsed, keys=("strategy", "batch_id"))
+    parsed = replies.parse_replies(raw, keys=("strategy", "batch_id", "members"))
+    return replies.explode_replies(parsed)

@@ -64,21 +64,25 @@ def few_shot_blocks(sample: DataFrame, strategies, relevance_col: str | None = N
                     F.coalesce(block, F.lit("")).alias("few_shot_block")))
 
 
-def format_pairs(batched: DataFrame, keys=("strategy", "batch_id")) -> DataFrame:
-    """Per batch: the numbered pairs block and the item count."""
+def format_pairs(batched: DataFrame, keys=("strategy", "batch_id"), member_cols=()) -> DataFrame:
+    """Per batch: the numbered pairs block and the item count; with
+    ``member_cols``, also ``members`` = the batch's rows (item_pos + those
+    columns) in order, so replies can later be attached without a join."""
     keys = [k for k in keys if k in batched.columns]
     item = P.format_pair(F.col("item_pos"), F.col("arg1"), F.col("arg2"))
-    return batched.groupBy(*keys).agg(
-        P.ordered_join(item, F.col("item_pos"), "\n\n").alias("pairs_block"),
-        F.count(F.lit(1)).alias("n_items"))
+    aggs = [P.ordered_join(item, F.col("item_pos"), "\n\n").alias("pairs_block"),
+            F.count(F.lit(1)).alias("n_items")]
+    if member_cols:
+        aggs.append(F.array_sort(F.collect_list(F.struct("item_pos", *member_cols))).alias("members"))
+    return batched.groupBy(*keys).agg(*aggs)
 
 
-def build_prompts(batched: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """``(strategy, batch_id, n_items, prompt)`` for every batch.
+def build_prompts(batched: DataFrame, blocks: DataFrame | None = None, member_cols=()) -> DataFrame:
+    """``(strategy, batch_id, n_items, prompt[, members])`` for every batch.
 
     ``batched`` has strategy, batch_id, item_pos, arg1, arg2; ``blocks`` has
     one few-shot row per strategy (or is None for zero-shot everywhere)."""
-    pairs = format_pairs(batched)
+    pairs = format_pairs(batched, member_cols=member_cols)
     if blocks is not None:
         pairs = pairs.join(F.broadcast(blocks.select("strategy", "few_shot_block")),
                            "strategy", "left")  # <= 4 rows: one per strategy
@@ -88,4 +92,5 @@ def build_prompts(batched: DataFrame, blocks: DataFrame | None = None) -> DataFr
     expr = F.lit(None).cast("string")
     for letter in sorted(STRATEGIES, reverse=True):
         expr = F.when(F.col("strategy") == letter, P.prompt(letter, fsb, pb, n)).otherwise(expr)
-    return pairs.select("strategy", "batch_id", "n_items", expr.alias("prompt"))
+    extra = ["members"] if member_cols else []
+    return pairs.select("strategy", "batch_id", "n_items", expr.alias("prompt"), *extra)

@@ -48,21 +48,42 @@ def decode_predictions(parsed: DataFrame, keys=("strategy", "batch_id")) -> Data
     ex = ok.select(*keys, F.posexplode("items").alias("item_pos", "item"))
     s = F.col("strategy") if "strategy" in keys else F.lit("D")
     # Every flag key present is decoded, whatever the strategy asked for.
-    cols = [R.decode_flag(R.raw_value(F.col("item"), k)).alias(f"pred_{k}") for k in _FLAG_KEYS]
-    rel = F.when(s == "D", R.decode_relevance(R.raw_value(F.col("item"), "relevance")))
-    return ex.select(*keys, F.col("item_pos").cast("int").alias("item_pos"), *cols,
-                     rel.alias("pred_relevance"),
-                     (rel.isNotNull() & ~rel.isin(*RUBRIC)).alias("off_rubric"))
+    out = ex.select(*keys, F.col("item_pos").cast("int").alias("item_pos"),
+                    *_decoded_cols(F.col("item"), s))
+    rel = F.col("pred_relevance")
+    return out.withColumn("off_rubric", rel.isNotNull() & ~rel.isin(*RUBRIC))
+
+
+def _decoded_cols(item, strategy):
+    cols = [R.decode_flag(R.raw_value(item, k)).alias(f"pred_{k}") for k in _FLAG_KEYS]
+    rel = F.when(strategy == "D", R.decode_relevance(R.raw_value(item, "relevance")))
+    return cols + [rel.alias("pred_relevance")]
 
 
 def attach_replies(batched: DataFrame, parsed: DataFrame, keys=("strategy", "batch_id")) -> DataFrame:
-    """Item *i* of a reply belongs to row *i* of its batch.  Left join on
-    ``(keys, item_pos)`` so failed batches keep their rows with null flags."""
+    """Item *i* of a reply belongs to row *i* of its batch.
+
+    One left join of the pair rows with the per-batch parse result (a batch
+    row holds at most ``batch_size`` items); the item is then picked by
+    position, so the pairs of a failed batch keep their rows with null flags."""
     keys = [k for k in keys if k in batched.columns and k in parsed.columns]
-    items = decode_predictions(parsed, keys)
-    status = parsed.select(*keys, "parse_status")
-    return (batched.join(items, keys + ["item_pos"], "left")
-            .join(status, keys, "left"))
+    j = batched.join(parsed.select(*keys, "parse_status", "items"), keys, "left")
+    ok = F.col("parse_status") == R.STATUS_OK
+    item = F.when(ok, F.try_element_at(F.col("items"), F.col("item_pos") + 1))
+    s = F.col("strategy") if "strategy" in j.columns else F.lit("D")
+    return j.select(*batched.columns, *_decoded_cols(item, s), "parse_status")
+
+
+def explode_replies(parsed: DataFrame, members: str = "members") -> DataFrame:
+    """Row-local attach for batch rows that carry their members
+    (``array<struct<item_pos, pair_id, ...>>``): one output row per member with
+    its decoded item -- no join, no shuffle.  Failed batches keep their rows."""
+    keep = [c for c in parsed.columns if c not in (members, "items", "array_text", "reply")]
+    ex = parsed.select(*keep, "items", F.explode(members).alias("_m"))
+    ok = F.col("parse_status") == R.STATUS_OK
+    item = F.when(ok, F.try_element_at(F.col("items"), F.col("_m.item_pos") + 1))
+    s = F.col("strategy") if "strategy" in keep else F.lit("D")
+    return ex.select(*keep, "_m.*", *_decoded_cols(item, s)).drop("items")
 
 
 def batch_failures(parsed: DataFrame, keys=("strategy",)) -> DataFrame:

@@ -52,9 +52,9 @@ def batched_predictions(spark, sf_dir) -> DataFrame:
     return sampling.assign_batches(pos, BATCH)
 
 
-def build(spark, sf_dir) -> DataFrame:
+def build(spark, sf_dir, batched: DataFrame | None = None) -> DataFrame:
     """(run_id, strategy, batch_id, n_expected, reply)."""
-    b = batched_predictions(spark, sf_dir)
+    b = batched if batched is not None else batched_predictions(spark, sf_dir)
     items = b.select("run_id", "strategy", "batch_id", "item_pos",
                      _item(False).alias("it"), _item(True).alias("it_s"),
                      _item(False, F.col("item_pos") == 0).alias("it_n"))
