@@ -23,11 +23,18 @@ _BASE_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[8]", shuffle_partitions: int | None = None,
                   app_name: str = "relscope", extra: dict | None = None) -> SparkSession:
+    """Session for local runs and tests.  On a cluster, use the cluster's
+    session: shuffle partitions are then left to the cluster default and AQE
+    (coalescing, skew-join splitting) sizes them from the measured data."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(_BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is None and master.startswith("local"):
+        inner = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
+        shuffle_partitions = os.cpu_count() if inner == "*" else int(inner)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -42,7 +49,12 @@ def _checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        # Only reached in tests / local runs: the cluster always names one.
+        # Only local runs and tests may get a machine-local folder; a cluster
+        # must name a shared one, or written intermediates would be lost with
+        # the executor that wrote them.
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="relscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
