@@ -35,7 +35,7 @@ def parse_replies(replies: DataFrame, keys=("strategy", "batch_id")) -> DataFram
               .when(bad_any, F.lit(R.STATUS_BAD_VALUE))
               .otherwise(F.lit(R.STATUS_OK)))
     return d.select(*keys, "n_expected", "array_text",
-                    F.when(F.col("_items").isNotNull(), F.size("_items")).alias("n_items_reply"),
+                    F.when(F.col("_items").isNotNull(), F.size("_items")).cast("long").alias("n_items_reply"),
                     status.alias("parse_status"), F.col("_items").alias("items"))
 
 

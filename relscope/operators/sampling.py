@@ -115,7 +115,7 @@ def stratified_sample(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED,
         picked = ranked.filter(F.col("_rn") < quota).drop("_rn")
     # The sample has at most n rows (a parameter), so ordering it globally is bounded.
     seq = Window.orderBy(F.md5(F.concat_ws("|", F.lit("fs"), F.col("shuffle_key"))), id_col)
-    return picked.withColumn("example_seq", F.row_number().over(seq))
+    return picked.withColumn("example_seq", F.row_number().over(seq).cast("long"))
 
 
 def stratified_sample_by(df: DataFrame, n_by_group: dict, pools: dict, group_col: str = "strategy",
@@ -141,7 +141,7 @@ def stratified_sample_by(df: DataFrame, n_by_group: dict, pools: dict, group_col
                   .filter(F.col("_rn") < F.col("_quota")))
     seq = Window.partitionBy(group_col).orderBy(
         F.md5(F.concat_ws("|", F.lit("fs"), F.col("shuffle_key"))), id_col)
-    return picked.drop("_rn", "_quota").withColumn("example_seq", F.row_number().over(seq))
+    return picked.drop("_rn", "_quota").withColumn("example_seq", F.row_number().over(seq).cast("long"))
 
 
 def union_class_samples(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED,

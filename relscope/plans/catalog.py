@@ -193,7 +193,7 @@ def q_ordered_report(spark, sf_dir):
     c = cmp.compare_runs(_specs(spark), fixture_runs(spark, sf_dir))
     # Result-sized (one row per spec): a global order is cheap here.
     w = Window.orderBy("group_seq", "spec_seq")
-    return c.select(F.row_number().over(w).alias("report_pos"), "group_seq", "spec_seq",
+    return c.select(F.row_number().over(w).cast("long").alias("report_pos"), "group_seq", "spec_seq",
                     "group", "comparison")
 
 
@@ -517,7 +517,7 @@ def q_read_predictions(spark, sf_dir):
     from relscope.sources.sinks import write_predictions
     path = _scratch(spark, "pred-csv")
     write_predictions(fx.predictions(spark, sf_dir), path, fmt="csv")
-    return read_predictions(spark, path, fmt="csv").select(*_PRED_COLS)
+    return read_predictions(spark, path, fmt="csv").select(*_PRED_COLS)  # support: long
 
 
 @register("write_predictions", osa.predictions_plain)
@@ -525,7 +525,7 @@ def q_write_predictions(spark, sf_dir):
     from relscope.sources.sinks import write_predictions
     path = _scratch(spark, "pred-parquet")
     write_predictions(fx.predictions(spark, sf_dir), path)
-    return spark.read.parquet(path).select(*_PRED_COLS)
+    return spark.read.parquet(path).select(*_PRED_COLS).withColumn("support", F.col("support").cast("long"))
 
 
 @register("rename_outputs", osa.rename_outputs)
@@ -645,5 +645,23 @@ def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's returns BIGINT.  Cast every
+    count_if(...) in the oracle text so both schemas agree."""
+    out, i, tag = [], 0, "count_if("
+    while True:
+        j = sql.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth = j + len(tag), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"CAST({sql[j:k]} AS BIGINT)")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1]() for k, v in REGISTRY.items() if v[1] is not None}
+    return {k: _bigint_counts(v[1]()) for k, v in REGISTRY.items() if v[1] is not None}

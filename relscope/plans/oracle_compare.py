@@ -248,7 +248,9 @@ _RUN_COLS = ("run_id, model, strategy, few_shot_n, dataset_file, batch_size, n_e
 
 
 def runs_plain() -> str:
-    return _w("fx_runs") + f"SELECT {_RUN_COLS} FROM fx_runs"
+    cols = _RUN_COLS.replace("few_shot_n,", "CAST(few_shot_n AS BIGINT) AS few_shot_n,").replace(
+        "batch_size,", "CAST(batch_size AS BIGINT) AS batch_size,")
+    return _w("fx_runs") + f"SELECT {cols} FROM fx_runs"
 
 
 def union_runs() -> str:

@@ -137,4 +137,5 @@ FROM o_cls t, o_cls p"""
 
 def human_labels_plain() -> str:
     return with_clause(["fx_human"]) + \
-        "SELECT doc_id AS orig_idx, gold AS support, human AS support_human FROM fx_human"
+        ("SELECT doc_id AS orig_idx, CAST(gold AS BIGINT) AS support, "
+         "CAST(human AS BIGINT) AS support_human FROM fx_human")

@@ -251,7 +251,8 @@ def check_inputs() -> str:
 
 def predictions_plain() -> str:
     return with_clause(["fx_predictions"]) + """
-SELECT pair_id, run_id, strategy, support, pred_attack, pred_support, pred_neither, pred_relevance
+SELECT pair_id, run_id, strategy, CAST(support AS BIGINT) AS support, pred_attack, pred_support,
+       pred_neither, pred_relevance
 FROM fx_predictions"""
 
 
