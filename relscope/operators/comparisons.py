@@ -188,6 +188,8 @@ def comparison_report(comparisons: DataFrame) -> DataFrame:
     groups 3 and 3b, then the list of significant results and the count line.
     Every group with results gets a table (the published report omits group 6)."""
     spark = comparisons.sparkSession
+    from relscope.session import ship_package
+    ship_package(spark)
     fmt = lambda c, s: py_format(F.col(c).cast("double"), F.lit(s))
     rows = comparisons.select(
         "group_seq", F.lit(3).alias("part"), F.col("spec_seq").alias("seq"),

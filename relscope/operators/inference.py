@@ -53,6 +53,8 @@ def batched_inference(prompts: DataFrame, client_factory: ClientFactory, max_ret
 
     ``parallelism`` spreads the prompts over that many tasks (each with its own
     client); by default the prompt partitioning is kept."""
+    from relscope.session import ship_package
+    ship_package(prompts.sparkSession)
     if parallelism:
         prompts = prompts.repartition(parallelism)
     out_schema = T.StructType(prompts.schema.fields + [

@@ -35,6 +35,8 @@ def _agg_exprs() -> list[Column]:
 
 
 def _finish(agg: DataFrame, keys: list[str], round_to: int | None) -> DataFrame:
+    from relscope.session import ship_package
+    ship_package(agg.sparkSession)
     out = agg.withColumn("pearson_p", nan_to_null(pearson_p(F.col("pearson_r"), F.col("n"))))
     cols = [F.col(k) for k in keys]
     for c in METRIC_COLS:

@@ -97,3 +97,29 @@ def values_frame(spark: SparkSession, rows, schema: str):
     vals = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
     alias = ", ".join(f"`{n}`" for n in names)
     return spark.sql(f"SELECT {casts} FROM VALUES {vals} AS t({alias})")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``relscope`` importable in the Python workers (``addPyFile`` of a
+    zip of the package, once per application) -- what ``--py-files`` does
+    when the package is not installed on the executors."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import relscope
+    pkg = os.path.dirname(os.path.abspath(relscope.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="relscope-pyfiles-"), "relscope.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)

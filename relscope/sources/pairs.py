@@ -105,6 +105,8 @@ def read_pairs_arrow(spark: SparkSession, path: str, limit: int | None = None,
     Only the file paths go through Spark's file listing (``binaryFile`` with
     the content column pruned); each task opens its files with pyarrow and
     yields record batches, so no file is ever held as one value."""
+    from relscope.session import ship_package
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path")
     files = files.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
     names = [f.name for f in schema.fields]
@@ -147,6 +149,8 @@ def read_pairs(spark: SparkSession, path: str, limit: int | None = None) -> Data
 def write_pairs_arrow(df: DataFrame, path: str, cols=("arg1", "arg2", "support", "type")) -> DataFrame:
     """Write each partition as one Arrow IPC stream file under ``path``;
     returns (file, rows) per written file.  The data never leaves its task."""
+    from relscope.session import ship_package
+    ship_package(df.sparkSession)
     cols = list(cols)
     sub = df.select(*cols)
     arrow_schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in sub.schema.fields])

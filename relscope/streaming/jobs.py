@@ -38,10 +38,17 @@ def stream_predictions(spark: SparkSession, reply_dir: str, schema, out_dir: str
 
 
 def stream_run_summary(spark: SparkSession, pred_dir: str, schema, keys=("run_id",),
-                       cells_dir: str | None = None, max_files: int = 1) -> DataFrame:
+                       cells_dir: str | None = None, max_files: int = 1,
+                       state_partitions: int | None = None) -> DataFrame:
     """Running scoring cells per run while predictions arrive; returns the run
-    summary computed from the final cell snapshot."""
+    summary computed from the final cell snapshot.
+
+    The state is bounded (runs x classes^2), so it needs few partitions: the
+    state store is created with ``state_partitions`` (default: the cluster's
+    default parallelism) instead of the session's shuffle partitions; the
+    number is fixed in the checkpoint at the first start."""
     cells_dir = cells_dir or scratch_dir(spark, "stream-cells")
+    parts = state_partitions or max(1, spark.sparkContext.defaultParallelism)
     ckpt = scratch_dir(spark, "stream-cells-ckpt")
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
            .parquet(pred_dir))
@@ -51,8 +58,13 @@ def stream_run_summary(spark: SparkSession, pred_dir: str, schema, keys=("run_id
         # complete mode hands over every cell: rewriting the snapshot is idempotent
         batch.write.mode("overwrite").parquet(cells_dir)
 
-    q = (cells.writeStream.outputMode("complete").foreachBatch(snapshot)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (cells.writeStream.outputMode("complete").foreachBatch(snapshot)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     final = spark.read.parquet(cells_dir)
     return scoring.run_summary(final, keys=list(keys), cells=final)
