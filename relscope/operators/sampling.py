@@ -173,8 +173,20 @@ def limit_sample(df: DataFrame, limit: int | None, seed: int = DEFAULT_SEED,
                  id_col: str = "pair_id", pos_col: str = "pos", group_cols=()) -> DataFrame:
     """First ``limit`` rows in seeded order (all rows when limit is None), with
     their 0-based position (per group when ``group_cols`` is given).
-    Positions come from ``seeded_shuffle``, so any limit -- including none --
-    runs distributed."""
+    Small limits (<= SMALL_QUOTA) are a top-k: ``row_number() <= limit`` lets
+    Catalyst keep at most ``limit`` rows per task and group before the shuffle
+    (WindowGroupLimit).  Larger limits, and none, use the bucketed global
+    positions of ``seeded_shuffle``.  Both give the same positions."""
+    if limit is not None and limit <= SMALL_QUOTA:
+        groups = list(group_cols)
+        gk = groups if groups else ["_g"]
+        keyed = df.withColumn("shuffle_key", order_key(seed, id_col))
+        if not groups:
+            keyed = keyed.withColumn("_g", F.lit(0))
+        w = Window.partitionBy(*gk).orderBy("shuffle_key", id_col)
+        out = (keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+               .withColumn(pos_col, (F.col("_rn") - 1).cast("long")).drop("_rn"))
+        return out if groups else out.drop("_g")
     out = seeded_shuffle(df, seed, id_col, group_cols=group_cols, pos_col=pos_col)
     return out if limit is None else out.filter(F.col(pos_col) < limit)
 
