@@ -1,7 +1,10 @@
-"""Per-row label expressions: pure ``Column`` builders, all JVM-side.
+"""Per-row label expressions: ``Column`` builders, all JVM-side.
 
 Several strategies can share one frame, so every rule is one expression
 switching on the ``strategy`` column instead of a per-strategy code path.
+The rules are written as SQL expression text and parsed once by the JVM
+(``F.expr``): the same Catalyst expressions as the Column API, built with one
+call instead of dozens of Python-to-JVM round trips.
 """
 
 from __future__ import annotations
@@ -16,9 +19,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
+def support_label_sql(gold: str = "support") -> str:
+    whens = " ".join(f"WHEN {_q(gold)} = {code} THEN '{SUPPORT_MAP[code]}'" for code in sorted(SUPPORT_MAP))
+    return f"CASE {whens} END"
+
+
 def support_label(gold="support") -> Column:
     """0/1/2 -> label text; anything else -> null."""
-    g = _c(gold)
+    if isinstance(gold, str):
+        return F.expr(support_label_sql(gold))
+    g = gold
     expr = F.lit(None).cast("string")
     for code in sorted(SUPPORT_MAP, reverse=True):
         expr = F.when(g == code, F.lit(SUPPORT_MAP[code])).otherwise(expr)
@@ -33,39 +47,60 @@ def dataset_tag(path="dataset_file") -> Column:
             .otherwise(F.lit("Web")))
 
 
+def is_valid_sql(strategy: str = "strategy") -> str:
+    s = _q(strategy)
+    a = "pred_attack IS NOT NULL"
+    b = f"{a} AND pred_support IS NOT NULL"
+    c = f"{b} AND pred_neither IS NOT NULL"
+    return (f"(CASE WHEN {s} = 'A' THEN {a} WHEN {s} = 'B' THEN ({b}) "
+            f"WHEN {s} IN ('C', 'D') THEN ({c}) ELSE FALSE END)")
+
+
 def is_valid(strategy="strategy") -> Column:
     """Row has every flag its strategy needs (A: attack; B: +support; C/D: +neither)."""
-    s = _c(strategy)
-    a = F.col("pred_attack").isNotNull()
-    b = a & F.col("pred_support").isNotNull()
-    c = b & F.col("pred_neither").isNotNull()
-    return (F.when(s == "A", a).when(s == "B", b).when(s.isin("C", "D"), c)
-            .otherwise(F.lit(False)))
+    return F.expr(is_valid_sql(strategy))
 
 
 def known_gold(strategy="strategy", gold="support") -> Column:
     """Gold codes B/C/D can score; A folds any other code into Not-Attack."""
-    return (_c(strategy) == "A") | _c(gold).isin(0, 1, 2)
+    return F.expr(f"({_q(strategy)} = 'A' OR {_q(gold)} IN (0, 1, 2))")
+
+
+def row_correct_sql(strategy: str = "strategy", gold: str = "support") -> str:
+    s, g = _q(strategy), _q(gold)
+    a = f"(({g} = 0) = (pred_attack = 1))"
+    b = f"(CASE WHEN {g} = 0 THEN pred_attack = 1 WHEN {g} = 1 THEN pred_support = 1 ELSE FALSE END)"
+    c = (f"(CASE WHEN {g} = 0 THEN pred_attack = 1 WHEN {g} = 1 THEN pred_support = 1 "
+         f"ELSE pred_neither = 1 END)")
+    hit = f"(CASE WHEN {s} = 'A' THEN {a} WHEN {s} = 'B' THEN {b} ELSE {c} END)"
+    return f"(CASE WHEN {is_valid_sql(strategy)} THEN CAST({hit} AS INT) END)"
 
 
 def row_correct(strategy="strategy", gold="support") -> Column:
     """1 / 0 / null per row.  Looks only at the flag of the gold class, so a
     row with two flags set can be right here and wrong in the confusion matrix."""
-    s, g = _c(strategy), _c(gold)
-    att = F.col("pred_attack") == 1
-    sup = F.col("pred_support") == 1
-    nei = F.col("pred_neither") == 1
-    a = (g == 0) == att
-    b = F.when(g == 0, att).when(g == 1, sup).otherwise(F.lit(False))
-    c = F.when(g == 0, att).when(g == 1, sup).otherwise(nei)
-    hit = F.when(s == "A", a).when(s == "B", b).otherwise(c)
-    return F.when(is_valid(s), hit.cast("int"))
+    return F.expr(row_correct_sql(strategy, gold))
+
+
+def y_true_sql(strategy: str = "strategy", gold: str = "support") -> str:
+    s, g = _q(strategy), _q(gold)
+    binary = f"(CASE WHEN {g} = 0 THEN '{ATTACK}' ELSE '{NOT_ATTACK}' END)"
+    return f"(CASE WHEN {s} = 'A' THEN {binary} ELSE {support_label_sql(gold)} END)"
 
 
 def y_true(strategy="strategy", gold="support") -> Column:
-    s, g = _c(strategy), _c(gold)
-    binary = F.when(g == 0, F.lit(ATTACK)).otherwise(F.lit(NOT_ATTACK))
-    return F.when(s == "A", binary).otherwise(support_label(g))
+    return F.expr(y_true_sql(strategy, gold))
+
+
+def y_pred_sql(strategy: str = "strategy") -> str:
+    s = _q(strategy)
+    a = f"(CASE WHEN pred_attack = 1 THEN '{ATTACK}' ELSE '{NOT_ATTACK}' END)"
+    b = (f"(CASE WHEN pred_attack = 1 THEN '{ATTACK}' WHEN pred_support = 1 THEN '{SUPPORT}' "
+         f"ELSE '{NO_RELATION}' END)")
+    c = (f"(CASE WHEN pred_attack = 1 THEN '{ATTACK}' WHEN pred_support = 1 THEN '{SUPPORT}' "
+         f"WHEN pred_neither = 1 THEN '{NO_RELATION}' END)")
+    return (f"(CASE WHEN {is_valid_sql(strategy)} THEN "
+            f"(CASE WHEN {s} = 'A' THEN {a} WHEN {s} = 'B' THEN {b} ELSE {c} END) END)")
 
 
 def y_pred(strategy="strategy") -> Column:
@@ -73,15 +108,7 @@ def y_pred(strategy="strategy") -> Column:
 
     A: Attack / Not-Attack.  B: both flags 0 -> No Relation.  C/D: no flag -> null
     (left out of F1, still counted wrong for accuracy).  Null on invalid rows."""
-    s = _c(strategy)
-    att = F.col("pred_attack") == 1
-    sup = F.col("pred_support") == 1
-    nei = F.col("pred_neither") == 1
-    a = F.when(att, F.lit(ATTACK)).otherwise(F.lit(NOT_ATTACK))
-    b = F.when(att, F.lit(ATTACK)).when(sup, F.lit(SUPPORT)).otherwise(F.lit(NO_RELATION))
-    c = (F.when(att, F.lit(ATTACK)).when(sup, F.lit(SUPPORT))
-         .when(nei, F.lit(NO_RELATION)))
-    return F.when(is_valid(s), F.when(s == "A", a).when(s == "B", b).otherwise(c))
+    return F.expr(y_pred_sql(strategy))
 
 
 def derive_labels(df, strategy="strategy", gold="support"):

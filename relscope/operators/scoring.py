@@ -90,33 +90,44 @@ def _f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(F.lit(2.0) * p * r, p + r), F.lit(0.0))
 
 
+def _key(cls: str) -> str:
+    return cls.replace(" ", "_").replace("-", "_").lower()
+
+
+def _n_if_sql(cond: str) -> str:
+    return f"CAST(sum(CASE WHEN {cond} THEN n ELSE 0 END) AS BIGINT)"
+
+
+def _ratio_sql(num: str, den: str) -> str:
+    """num / den, 0.0 on a zero denominator."""
+    return f"coalesce(try_divide({num}, {den}), 0.0)"
+
+
+def _f1_sql(p: str, r: str) -> str:
+    return f"coalesce(try_divide(2.0 * {p} * {r}, {p} + {r}), 0.0)"
+
+
 def _cell_aggregates(cells: DataFrame, k: list[str]) -> DataFrame:
     """Per run: totals plus TP/FP/FN/TN of every class (strategy applicability later)."""
-    yt = y_true("strategy", "support")
-    yp = F.col("y_pred")
-    scored = F.col("valid") & yp.isNotNull()
-    aggs = [
-        F.sum("n").cast("long").alias("n_evaluated"),
-        _n_if(F.col("valid")).alias("n_valid"),
-        _n_if(scored).alias("n_scored"),
-        F.sum(F.when(F.col("valid"), F.col("n_correct")).otherwise(F.lit(0))).cast("long")
-            .alias("n_correct"),
-        _n_if(F.col("support") == 0).alias("ground_truth_count_attack"),
-        _n_if(F.col("support") == 1).alias("ground_truth_count_support"),
-        _n_if(F.col("support") == 2).alias("ground_truth_count_no_relation"),
-        F.sum("flag_attack").cast("long").alias("predicted_count_attack"),
-        F.sum("flag_support").cast("long").alias("predicted_count_support"),
-        F.sum("flag_neither").cast("long").alias("predicted_count_no_relation"),
-    ]
+    sc = "(valid AND y_pred IS NOT NULL)"
+    aggs = ["CAST(sum(n) AS BIGINT) AS n_evaluated",
+            f"{_n_if_sql('valid')} AS n_valid",
+            f"{_n_if_sql(sc)} AS n_scored",
+            "CAST(sum(CASE WHEN valid THEN n_correct ELSE 0 END) AS BIGINT) AS n_correct",
+            f"{_n_if_sql('support = 0')} AS ground_truth_count_attack",
+            f"{_n_if_sql('support = 1')} AS ground_truth_count_support",
+            f"{_n_if_sql('support = 2')} AS ground_truth_count_no_relation",
+            "CAST(sum(flag_attack) AS BIGINT) AS predicted_count_attack",
+            "CAST(sum(flag_support) AS BIGINT) AS predicted_count_support",
+            "CAST(sum(flag_neither) AS BIGINT) AS predicted_count_no_relation"]
     for cls in _EVAL_CLASSES:
-        t = F.coalesce(yt == cls, F.lit(False))
-        p = F.coalesce(yp == cls, F.lit(False))
-        c = cls.replace(" ", "_").replace("-", "_").lower()
-        aggs += [_n_if(scored & t & p).alias(f"_tp_{c}"),
-                 _n_if(scored & ~t & p).alias(f"_fp_{c}"),
-                 _n_if(scored & t & ~p).alias(f"_fn_{c}"),
-                 _n_if(scored & ~t & ~p).alias(f"_tn_{c}")]
-    return cells.groupBy(*k, "strategy").agg(*aggs)
+        t, p, c = f"coalesce(_yt = '{cls}', FALSE)", f"coalesce(y_pred = '{cls}', FALSE)", _key(cls)
+        aggs += [f"{_n_if_sql(f'{sc} AND {t} AND {p}')} AS _tp_{c}",
+                 f"{_n_if_sql(f'{sc} AND NOT {t} AND {p}')} AS _fp_{c}",
+                 f"{_n_if_sql(f'{sc} AND {t} AND NOT {p}')} AS _fn_{c}",
+                 f"{_n_if_sql(f'{sc} AND NOT {t} AND NOT {p}')} AS _tn_{c}"]
+    with_yt = cells.withColumn("_yt", y_true("strategy", "support"))
+    return with_yt.groupBy(*k, "strategy").agg(*[F.expr(a) for a in aggs])
 
 
 def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> DataFrame:
@@ -128,35 +139,32 @@ def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> D
     if cells is None:
         cells = prediction_cells(pred, k)
     a = _cell_aggregates(cells, k)
-
-    out = list(k) + ["strategy", "n_evaluated", "n_valid", "n_scored",
-                     "ground_truth_count_attack", "ground_truth_count_support",
-                     "ground_truth_count_no_relation", "predicted_count_attack",
-                     "predicted_count_support", "predicted_count_no_relation", "n_correct",
-                     F.try_divide(F.col("n_correct"), F.col("n_valid")).alias("accuracy")]
+    out = [f"`{c}`" for c in k] + [
+        "strategy", "n_evaluated", "n_valid", "n_scored", "ground_truth_count_attack",
+        "ground_truth_count_support", "ground_truth_count_no_relation", "predicted_count_attack",
+        "predicted_count_support", "predicted_count_no_relation", "n_correct",
+        "try_divide(n_correct, n_valid) AS accuracy"]
     f1s = {}
     for cls in _EVAL_CLASSES:
-        c = cls.replace(" ", "_").replace("-", "_").lower()
-        tp, fp, fn = F.col(f"_tp_{c}"), F.col(f"_fp_{c}"), F.col(f"_fn_{c}")
-        prec = _ratio(tp, tp + fp)
-        rec = _ratio(tp, tp + fn)
-        f1s[cls] = _f1(prec, rec)
+        c = _key(cls)
+        prec = _ratio_sql(f"_tp_{c}", f"_tp_{c} + _fp_{c}")
+        rec = _ratio_sql(f"_tp_{c}", f"_tp_{c} + _fn_{c}")
+        f1s[cls] = _f1_sql(prec, rec)
         if cls in CLASS_KEYS:
             key = CLASS_KEYS[cls]
-            on = _applies(cls)
-            out += [F.when(on, tp).alias(f"true_positive_{key}"),
-                    F.when(on, fp).alias(f"false_positive_{key}"),
-                    F.when(on, fn).alias(f"false_negative_{key}"),
-                    F.when(on, F.col(f"_tn_{c}")).alias(f"true_negative_{key}"),
-                    F.when(on, prec).alias(f"precision_{key}"),
-                    F.when(on, rec).alias(f"recall_{key}"),
-                    F.when(on, f1s[cls]).alias(f"f1_score_{key}")]
-    s = F.col("strategy")
-    macro = (F.when(s == "A", (f1s[ATTACK] + f1s[NOT_ATTACK]) / 2)
-             .when(s == "B", (f1s[ATTACK] + f1s[SUPPORT]) / 2)
-             .otherwise((f1s[ATTACK] + f1s[SUPPORT] + f1s[NO_RELATION]) / 3))
-    out.append(macro.alias("macro_f1"))
-    return a.select(*out)
+            letters = ", ".join(f"'{x.letter}'" for x in STRATEGIES.values() if cls in x.classes)
+            on = f"strategy IN ({letters})"
+            out += [f"CASE WHEN {on} THEN _tp_{c} END AS true_positive_{key}",
+                    f"CASE WHEN {on} THEN _fp_{c} END AS false_positive_{key}",
+                    f"CASE WHEN {on} THEN _fn_{c} END AS false_negative_{key}",
+                    f"CASE WHEN {on} THEN _tn_{c} END AS true_negative_{key}",
+                    f"CASE WHEN {on} THEN {prec} END AS precision_{key}",
+                    f"CASE WHEN {on} THEN {rec} END AS recall_{key}",
+                    f"CASE WHEN {on} THEN {f1s[cls]} END AS f1_score_{key}"]
+    out.append(f"CASE WHEN strategy = 'A' THEN ({f1s[ATTACK]} + {f1s[NOT_ATTACK]}) / 2 "
+               f"WHEN strategy = 'B' THEN ({f1s[ATTACK]} + {f1s[SUPPORT]}) / 2 "
+               f"ELSE ({f1s[ATTACK]} + {f1s[SUPPORT]} + {f1s[NO_RELATION]}) / 3 END AS macro_f1")
+    return a.selectExpr(*out)
 
 
 def accuracy(pred: DataFrame, keys=None) -> DataFrame:
@@ -256,22 +264,15 @@ def class_metrics(pred: DataFrame, keys=None, cells: DataFrame | None = None) ->
     a = _cell_aggregates(cells, k)
     rc = _run_classes(cells, k)
     j = rc.join(a, k + ["strategy"])
-    sel = {}
-    for part in ("tp", "fp", "fn", "tn"):
-        e = F.lit(None).cast("long")
-        for cls in _EVAL_CLASSES:
-            c = cls.replace(" ", "_").replace("-", "_").lower()
-            e = F.when(F.col("class") == cls, F.col(f"_{part}_{c}")).otherwise(e)
-        sel[part] = e
-    out = j.select(*k, "strategy", "class", "class_seq", "n_scored", "n_valid", "n_evaluated",
-                   sel["tp"].alias("tp"), sel["fp"].alias("fp"),
-                   sel["fn"].alias("fn"), sel["tn"].alias("tn"))
-    prec = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    rec = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return (out.withColumn("precision", prec).withColumn("recall", rec)
-            .withColumn("f1", _f1(F.col("precision"), F.col("recall")))
-            .withColumn("count_ok", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
-                        == F.col("n_scored")))
+    picks = {part: "CASE class " + " ".join(f"WHEN '{cls}' THEN _{part}_{_key(cls)}"
+                                             for cls in _EVAL_CLASSES) + " END"
+             for part in ("tp", "fp", "fn", "tn")}
+    out = j.selectExpr(*[f"`{c}`" for c in k], "strategy", "class", "class_seq", "n_scored",
+                       "n_valid", "n_evaluated", *[f"{picks[p]} AS {p}" for p in picks])
+    prec, rec = _ratio_sql("tp", "tp + fp"), _ratio_sql("tp", "tp + fn")
+    return out.selectExpr("*", f"{prec} AS precision", f"{rec} AS recall",
+                          f"{_f1_sql(prec, rec)} AS f1",
+                          "(tp + fp + fn + tn) = n_scored AS count_ok")
 
 
 def macro_f1(pred: DataFrame, keys=None) -> DataFrame:
