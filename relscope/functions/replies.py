@@ -35,11 +35,21 @@ def extract_json_array(reply: Column) -> Column:
     return F.when(found != "", found)
 
 
+ITEM_SCHEMA = "attack string, support string, neither string, relevance string"
+
+
 def json_items(array_text: Column) -> Column:
     """array<string>: each item's JSON text; null if the text is not a JSON array."""
     return F.from_json(array_text, "array<string>", JSON_OPTIONS)
 
 
+def parse_item(item: Column) -> Column:
+    """One JSON parse per item: ``k`` = its keys (null if not an object) and
+    ``f`` = the four known fields as text (a repeated key keeps its last value)."""
+    return F.struct(F.json_object_keys(item).alias("k"),
+                    F.from_json(item, ITEM_SCHEMA, JSON_OPTIONS).alias("f"))
+
+
 def is_object(item: Column) -> Column:
     return F.json_object_keys(item).isNotNull()
 
@@ -67,12 +77,16 @@ def decode_relevance(raw: Column) -> Column:
 FLAG_KEYS = ("attack", "support", "neither")
 
 
-def item_bad(item: Column, with_relevance: Column) -> Column:
-    """True when the item is not an object, or a present flag key (any
+def _has(parsed: Column, key: str) -> Column:
+    return F.coalesce(F.array_contains(parsed["k"], F.lit(key)), F.lit(False))
+
+
+def item_bad(parsed: Column, with_relevance: Column) -> Column:
+    """True when the (parsed) item is not an object, or a present flag key (any
     strategy) or, for D, the relevance holds a value that does not decode."""
-    bad = ~is_object(item) | item.isNull()
+    bad = parsed["k"].isNull()
     for k in FLAG_KEYS:
-        bad = bad | (has_key(item, k) & decode_flag(raw_value(item, k)).isNull())
-    rel_bad = has_key(item, "relevance") & decode_relevance(raw_value(item, "relevance")).isNull()
+        bad = bad | (_has(parsed, k) & decode_flag(parsed["f"][k]).isNull())
+    rel_bad = _has(parsed, "relevance") & decode_relevance(parsed["f"]["relevance"]).isNull()
     bad = bad | (with_relevance & rel_bad)
     return F.coalesce(bad, F.lit(True))

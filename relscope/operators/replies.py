@@ -24,7 +24,7 @@ def parse_replies(replies: DataFrame, keys=("strategy", "batch_id")) -> DataFram
     call failed)."""
     keys = [k for k in keys if k in replies.columns]
     arr = R.extract_json_array(F.col("reply"))
-    items = R.json_items(F.col("array_text"))
+    items = F.transform(R.json_items(F.col("array_text")), R.parse_item)
     d = replies.withColumn("array_text", arr).withColumn("_items", items)
     is_d = (F.col("strategy") == "D") if "strategy" in replies.columns else F.lit(True)
     bad_any = F.exists(F.col("_items"), lambda it: R.item_bad(it, is_d))
@@ -55,8 +55,9 @@ def decode_predictions(parsed: DataFrame, keys=("strategy", "batch_id")) -> Data
 
 
 def _decoded_cols(item, strategy):
-    cols = [R.decode_flag(R.raw_value(item, k)).alias(f"pred_{k}") for k in _FLAG_KEYS]
-    rel = F.when(strategy == "D", R.decode_relevance(R.raw_value(item, "relevance")))
+    """Flags and relevance from a parsed item (struct of keys and text fields)."""
+    cols = [R.decode_flag(item["f"][k]).alias(f"pred_{k}") for k in _FLAG_KEYS]
+    rel = F.when(strategy == "D", R.decode_relevance(item["f"]["relevance"]))
     return cols + [rel.alias("pred_relevance")]
 
 
