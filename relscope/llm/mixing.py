@@ -31,6 +31,7 @@ SEED = 42
 #: The mixing plan (one row per source) is made on the driver; more sources than this is an error.
 MAX_SOURCES = 100_000
 ROWS_PER_BUCKET = 1_000
+SHARDS_PER_TASK = 64
 
 
 def source_targets(sizes: list[int], weights: list[float], total: float, cap: int = CAP) -> list[float]:
@@ -150,6 +151,8 @@ def draws(spark, plan: list[dict], small: DataFrame, shard_slots: int = 4096, se
 
     counts = spark.range(shards).mapInPandas(count, "shard long, src int, n long")
     counts = offsets(written(counts, "mix-counts"), "src", "shard", "n")
+    # A few bytes of counts become many slots: dealt out by their number, which no size estimate sees.
+    counts = counts.repartition(max(8, math.ceil(shards / SHARDS_PER_TASK)), "src", "shard")
     slots = (counts.withColumn("nth", F.explode(F.expr("sequence(before, before + n - 1)")))
              .join(small.select(F.col("src").alias("_src"), "blocks"), F.col("src") == F.col("_src")).drop("_src")
              .where(F.col("nth") < CAP * F.col("blocks"))
@@ -163,7 +166,8 @@ def mix_counts(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096)
     times = (draws(docs.sparkSession, plan, small, shard_slots).groupBy(F.col("src").alias("_src"), F.col("block").alias("_block"))
              .agg(F.count("*").alias("times")))
     p = _pieces(placed, block_words)
-    p = p.join(times, (p["src"] == times["_src"]) & (p["block"] == times["_block"]), "left")
+    # "merge": size estimates take the slots for as small as their counts, and would broadcast them.
+    p = p.join(times.hint("merge"), (p["src"] == times["_src"]) & (p["block"] == times["_block"]), "left")
     words = (F.col("last") - F.col("first")) * F.col("times")
     return (p.groupBy("src", "bucket", "nth", "doc_id", "size", "source", "source_size", "target")
             .agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
@@ -191,7 +195,7 @@ def mix_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 409
     d = draws(docs.sparkSession, plan, small, shard_slots).select(
         F.col("src").alias("_src"), F.col("block").alias("_block"), "turn")
     p = _pieces(placed, block_words).where(F.col("block").isNotNull())
-    taken = p.join(d, (p["src"] == d["_src"]) & (p["block"] == d["_block"]))
+    taken = p.join(d.hint("merge"), (p["src"] == d["_src"]) & (p["block"] == d["_block"]))
     # Spans of one document in one pass, then all of one text's passes: bounded by the text's length.
     taken = (taken.groupBy("doc_id", "text_hash", "source", "size", "bucket", "nth", "turn")
              .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum(F.col("last") - F.col("first")).alias("n")))
