@@ -101,9 +101,9 @@ def update_ledger(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         todo = F.array_except(todo, F.coalesce("done", F.array().cast("array<struct<kind:string,version:int>>")))
     pairs = pairs.withColumn("todo", F.transform(todo, lambda r: r["kind"])).where(F.size("todo") > 0)
     new = pairs.select(F.col("blob").alias("_blob"), F.col("doc_id").alias("_id"), "todo")
-    # One path of each unseen blob brings the text; repeated rows of that path bring it again.
+    # One path of each unseen blob brings the text; repeated rows of that path leave one ledger row.
     blobs = versions.join(new, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    scan(blobs.select("blob", "text", "todo"), rules).write.mode("append").parquet(ledger)
+    scan(blobs.select("blob", "text", "todo"), rules).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     return paths
 
 
