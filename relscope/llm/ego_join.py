@@ -98,7 +98,9 @@ def join_intervals(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, least:
 
 def _projected(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     """Adds the projections p0.. and the cell of each."""
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("dim", pa.int32()), ("v", pa.list_(pa.float64()))]
+    single = classes.schema["v"].dataType.simpleString() == "array<float>"
+    value = pa.float32() if single else pa.float64()
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("dim", pa.int32()), ("v", pa.list_(value))]
     fields += [(f"p{k}", pa.float64()) for k in range(AXES)] + [(f"c{k}", pa.int32()) for k in range(AXES)]
     schema = pa.schema(fields)
 
@@ -113,7 +115,7 @@ def _projected(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
                                                  + [pa.array(p[:, k]) for k in range(AXES)] + [pa.array(cells[:, k]) for k in range(AXES)],
                                                  schema=schema)
 
-    sql = "a long, b long, n long, dim int, v array<double>, " + ", ".join([f"p{k} double" for k in range(AXES)] + [f"c{k} int" for k in range(AXES)])
+    sql = f"a long, b long, n long, dim int, v array<{'float' if single else 'double'}>, " + ", ".join([f"p{k} double" for k in range(AXES)] + [f"c{k} int" for k in range(AXES)])
     return classes.select("a", "b", "n", "dim", "v").mapInArrow(run, sql)
 
 
@@ -208,8 +210,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     eps = eps_of(least)
     good = ("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND "
             "abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)")
+    # Single precision stays so until a task compares: half the bytes to shuffle.
+    stored = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"coalesce({good}, false)").alias("good"),
-                          F.col("embedding").cast("array<double>").alias("v"))
+                          F.col("embedding").cast(stored).alias("v"))
     rows = rows.withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.lit(1), "v"))
     classes = rows.where("good").groupBy("a", "b").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = written(classes.withColumn("dim", F.size("v")), "ego-classes")
