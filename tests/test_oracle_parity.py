@@ -12,9 +12,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from relscope.plans import catalog
 from relscope.plans.fixtures import BASE_TABLES
 
-KEYS = sorted(E.queries())
+KEYS = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +38,7 @@ def _rows(cols, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)
