@@ -40,6 +40,8 @@ from relscope.session import scratch_dir
 LEXICON_WORDS = 50_000
 #: Bound of a task's memory of recent words.
 RECENT_WORDS = 200_000
+#: Bytes up to which a word is merged by scanning.
+SHORT = 48
 
 # Fixed value: the pre-tokenizer's pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,6 +82,16 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the lowest-ranked neighbours merge first, the leftmost of equals."""
+        if len(word) <= SHORT:  # looking at all neighbours again is quicker than a heap
+            short, rank, far = [word[i:i + 1] for i in range(len(word))], self.rank, len(self.rank)
+            while len(short) > 1:
+                ranks = [rank.get(p, far) for p in zip(short, short[1:])]
+                best = min(ranks)
+                if best == far:
+                    break
+                i = ranks.index(best)
+                short[i:i + 2] = [short[i] + short[i + 1]]
+            return [self.id_of[p] for p in short]
         parts: list[bytes | None] = [word[i:i + 1] for i in range(len(word))]
         after = list(range(1, len(parts))) + [-1]
         before = list(range(-1, len(parts) - 1))
@@ -239,21 +251,25 @@ class Coder:
             self.recent[w] = lex.ids[lex.first[p]:lex.first[p + 1]].tolist() if p >= 0 else self.v.merge(b)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text; what is new in all of them is learned at once."""
+        if len(self.recent) > RECENT_WORDS:
+            self.recent = {}
+        parts = [[(special, None if special is not None else self.v.pieces(s)) for s, special in self.v.segments(t or "")] for t in texts]
+        new: set[str] = set()
+        for text in parts:
+            for _, words in text:
+                if words:
+                    new.update(words)
+        new.difference_update(self.recent)
+        self.learn(new)
         out: list[list[int]] = []
-        for text in texts:
+        for text in parts:
             ids: list[int] = []
-            for s, special in self.v.segments(text or ""):
-                if special is not None:
+            for special, words in text:
+                if words is None:
                     ids.append(special)
-                    continue
-                words = self.v.pieces(s)
-                if len(self.recent) > RECENT_WORDS:
-                    self.recent = {}
-                found = list(map(self.recent.get, words))
-                if None in found:
-                    self.learn({w for w, x in zip(words, found) if x is None})
-                    found = map(self.recent.__getitem__, words)
-                ids += chain.from_iterable(found)
+                else:
+                    ids += chain.from_iterable(map(self.recent.__getitem__, words))
             out.append(ids)
         return out
 
