@@ -62,16 +62,24 @@ def raw_value(item: Column, key: str) -> Column:
     return F.get_json_object(item, f"$.{key}")
 
 
+#: Decimal numbers as a JSON reply or a parser of plain floats writes them; a cast alone would also take type suffixes ('1d').
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"
+
+
+def _number(v: Column) -> Column:
+    return F.when(v.rlike(NUMBER), v.try_cast("double"))
+
+
 def decode_flag(raw: Column) -> Column:
     """int(float(v)): '0.9' -> 0, '1' -> 1, 'true' -> 1, 'false' -> 0; else null."""
     v = F.lower(F.trim(raw))
-    num = F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)).otherwise(v.try_cast("double"))
+    num = F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)).otherwise(_number(v))
     return num.try_cast("int")
 
 
 def decode_relevance(raw: Column) -> Column:
     v = F.lower(F.trim(raw))
-    return F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)).otherwise(v.try_cast("double"))
+    return F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)).otherwise(_number(v))
 
 
 FLAG_KEYS = ("attack", "support", "neither")

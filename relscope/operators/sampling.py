@@ -163,10 +163,10 @@ def union_class_samples(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED
 def exclude_few_shot(df: DataFrame, few_shot: DataFrame, id_col: str = "pair_id",
                      group_cols=()) -> DataFrame:
     """Evaluation rows = all rows minus the sampled examples (per group when
-    ``group_cols`` is given).  The sample has at most n rows per group (a
-    parameter), so it is the broadcast side."""
+    ``group_cols`` is given).  The sample's size is the caller's choice, so
+    the join is left to AQE, which broadcasts a side only below the threshold."""
     keys = list(group_cols) + [id_col]
-    return df.join(F.broadcast(few_shot.select(*keys)), keys, "left_anti")
+    return df.join(few_shot.select(*keys), keys, "left_anti")
 
 
 def limit_sample(df: DataFrame, limit: int | None, seed: int = DEFAULT_SEED,

@@ -84,3 +84,12 @@ def test_evaluate_pairs_end_to_end(spark):
     assert counts == {"A": 50, "C": 50}
     summ = scoring.run_summary(preds, keys=[])
     assert summ.count() == 2
+
+
+def test_type_suffixes_are_no_numbers(spark):
+    from pyspark.sql import functions as F
+    from relscope.functions.replies import decode_flag, decode_relevance
+    d = spark.createDataFrame([("1d",), ("1f",), ("0.9",), ("+1",), ("1e0",), (".5",), ("true",)], "v string")
+    got = d.select(decode_flag(F.col("v")).alias("f"), decode_relevance(F.col("v")).alias("r")).collect()
+    assert [r.f for r in got] == [None, None, 0, 1, 1, 0, 1]
+    assert [r.r for r in got] == [None, None, 0.9, 1.0, 1.0, 0.5, 1.0]
