@@ -40,8 +40,10 @@ from relscope.session import scratch_dir
 LEXICON_WORDS = 50_000
 #: Bound of a task's memory of recent words.
 RECENT_WORDS = 200_000
-#: Bytes up to which a word is merged by scanning.
+#: Bytes up to which words are merged together; longer ones go one by one.
 SHORT = 48
+#: Pieces never reach over a lone space between two other characters: texts are cut there first, and equal chunks are coded once.
+CHUNKS = re.compile(r" (?<=\S )(?=\S)")
 
 # Fixed value: the pre-tokenizer's pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -77,21 +79,21 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.bytes_of = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.letters = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.first_letter = np.cumsum([0, *map(len, self.bytes_of)])
         self.pattern = regex.compile(PIECES)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # For merging many words at once: merges as sorted keys (left id << 20 | right id), their ranks, and what each rank makes.
+        self.id_of_byte = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
+        keys = np.array([self.id_of[x] << 20 | self.id_of[y] for x, y in self.rank], np.int64)
+        ranks = np.array(list(self.rank.values()), np.int64)
+        order = np.argsort(keys)
+        self.pair_key, self.pair_rank = keys[order], ranks[order]
+        self.made = np.zeros(ranks.max(initial=-1) + 1, np.int64)
+        self.made[ranks] = [self.id_of[x + y] for x, y in self.rank]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the lowest-ranked neighbours merge first, the leftmost of equals."""
-        if len(word) <= SHORT:  # looking at all neighbours again is quicker than a heap
-            short, rank, far = [word[i:i + 1] for i in range(len(word))], self.rank, len(self.rank)
-            while len(short) > 1:
-                ranks = [rank.get(p, far) for p in zip(short, short[1:])]
-                best = min(ranks)
-                if best == far:
-                    break
-                i = ranks.index(best)
-                short[i:i + 2] = [short[i] + short[i + 1]]
-            return [self.id_of[p] for p in short]
         parts: list[bytes | None] = [word[i:i + 1] for i in range(len(word))]
         after = list(range(1, len(parts))) + [-1]
         before = list(range(-1, len(parts) - 1))
@@ -111,6 +113,55 @@ class Vocabulary:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [self.id_of[p] for p in parts if p is not None]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; pairs that never merge get a rank beyond all."""
+        if not len(self.pair_key):
+            return np.zeros(len(left), np.int64)
+        want = left << 20 | right
+        e = np.minimum(np.searchsorted(self.pair_key, want), len(self.pair_key) - 1)
+        return np.where(self.pair_key[e] == want, self.pair_rank[e], len(self.made))
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, one after the other, and where each begins.
+
+        Every round merges one pair in each word that still has one: the
+        lowest-ranked, the leftmost of equals, as ``merge`` does.
+        """
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= SHORT]
+        far, parts = len(self.made), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                ids = np.array(self.merge(w), np.int64)
+                parts.append((np.full(len(ids), i), ids))
+        size = np.array([len(words[i]) for i in short], np.int64)
+        word = np.repeat(np.array(short, np.int64), size)
+        ids = self.id_of_byte[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
+        rank = np.full(len(ids), far)
+        rank[:-1] = np.where(word[1:] == word[:-1], self._ranks(ids[:-1], ids[1:]), far)
+        while len(size):
+            low = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            going = np.repeat(low < far, size)
+            parts.append((word[~going], ids[~going]))
+            size, low, word, ids, rank = size[low < far], low[low < far], word[going], ids[going], rank[going]
+            at = np.nonzero(rank == np.repeat(low, size))[0]
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])] if len(at) else at
+            ids[at] = self.made[low]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            size, word, ids, rank = size - 1, word[stays], ids[stays], rank[stays]
+            at -= np.arange(len(at))  # one place is gone in each earlier word
+            for left in (at, at[at > 0] - 1):
+                inner = left + 1 < len(ids)
+                rank[left[~inner]] = far
+                left = left[inner]
+                same = word[left] == word[left + 1]
+                rank[left[~same]] = far
+                left = left[same]
+                rank[left] = self._ranks(ids[left], ids[left + 1])
+        word, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]).astype(np.int64)
+
     def pieces(self, text: str) -> list[str]:
         """The words of a plain stretch."""
         if not NOT_LATIN.search(text):
@@ -236,58 +287,110 @@ class Lexicon:
 
 
 # ------------------------------------------------------------------ texts
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``start``, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _chunks(v: Vocabulary, text: str | None) -> list[str | tuple[str] | int]:
+    """A text cut at lone spaces: (chunk,) begins a stretch, a bare one follows a space, a number is a special token."""
+    out: list = []
+    for stretch, special in v.segments(text or ""):
+        if special is not None:
+            out.append(special)
+        else:
+            chunks = CHUNKS.split(stretch)
+            chunks[0] = (chunks[0],)
+            out += chunks
+    return out
+
+
+def _pieces(v: Vocabulary, chunk: str | tuple[str]) -> list[str]:
+    return v.pieces(chunk[0] if isinstance(chunk, tuple) else " " + chunk)
+
+
 class Coder:
-    """Encodes and decodes texts with a vocabulary and a lexicon."""
+    """Encodes and decodes texts with a vocabulary and a lexicon; remembers the ids of recent chunks."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.v, self.lexicon, self.recent = vocabulary, lexicon, {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Ids of words not seen lately: from the lexicon, else merged."""
-        new = list(words)
-        raw = [w.encode() for w in new]
-        lex = self.lexicon
-        for w, b, p in zip(new, raw, lex.places(raw)):
-            self.recent[w] = lex.ids[lex.first[p]:lex.first[p + 1]].tolist() if p >= 0 else self.v.merge(b)
+        self.v, self.lexicon = vocabulary, lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        """Chunk number n has the ids ``ids[first[n]:first[n + 1]]``; the special tokens come first."""
+        special = sorted(self.v.special.values())
+        self.number = {i: n for n, i in enumerate(special)}
+        self.ids, self.first = np.array(special, np.int64), np.arange(len(special) + 1)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words and where each begins: from the lexicon, else merged."""
+        raw, lex = [w.encode() for w in words], self.lexicon
+        place = lex.places(raw)
+        unseen = np.nonzero(place < 0)[0]
+        merged, begin = self.v.merge_all([raw[i] for i in unseen])
+        known = np.maximum(place, 0)
+        start, size = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        if len(unseen) < len(raw):
+            start, size = lex.first[known], lex.first[known + 1] - lex.first[known]
+        start[unseen], size[unseen] = len(lex.ids) + begin[:-1], np.diff(begin)
+        return _gather(np.concatenate([lex.ids, merged]), start, size), np.concatenate([[0], np.cumsum(size)])
+
+    def learn(self, chunks: list[str | tuple[str]]) -> None:
+        """Numbers new chunks and remembers their ids."""
+        lists = [_pieces(self.v, c) for c in chunks]
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(w, len(number)) for x in lists for w in x), np.int64)
+        ids, first = self.words(list(number))
+        size = np.diff(first)[at]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x) for x in lists])]
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
+        self.first = np.concatenate([self.first, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, _gather(ids, first[at], size)])
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, one after the other, and where each begins; what is new in all of them is learned at once."""
+        if len(self.number) > RECENT_WORDS or len(self.ids) > 10 * RECENT_WORDS:
+            self._forget()
+        chunks = [_chunks(self.v, t) for t in texts]
+        new = set().union(*chunks).difference(self.number)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(chunks)), np.int64)
+        size = np.diff(self.first)[at]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, chunks)])]
+        return _gather(self.ids, self.first[at], size), ends
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; what is new in all of them is learned at once."""
-        if len(self.recent) > RECENT_WORDS:
-            self.recent = {}
-        parts = [[(special, None if special is not None else self.v.pieces(s)) for s, special in self.v.segments(t or "")] for t in texts]
-        new: set[str] = set()
-        for text in parts:
-            for _, words in text:
-                if words:
-                    new.update(words)
-        new.difference_update(self.recent)
-        self.learn(new)
-        out: list[list[int]] = []
-        for text in parts:
-            ids: list[int] = []
-            for special, words in text:
-                if words is None:
-                    ids.append(special)
-                else:
-                    ids += chain.from_iterable(map(self.recent.__getitem__, words))
-            out.append(ids)
-        return out
+        ids, first = self.encode_all(texts)
+        return [x.tolist() for x in np.split(ids, first[1:-1])] if texts else []
+
+    def decode_all(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """The texts of ids as ``encode_all`` gives them."""
+        size = np.diff(self.v.first_letter)[ids]
+        letters = _gather(self.v.letters, self.v.first_letter[ids], size).tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[first]
+        return [letters[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, n) over all texts; each task counts before the shuffle, in bounded memory."""
+    """(word, n) over all texts; each task counts before the shuffle, in bounded memory, and cuts each distinct chunk once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = Vocabulary(SparkFiles.get(vocabulary)), Counter()
+
         def flush():
-            return pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
+            words: Counter = Counter()
+            for chunk, n in seen.items():
+                if not isinstance(chunk, int):
+                    for w in _pieces(v, chunk):
+                        words[w] += n
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(words.values(), pa.int64())})
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for s, special in v.segments(text or ""):
-                    if special is None:
-                        seen.update(v.pieces(s))
+                seen.update(_chunks(v, text))
                 if len(seen) > RECENT_WORDS:
                     yield flush()
                     seen.clear()
@@ -329,10 +432,10 @@ def transcode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_WORDS,
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # long texts make large lists: few at a time
                 part = batch.slice(at, 512)
-                ids = coder.encode(part.column(1).to_pylist())
+                ids, first = coder.encode_all(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array([coder.decode(x) for x in ids], pa.string())], schema=schema)
+                    [part.column(0).cast(pa.int64()), lists, pa.array(coder.decode_all(ids, first), pa.string())], schema=schema)
 
     return docs.select(id_column, "text").mapInArrow(code, f"{id_column} long, ids array<int>, decoded string")
 
