@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,13 +44,22 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _shape(word: str) -> list[float]:
-    """Of one word: length, shares of capitals, digits, symbols and other punctuation, all capitals, a first capital, bucket."""
-    n, upper = len(word), sum(c.isupper() for c in word)
-    digits, symbols = sum(c.isdigit() for c in word), sum(c in SYMBOLS for c in word)
-    letters = sum(c.isalpha() for c in word)
-    return [min(n, 40) / 10, upper / n, digits / n, symbols / n, (n - letters - digits - symbols) / n,
-            float(upper > 1 and upper == letters), float(word[0].isupper()), float(zlib.crc32(word.lower().encode()) % (2 * HASHED))]
+def _kinds(char: int) -> tuple[bool, bool, bool, bool]:
+    c = chr(char)
+    return c.isupper(), c.isdigit(), c in SYMBOLS, c.isalpha()
+
+
+def _shapes(words: list[str]) -> np.ndarray:
+    """Of each word: length, shares of capitals, digits, symbols and other punctuation, all capitals, a first capital, bucket."""
+    size = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(size) - size
+    chars, at = np.unique(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    kinds = np.array([_kinds(c) for c in chars.tolist()], float)
+    n = np.array([np.add.reduceat(k[at], first) for k in kinds.T])  # of each kind, in each word
+    upper, letters = n[0], n[3]
+    buckets = np.fromiter((zlib.crc32(w.lower().encode()) for w in words), np.int64, len(words)) % (2 * HASHED)
+    return np.column_stack([np.minimum(size, 40) / 10, upper / size, n[1] / size, n[2] / size, (size - letters - n[1] - n[2]) / size,
+                            (upper > 1) & (upper == letters), kinds[at[first], 0], buckets]).astype(float)
 
 
 class Encoder:
@@ -68,9 +78,8 @@ class Encoder:
         lists = [re.findall(r"[^\x20\x09-\x0D]+", t) if t else [] for t in texts]
         number, known = self.number, len(self.number)
         word = np.fromiter((number.setdefault(w, len(number)) for x in lists for w in x), np.int64)
-        fresh = list(number)[known:] if len(number) > known else []
-        if fresh:
-            self.shapes = np.concatenate([self.shapes, np.array([_shape(w) for w in fresh])])
+        if len(number) > known:
+            self.shapes = np.concatenate([self.shapes, _shapes(list(islice(number, known, None)))])
         sizes = np.array([len(x) for x in lists], np.int64)
         bags = np.maximum(1, -(-sizes // PASSAGE))
         first = np.cumsum(bags) - bags
