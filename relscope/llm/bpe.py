@@ -39,7 +39,7 @@ from relscope.session import scratch_dir
 #: Bound of the lexicon: words beyond it are merged, with the same ids.
 LEXICON_WORDS = 50_000
 #: Bound of a task's memory of recent words.
-RECENT_WORDS = 200_000
+RECENT_WORDS = 400_000
 #: Bytes up to which words are merged together; longer ones go one by one.
 SHORT = 48
 #: Pieces never reach over a lone space between two other characters: texts are cut there first, and equal chunks are coded once.
