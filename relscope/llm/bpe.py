@@ -21,9 +21,10 @@ import json
 import os
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -305,7 +306,15 @@ def _chunks(v: Vocabulary, text: str | None) -> list[str | tuple[str] | int]:
     return out
 
 
+@cache
+def _vocabulary(path: str) -> Vocabulary:
+    """The vocabulary in a file, read once by a Python worker."""
+    return Vocabulary(path)
+
+
 def _pieces(v: Vocabulary, chunk: str | tuple[str]) -> list[str]:
+    if isinstance(chunk, str) and chunk.isascii() and chunk.isalpha():
+        return [" " + chunk]
     return v.pieces(chunk[0] if isinstance(chunk, tuple) else " " + chunk)
 
 
@@ -338,8 +347,8 @@ class Coder:
     def learn(self, chunks: list[str | tuple[str]]) -> None:
         """Numbers new chunks and remembers their ids."""
         lists = [_pieces(self.v, c) for c in chunks]
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(w, len(number)) for x in lists for w in x), np.int64)
+        number: dict[str, int] = defaultdict(count().__next__)
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64)
         ids, first = self.words(list(number))
         size = np.diff(first)[at]
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x) for x in lists])]
@@ -377,8 +386,8 @@ class Coder:
 
 def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(word, n) over all texts; each task counts before the shuffle, in bounded memory, and cuts each distinct chunk once."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, seen = Vocabulary(SparkFiles.get(vocabulary)), Counter()
+    def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, seen = _vocabulary(SparkFiles.get(vocabulary)), Counter()
 
         def flush():
             words: Counter = Counter()
@@ -396,7 +405,7 @@ def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
                     seen.clear()
         if seen:
             yield flush()
-    counts = docs.select("text").mapInArrow(count, "word string, n long")
+    counts = docs.select("text").mapInArrow(count_task, "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -428,7 +437,7 @@ def transcode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_WORDS,
     schema = pa.schema([(id_column, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(SparkFiles.get(vocabulary)), Lexicon.map(SparkFiles.get(lexicon)))
+        coder = Coder(_vocabulary(SparkFiles.get(vocabulary)), Lexicon.map(SparkFiles.get(lexicon)))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # long texts make large lists: few at a time
                 part = batch.slice(at, 512)
