@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,7 @@ class Encoder:
     WIDTH = SHAPE + 4 + HASHED
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(count().__next__)
         self.shapes = np.zeros((0, SHAPE))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ class Encoder:
             self.__init__()
         lists = [re.findall(r"[^\x20\x09-\x0D]+", t) if t else [] for t in texts]
         number, known = self.number, len(self.number)
-        word = np.fromiter((number.setdefault(w, len(number)) for x in lists for w in x), np.int64)
+        word = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64)
         if len(number) > known:
             self.shapes = np.concatenate([self.shapes, _shapes(list(islice(number, known, None)))])
         sizes = np.array([len(x) for x in lists], np.int64)
