@@ -12,10 +12,12 @@ replaces the git-hash lookup.
 from __future__ import annotations
 
 import os
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relscope.operators import comparisons as C
 from relscope.operators import inference, ratings, scoring
@@ -74,7 +76,10 @@ def evaluation_job(spark: SparkSession, pairs_path: str, strategies, client_fact
                                 "batch_size": batch_size, "delay_seconds": float(delay_seconds),
                                 "max_retries": max_retries}, strategies)
     rows = overview_rows(stored, meta)
-    sinks.append_run_summary(rows, os.path.join(out_dir, "overview"))
+    # Later runs get later numbers; a run has one row per strategy.
+    order = F.row_number().over(Window.orderBy("strategy"))
+    numbered = rows.withColumn("run_seq", F.lit(time.time_ns() // 1000).cast("long") + order)
+    sinks.append_run_summary(numbered, os.path.join(out_dir, "overview"))
     return rows
 
 

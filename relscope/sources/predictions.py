@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relscope.sources.formats import stored_format
+
 # Column names as written in prediction and label files, and the
 # canonical names used by the operators.
 PREDICTION_RENAMES = {
@@ -35,17 +37,18 @@ def _typed(df: DataFrame, renames: dict[str, str]) -> DataFrame:
         e = F.col(f"`{c}`")
         if name in _TYPES:
             # int(float(v)) semantics: '1.0' -> 1; junk -> null, never an error.
-            e = e.try_cast("double")
-            e = e.try_cast(_TYPES[name]) if _TYPES[name] != "double" else e
+            # Whole numbers are tried first: a double would change ids above 2^53.
+            number = e.try_cast("double")
+            e = number if _TYPES[name] == "double" else F.coalesce(e.try_cast(_TYPES[name]), number.try_cast(_TYPES[name]))
         cols.append(e.alias(name))
     return df.select(*cols)
 
 
 def read_predictions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Read a per-pair prediction file (CSV with the published header, or
-    Parquet) into the canonical prediction columns.  ``pair_id`` is the
+    Parquet, told by the files unless ``fmt`` says) into the canonical prediction columns.  ``pair_id`` is the
     original index as text when the file has no pair id."""
-    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    fmt = fmt or stored_format(spark, path)
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relscope.schema import RUN_METADATA_COLS, RUN_METRIC_COLS
+from relscope.sources.formats import stored_format
 
 # Timestamp layouts seen in run files ("6/7/26 18:02" and
 # "2026-06-29 14:07:34").
@@ -34,12 +35,16 @@ def parse_timestamp(c: Column) -> Column:
     return out
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Read run summaries as strings, then type them without ever failing.
+def read_runs(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Read run summaries: a Parquet overview as the evaluation job stores it
+    (typed, with its ``run_seq``), or a CSV as strings, then typed without ever failing.
 
-    ``run_seq`` keeps the file order (the file is read whole, multi-line CSV is
+    For CSV ``run_seq`` keeps the file order (the file is read whole, multi-line CSV is
     not split, and the id grows with the position) so "first match wins"
     lookups stay reproducible."""
+    if (fmt or stored_format(spark, path)) == "parquet":
+        stored = spark.read.parquet(path)
+        return stored.withColumn("timestamp", parse_timestamp(F.col("timestamp").cast("string")))
     raw = (spark.read.option("header", True).option("multiLine", True)
            .option("escape", '"').csv(path))
     raw = raw.withColumn("run_seq", F.monotonically_increasing_id())
