@@ -52,11 +52,11 @@ def batched_inference(prompts: DataFrame, client_factory: ClientFactory, max_ret
     """Adds ``reply`` (null on failure), ``attempts`` and ``error`` to each prompt row.
 
     ``parallelism`` spreads the prompts over that many tasks (each with its own
-    client); by default the prompt partitioning is kept."""
+    client); by default as many as the cluster has cores.  The number is explicit,
+    so adaptive execution doesn't merge the small prompt partitions into one task."""
     from relscope.session import ship_package
     ship_package(prompts.sparkSession)
-    if parallelism:
-        prompts = prompts.repartition(parallelism)
+    prompts = prompts.repartition(parallelism or prompts.sparkSession.sparkContext.defaultParallelism)
     out_schema = T.StructType(prompts.schema.fields + [
         T.StructField("reply", T.StringType()), T.StructField("attempts", T.IntegerType()),
         T.StructField("error", T.StringType())])

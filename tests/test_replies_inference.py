@@ -93,3 +93,13 @@ def test_type_suffixes_are_no_numbers(spark):
     got = d.select(decode_flag(F.col("v")).alias("f"), decode_relevance(F.col("v")).alias("r")).collect()
     assert [r.f for r in got] == [None, None, 0, 1, 1, 0, 1]
     assert [r.r for r in got] == [None, None, 0.9, 1.0, 1.0, 0.5, 1.0]
+
+
+def test_model_calls_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+    from relscope.operators import inference
+    prompts = spark.range(40).coalesce(1).select(F.col("id"), F.col("id").cast("string").alias("prompt"))
+    out = inference.batched_inference(prompts, lambda: (lambda prompt: "[]"), retry_wait=0)
+    tasks = out.select("id", F.spark_partition_id().alias("task"))
+    assert tasks.select("task").distinct().count() > 1
+    assert out.count() == 40
