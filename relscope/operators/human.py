@@ -27,27 +27,36 @@ def as_predictions(df: DataFrame, gold: str = "gold", human: str = "human", keys
 
 def human_agreement(df: DataFrame, gold: str = "gold", human: str = "human", keys=()) -> DataFrame:
     """Label distributions, confusion totals, P/R/F1, macro F1 and accuracy of
-    human vs gold; rows with a missing value are dropped and counted."""
+    human vs gold.  Counted beside them: rows with a missing value (``n_dropped``),
+    complete rows whose gold (``n_rejected``) or human code (``n_human_rejected``)
+    is none of the three.  The counts are there even if no row is complete."""
     keys = list(keys)
     pred = as_predictions(df, gold, human, keys)
     summ = scoring.run_summary(pred, keys=keys)
     dropped = (df.groupBy(*keys).agg(
         F.count_if(F.col(gold).isNull() | F.col(human).isNull()).alias("n_dropped"),
+        F.count_if(F.col(gold).isNotNull() & ~F.col(human).cast("long").isin(0, 1, 2))
+        .alias("n_human_rejected"),
         F.count_if(F.col(human).cast("long") == 0).alias("human_count_attack"),
         F.count_if(F.col(human).cast("long") == 1).alias("human_count_support"),
         F.count_if(F.col(human).cast("long") == 2).alias("human_count_no_relation")))
     summ = summ.drop("strategy", "n_valid", "n_scored", "predicted_count_attack",
                      "predicted_count_support", "predicted_count_no_relation")
     if keys:
-        return summ.join(dropped, keys, "right").withColumnRenamed("n_evaluated", "n")
-    return _single(summ, dropped)
+        return _zeroed(summ.join(dropped, keys, "right"))
+    return _zeroed(_single(summ, dropped))
+
+
+def _zeroed(df: DataFrame) -> DataFrame:
+    df = df.withColumnRenamed("n_evaluated", "n")
+    return df.fillna(0, subset=["n", "n_rejected"])
 
 
 def _single(summ: DataFrame, dropped: DataFrame) -> DataFrame:
     """Attach the one-row drop counts to the one-row summary (equi-join on a constant key)."""
     s = summ.withColumn("_k", F.lit(1))
     d = dropped.withColumn("_k", F.lit(1))
-    return s.join(d, "_k").drop("_k").withColumnRenamed("n_evaluated", "n")
+    return d.join(s, "_k", "left").drop("_k")
 
 
 def human_confusion(df: DataFrame, gold: str = "gold", human: str = "human", keys=()) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relscope.functions.labels import derive_labels, known_gold, y_true
+from relscope.functions.labels import derive_labels, is_valid, known_gold, y_true
 from relscope.schema import (ATTACK, CLASS_KEYS, NO_RELATION, NOT_ATTACK, STRATEGIES,
                              SUPPORT)
 
@@ -42,6 +42,16 @@ def split_rejects(pred: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pred.filter(ok), pred.filter(~ok | ok.isNull())
 
 
+def rejected_predictions(pred: DataFrame) -> DataFrame:
+    """The rows that no metric can use, as they came; ``n_rejected`` counts them per run."""
+    return split_rejects(pred)[1]
+
+
+def valid_rows(pred: DataFrame) -> DataFrame:
+    """The rows that are scored: a known gold code and every flag the strategy needs."""
+    return split_rejects(pred)[0].filter(is_valid())
+
+
 def prediction_cells(pred: DataFrame, keys=None) -> DataFrame:
     """Collapse prediction rows into scoring cells (the one row-sized pass).
 
@@ -50,22 +60,27 @@ def prediction_cells(pred: DataFrame, keys=None) -> DataFrame:
     (validity, predicted label, correctness) are then evaluated on the cells,
     which are few (runs x gold x flag combinations).  Consumers aggregate the
     cells with conditional sums, never with filters on derived labels, so the
-    optimizer has nothing to push back into the row-level stage."""
+    optimizer has nothing to push back into the row-level stage.
+
+    Rows whose gold code the strategy cannot score count in ``n_rejected`` and
+    in nothing else."""
     k = _keys(pred, keys)
     cols = k + ["strategy", "support", "pred_attack", "pred_support", "pred_neither"]
-    scored, _ = split_rejects(pred.select(*cols))
-    raw = scored.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    d = derive_labels(raw)
+    raw = pred.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"))
+    known = F.coalesce(known_gold(), F.lit(False))
+    d = derive_labels(raw).withColumns(
+        {"n": F.when(known, F.col("_rows")).otherwise(F.lit(0)),
+         "n_rejected": F.when(known, F.lit(0)).otherwise(F.col("_rows"))})
     n = F.col("n")
-    # Optimization fence: the labels reference the cell count (n >= 1, so the
-    # values are unchanged).  Predicates on them -- including the not-null
+    # Optimization fence: the labels reference the cell count (n >= 1 for every
+    # scored cell; rejected ones have no labels).  Predicates on them -- including the not-null
     # constraints Catalyst infers from later joins -- then stay on the small
     # cell table instead of being inlined into the row-level scan filter.
     fence = n > 0
     d = d.withColumns({"valid": F.when(fence, F.col("valid")),
                        "y_pred": F.when(fence, F.col("y_pred")),
                        "correct": F.when(fence, F.col("correct"))})
-    return d.select(*k, "strategy", "support", "valid", "y_pred", "n",
+    return d.select(*k, "strategy", "support", "valid", "y_pred", "n", "n_rejected",
                     (F.coalesce(F.col("correct"), F.lit(0)) * n).cast("long").alias("n_correct"),
                     (F.coalesce("pred_attack", F.lit(0)) * n).cast("long").alias("flag_attack"),
                     (F.coalesce("pred_support", F.lit(0)) * n).cast("long").alias("flag_support"),
@@ -111,6 +126,7 @@ def _cell_aggregates(cells: DataFrame, k: list[str]) -> DataFrame:
     """Per run: totals plus TP/FP/FN/TN of every class (strategy applicability later)."""
     sc = "(valid AND y_pred IS NOT NULL)"
     aggs = ["CAST(sum(n) AS BIGINT) AS n_evaluated",
+            "CAST(sum(n_rejected) AS BIGINT) AS n_rejected",
             f"{_n_if_sql('valid')} AS n_valid",
             f"{_n_if_sql(sc)} AS n_scored",
             "CAST(sum(CASE WHEN valid THEN n_correct ELSE 0 END) AS BIGINT) AS n_correct",
@@ -140,7 +156,7 @@ def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> D
         cells = prediction_cells(pred, k)
     a = _cell_aggregates(cells, k)
     out = [f"`{c}`" for c in k] + [
-        "strategy", "n_evaluated", "n_valid", "n_scored", "ground_truth_count_attack",
+        "strategy", "n_evaluated", "n_rejected", "n_valid", "n_scored", "ground_truth_count_attack",
         "ground_truth_count_support", "ground_truth_count_no_relation", "predicted_count_attack",
         "predicted_count_support", "predicted_count_no_relation", "n_correct",
         "try_divide(n_correct, n_valid) AS accuracy"]
@@ -168,50 +184,57 @@ def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> D
 
 
 def accuracy(pred: DataFrame, keys=None) -> DataFrame:
-    """(n_correct, n_valid, accuracy) per run and strategy."""
+    """(n_correct, n_valid, accuracy, n_rejected) per run and strategy."""
     k = _keys(pred, keys)
     cells = prediction_cells(pred, k)
     v = F.col("valid")
     return (cells.groupBy(*k, "strategy")
             .agg(F.sum(F.when(v, F.col("n_correct")).otherwise(F.lit(0))).cast("long")
                  .alias("n_correct"),
-                 _n_if(v).alias("n_valid"))
+                 _n_if(v).alias("n_valid"),
+                 F.sum("n_rejected").cast("long").alias("n_rejected"))
             .withColumn("accuracy", F.try_divide(F.col("n_correct"), F.col("n_valid"))))
 
 
-def class_dimension(spark) -> DataFrame:
-    """(strategy, class, class_seq) for every scored class: a fixed 10-row table."""
-    from relscope.session import values_frame
-    rows = [(s.letter, cls, i) for s in STRATEGIES.values() for i, cls in enumerate(s.classes)]
-    return values_frame(spark, rows, "strategy string, class string, class_seq int")
+def _per_class(agg: DataFrame, k: list[str], fields, keep=()) -> DataFrame:
+    """One row per run and class of its strategy, unfolded from the run's one
+    aggregate row: no join, so the predictions are read once.
+
+    ``fields`` maps a class to ``name -> expression`` over the aggregate's columns."""
+    def row(cls: str, seq: int) -> str:
+        parts = ", ".join(f"'{n}', {e}" for n, e in fields(cls).items())
+        return f"named_struct('class', '{cls}', 'class_seq', {seq}, {parts})"
+    return agg.selectExpr(*[f"`{c}`" for c in k], "strategy", *keep,
+                          f"inline({_by_strategy(lambda x: [row(c, i) for i, c in enumerate(x)])})")
+
+
+def _by_strategy(rows) -> str:
+    """An array chosen by strategy; ``rows`` makes its elements from the strategy's
+    classes.  Strategies with the same classes share one branch."""
+    letters: dict[tuple, list[str]] = {}
+    for s in STRATEGIES.values():
+        letters.setdefault(tuple(s.classes), []).append(f"'{s.letter}'")
+    return "CASE " + " ".join(f"WHEN strategy IN ({', '.join(x)}) THEN array({', '.join(rows(c))})"
+                              for c, x in letters.items()) + " END"
 
 
-def _run_classes(cells: DataFrame, k: list[str]) -> DataFrame:
-    runs = cells.select(*k, "strategy").distinct()
-    dim = F.broadcast(class_dimension(cells.sparkSession))  # fixed size
-    return runs.join(dim, "strategy")
+def _counts_by(cells: DataFrame, k: list[str], label: str, name: str) -> DataFrame:
+    agg = cells.groupBy(*k, "strategy").agg(
+        *[F.expr(_n_if_sql(f"valid AND {label} = '{c}'")).alias(f"_{_key(c)}") for c in _EVAL_CLASSES])
+    return _per_class(agg, k, lambda c: {name: f"_{_key(c)}"})
 
 
 def gold_distribution(pred: DataFrame, keys=None) -> DataFrame:
     """Valid rows per true label, for each class of the strategy (0 when absent)."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k)
-    counts = (cells.withColumn("class", y_true("strategy", "support"))
-              .groupBy(*k, "strategy", "class").agg(_n_if(F.col("valid")).alias("n_gold")))
-    return (_run_classes(cells, k).join(counts, k + ["strategy", "class"], "left")
-            .select(*k, "strategy", "class", "class_seq",
-                    F.coalesce("n_gold", F.lit(0)).cast("long").alias("n_gold")))
+    cells = prediction_cells(pred, k).withColumn("_yt", y_true("strategy", "support"))
+    return _counts_by(cells, k, "_yt", "n_gold")
 
 
 def predicted_distribution(pred: DataFrame, keys=None) -> DataFrame:
     """Valid rows per predicted label (nulls left out), for each class of the strategy."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k)
-    counts = (cells.groupBy(*k, "strategy", F.col("y_pred").alias("class"))
-              .agg(_n_if(F.col("valid")).alias("n_pred")))
-    return (_run_classes(cells, k).join(counts, k + ["strategy", "class"], "left")
-            .select(*k, "strategy", "class", "class_seq",
-                    F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred")))
+    return _counts_by(prediction_cells(pred, k), k, "y_pred", "n_pred")
 
 
 def predicted_flag_counts(pred: DataFrame, keys=None) -> DataFrame:
@@ -224,32 +247,25 @@ def predicted_flag_counts(pred: DataFrame, keys=None) -> DataFrame:
                  .alias("predicted_count_no_relation")))
 
 
-def class_grid(spark) -> DataFrame:
-    """(strategy, y_true, true_seq, y_pred, pred_seq): every class pair of each
-    strategy -- fixed size (26 rows), so it is the broadcast side."""
-    dim = class_dimension(spark)
-    t = dim.select("strategy", F.col("class").alias("y_true"), F.col("class_seq").alias("true_seq"))
-    p = dim.select("strategy", F.col("class").alias("y_pred"), F.col("class_seq").alias("pred_seq"))
-    return t.join(p, "strategy")
-
-
 def confusion_matrix(pred: DataFrame, keys=None, wide: bool = False) -> DataFrame:
     """True x predicted counts over scored rows, every class pair of the strategy.
 
     Long form ``(keys, strategy, y_true, y_pred, n)``; ``wide=True`` pivots the
     predicted labels with an explicit value list (no extra distinct pass).
-    The cells are computed once; runs x grid is built from them and the fixed
-    class grid, so the prediction rows are read once."""
+    Every class pair is a conditional sum of one aggregate, unfolded per strategy:
+    the prediction rows are read once and nothing is joined."""
     k = _keys(pred, keys)
-    cells = prediction_cells(pred, k)
-    runs = cells.select(*k, "strategy").distinct()
-    grid = runs.join(F.broadcast(class_grid(cells.sparkSession)), "strategy")
-    counts = (cells.withColumn("y_true", y_true("strategy", "support"))
-              .groupBy(*k, "strategy", "y_true", "y_pred")
-              .agg(_n_if(F.col("valid") & F.col("y_pred").isNotNull()).alias("n")))
-    long = (grid.join(counts, k + ["strategy", "y_true", "y_pred"], "left")
-            .select(*k, "strategy", "y_true", "true_seq", "y_pred", "pred_seq",
-                    F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    cells = prediction_cells(pred, k).withColumn("_yt", y_true("strategy", "support"))
+    agg = cells.groupBy(*k, "strategy").agg(
+        *[F.expr(_n_if_sql(f"valid AND _yt = '{t}' AND y_pred = '{p}'")).alias(f"_{_key(t)}_{_key(p)}")
+          for t in _EVAL_CLASSES for p in _EVAL_CLASSES])
+
+    def pairs(classes) -> list[str]:
+        return [f"named_struct('y_true', '{t}', 'true_seq', {i}, 'y_pred', '{p}', 'pred_seq', {j}, "
+                f"'n', _{_key(t)}_{_key(p)})"
+                for i, t in enumerate(classes) for j, p in enumerate(classes)]
+
+    long = agg.selectExpr(*[f"`{c}`" for c in k], "strategy", f"inline({_by_strategy(pairs)})")
     if not wide:
         return long
     return (long.groupBy(*k, "strategy", "y_true", "true_seq")
@@ -262,13 +278,8 @@ def class_metrics(pred: DataFrame, keys=None, cells: DataFrame | None = None) ->
     k = _keys(pred, keys)
     cells = prediction_cells(pred, k) if cells is None else cells
     a = _cell_aggregates(cells, k)
-    rc = _run_classes(cells, k)
-    j = rc.join(a, k + ["strategy"])
-    picks = {part: "CASE class " + " ".join(f"WHEN '{cls}' THEN _{part}_{_key(cls)}"
-                                             for cls in _EVAL_CLASSES) + " END"
-             for part in ("tp", "fp", "fn", "tn")}
-    out = j.selectExpr(*[f"`{c}`" for c in k], "strategy", "class", "class_seq", "n_scored",
-                       "n_valid", "n_evaluated", *[f"{picks[p]} AS {p}" for p in picks])
+    out = _per_class(a, k, lambda c: {p: f"_{p}_{_key(c)}" for p in ("tp", "fp", "fn", "tn")},
+                     keep=("n_scored", "n_valid", "n_evaluated"))
     prec, rec = _ratio_sql("tp", "tp + fp"), _ratio_sql("tp", "tp + fn")
     return out.selectExpr("*", f"{prec} AS precision", f"{rec} AS recall",
                           f"{_f1_sql(prec, rec)} AS f1",
@@ -298,12 +309,15 @@ def count_check(pred: DataFrame, keys=None) -> DataFrame:
 
 
 def valid_predictions(pred: DataFrame, keys=None) -> DataFrame:
-    """Rows per run, rows whose needed flags are all present, and rows dropped."""
+    """Rows per run, rows whose needed flags are all present, rows dropped for a
+    missing flag, and rows rejected for their gold code (``valid_rows`` and
+    ``rejected_predictions`` give the rows)."""
     k = _keys(pred, keys)
     return (prediction_cells(pred, k).groupBy(*k, "strategy")
             .agg(F.sum("n").cast("long").alias("n_rows"),
                  _n_if(F.col("valid")).alias("n_valid"),
-                 _n_if(~F.col("valid")).alias("n_dropped")))
+                 _n_if(~F.col("valid")).alias("n_dropped"),
+                 F.sum("n_rejected").cast("long").alias("n_rejected")))
 
 
 def strategies_present(pred: DataFrame) -> DataFrame:

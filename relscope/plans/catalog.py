@@ -99,6 +99,17 @@ def q_valid_predictions(spark, sf_dir):
     return scoring.valid_predictions(fx.predictions(spark, sf_dir))
 
 
+@register("valid_rows", os_.valid_rows)
+def q_valid_rows(spark, sf_dir):
+    return scoring.valid_rows(fx.predictions(spark, sf_dir)).select("pair_id", "run_id", "strategy", "support")
+
+
+@register("rejected_predictions", os_.rejected_predictions)
+def q_rejected_predictions(spark, sf_dir):
+    moved = fx.predictions(spark, sf_dir).withColumn("support", F.col("support") + 1)
+    return scoring.rejected_predictions(moved).select("pair_id", "run_id", "strategy", "support")
+
+
 @register("strategies_present", os_.strategies_present)
 def q_strategies_present(spark, sf_dir):
     return scoring.strategies_present(fx.predictions(spark, sf_dir))
@@ -627,7 +638,8 @@ def q_stream_predictions(spark, sf_dir):
     src = _scratch(spark, "reply-files")
     rfx.build(spark, sf_dir).repartition(4).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    out = stream_predictions(spark, src, schema)
+    out = stream_predictions(spark, src, schema, _scratch(spark, "stream-predictions"),
+                             _scratch(spark, "stream-predictions-ckpt"))
     return spark.read.parquet(out).select("run_id", "batch_id", "n_expected", "n_items_reply",
                                           "parse_status")
 
@@ -638,7 +650,8 @@ def q_stream_run_summary(spark, sf_dir):
     src = _scratch(spark, "prediction-files")
     fx.predictions(spark, sf_dir).repartition(4).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    return stream_run_summary(spark, src, schema)
+    return stream_run_summary(spark, src, schema, _scratch(spark, "stream-cells"),
+                              _scratch(spark, "stream-cells-ckpt"))
 
 
 def queries() -> dict[str, Query]:

@@ -24,7 +24,7 @@ from relscope.operators import inference, ratings, scoring
 from relscope.plans.specs import STUDY_SPECS, spec_frame
 from relscope.schema import RUN_METADATA_COLS, RUN_METRIC_COLS
 from relscope.sources import sinks
-from relscope.sources.pairs import read_pairs
+from relscope.sources.pairs import check_unique_ids, read_pairs
 from relscope.sources.predictions import read_predictions
 from relscope.sources.runs import read_runs
 
@@ -60,7 +60,7 @@ def evaluation_job(spark: SparkSession, pairs_path: str, strategies, client_fact
 
     Writes ``out_dir/predictions`` (partitioned by strategy, fresh partitions
     replaced) and appends to ``out_dir/overview``; returns the new overview rows."""
-    pairs = read_pairs(spark, pairs_path)
+    pairs = check_unique_ids(read_pairs(spark, pairs_path))
     if relevance_col is None and "relevance_human_labeled" in pairs.columns:
         relevance_col = "relevance_human_labeled"
     preds = inference.evaluate_pairs(pairs, strategies, client_factory, few_shot_n, limit,

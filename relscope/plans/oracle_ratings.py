@@ -109,6 +109,8 @@ def human_agreement() -> str:
         "o_hf": "\n  SELECT *, " + ", ".join(f1) + " FROM o_hp",
         "o_hd": """
   SELECT count_if(gold IS NULL OR human IS NULL) AS n_dropped,
+         count_if(human IS NOT NULL AND gold IS NOT NULL AND gold NOT IN (0, 1, 2)) AS n_rejected,
+         count_if(gold IS NOT NULL AND human IS NOT NULL AND human NOT IN (0, 1, 2)) AS n_human_rejected,
          count_if(human = 0) AS human_count_attack, count_if(human = 1) AS human_count_support,
          count_if(human = 2) AS human_count_no_relation
   FROM fx_human""",
@@ -120,7 +122,7 @@ def human_agreement() -> str:
         cols += [f"tp_{k} AS true_positive_{k}", f"fp_{k} AS false_positive_{k}",
                  f"fn_{k} AS false_negative_{k}", f"tn_{k} AS true_negative_{k}",
                  f"p_{k} AS precision_{k}", f"r_{k} AS recall_{k}", f"f1_{k} AS f1_score_{k}"]
-    cols += ["(f1_attack + f1_support + f1_no_relation) / 3 AS macro_f1", "n_dropped",
+    cols += ["(f1_attack + f1_support + f1_no_relation) / 3 AS macro_f1", "n_dropped", "n_rejected", "n_human_rejected",
              "human_count_attack", "human_count_support", "human_count_no_relation"]
     return (with_clause(["fx_human", *ctes], ctes)
             + "SELECT " + ", ".join(cols) + " FROM o_hf CROSS JOIN o_hd")

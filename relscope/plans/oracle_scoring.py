@@ -100,6 +100,13 @@ def labeled_ctes() -> dict[str, str]:
     }
 
 
+# Counted from the rows as they are, without the filter of o_labeled.
+_REJECTED = """
+  SELECT run_id, strategy, count_if(strategy <> 'A' AND (support IS NULL OR support NOT IN (0, 1, 2)))
+         AS n_rejected
+  FROM fx_predictions GROUP BY run_id, strategy"""
+
+
 def run_summary_select(src: str = "o_f1") -> str:
     cols = ["run_id", "strategy", "n_evaluated", "n_valid", "n_scored",
             "ground_truth_count_attack", "ground_truth_count_support",
@@ -128,12 +135,15 @@ def _w(extra_names=(), extra=None) -> str:
 
 
 def run_summary() -> str:
-    return _w() + run_summary_select()
+    return _w(extra={"o_rej": _REJECTED, "o_sum": "\n  " + run_summary_select()}) + (
+        "SELECT o_sum.*, n_rejected FROM o_sum JOIN o_rej USING (run_id, strategy)")
 
 
 def accuracy() -> str:
-    return _w() + ("SELECT run_id, strategy, n_correct, n_valid, "
-                   "CASE WHEN n_valid > 0 THEN n_correct / n_valid END AS accuracy FROM o_agg")
+    return _w(extra={"o_rej": _REJECTED}) + (
+        "SELECT run_id, strategy, n_correct, n_valid, n_rejected, "
+        "CASE WHEN n_valid > 0 THEN n_correct / n_valid END AS accuracy "
+        "FROM o_agg JOIN o_rej USING (run_id, strategy)")
 
 
 def gold_distribution() -> str:
@@ -225,9 +235,20 @@ FROM o_cls GROUP BY run_id, strategy"""
 
 
 def valid_predictions() -> str:
-    return _w() + """
-SELECT run_id, strategy, n_evaluated AS n_rows, n_valid, n_evaluated - n_valid AS n_dropped
-FROM o_agg"""
+    return _w(extra={"o_rej": _REJECTED}) + """
+SELECT run_id, strategy, n_evaluated AS n_rows, n_valid, n_evaluated - n_valid AS n_dropped, n_rejected
+FROM o_agg JOIN o_rej USING (run_id, strategy)"""
+
+
+def valid_rows() -> str:
+    return _w() + "SELECT pair_id, run_id, strategy, support FROM o_labeled WHERE valid"
+
+
+def rejected_predictions() -> str:
+    """Codes moved up by one, so that every third class becomes an unknown one."""
+    return with_clause(["fx_predictions"]) + """
+SELECT pair_id, run_id, strategy, support + 1 AS support
+FROM fx_predictions WHERE strategy <> 'A' AND (support IS NULL OR support + 1 > 2)"""
 
 
 def strategies_present() -> str:

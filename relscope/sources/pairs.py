@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +29,42 @@ def check_inputs(df: DataFrame, required=REQUIRED) -> DataFrame:
     return df
 
 
-def _with_file_positions(df: DataFrame) -> DataFrame:
-    """orig_idx = position of the row in its file.
+def check_unique_ids(df: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Raises when an id is missing or occurs twice: seeded orders, exclusion and
+    label joins all rely on it."""
+    bad = (df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull())
+           .select(key).limit(3).collect())
+    if bad:
+        raise ValueError(f"Pair ids are not unique: {[r[0] for r in bad]}")
+    return df
+
+
+def _with_csv_positions(df: DataFrame) -> DataFrame:
+    """orig_idx = position of the row in its CSV file.
 
-    Files are read whole (multi-line CSV is not split), so the ids of one
-    file's rows are contiguous; subtracting the file's first id gives the
-    position.  The per-file table has one row per file."""
-    d = df.withColumn("_file", F.input_file_name()).withColumn("_mid", F.monotonically_increasing_id())
+    Multi-line CSV files are read whole, so the ids of one file's rows are
+    contiguous; subtracting the file's first id gives the position.  The
+    per-file table has one row per file."""
+    d = df.withColumn("_mid", F.monotonically_increasing_id())
     first = d.groupBy("_file").agg(F.min("_mid").alias("_first"))
     d = d.join(first, "_file")
-    d = d.withColumn("orig_idx", F.col("_mid") - F.col("_first"))
-    return d.withColumn("_fname", F.element_at(F.split("_file", "/"), -1)).drop("_mid", "_first")
+    return d.withColumn("orig_idx", F.col("_mid") - F.col("_first")).drop("_mid", "_first")
 
 
-def _pair_ids(df: DataFrame, had_idx: bool) -> DataFrame:
+def _pair_ids(df: DataFrame, path: str) -> DataFrame:
+    """pair_id = file and position.  The file is named by its path below ``path``
+    (its base name when ``path`` is the file), so files of one name in different
+    folders differ and moving the whole folder changes no id."""
     if "pair_id" in df.columns:
-        return df.drop("_file", "_fname") if "_file" in df.columns else df
-    if had_idx:
-        return df.withColumn("pair_id", F.col("orig_idx").cast("string"))
-    return (df.withColumn("pair_id", F.concat_ws("#", F.col("_fname"), F.col("orig_idx").cast("string")))
-            .drop("_file", "_fname"))
+        return df.drop("_file")
+    root = path.rstrip("/").split("://")[-1]
+    root = root[len("file:"):] if root.startswith("file:") else root
+    below = F.expr("substring(_file, instr(_file, _root) + length(_root) + 1)")
+    name = (F.when(F.col("_file").endswith(root), F.element_at(F.split("_file", "/"), -1))
+            .when(F.instr("_file", F.col("_root")) > 0, below).otherwise(F.col("_file")))
+    d = df.withColumn("_root", F.lit(root)).withColumn("_name", name)
+    return (d.withColumn("pair_id", F.concat_ws("#", "_name", F.col("orig_idx").cast("string")))
+            .drop("_file", "_root", "_name"))
 
 
 def read_pairs_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -60,16 +75,15 @@ def read_pairs_csv(spark: SparkSession, path: str, limit: int | None = None) ->
         if old in df.columns:
             df = df.withColumnRenamed(old, new)
     df = df.withColumn("support", F.col("support").try_cast("double").try_cast("long"))
-    had_idx = "orig_idx" in df.columns
-    if had_idx:
+    df = df.withColumn("_file", F.col("_metadata.file_path"))
+    if "orig_idx" in df.columns:
         df = df.withColumn("orig_idx", F.col("orig_idx").try_cast("long"))
     else:
-        df = _with_file_positions(df)
+        df = _with_csv_positions(df)
     if "relevance_human_labeled" in df.columns:
         df = df.withColumn("relevance_human_labeled",
                            F.col("relevance_human_labeled").try_cast("double"))
-    df = _pair_ids(df, had_idx)
-    return _limit(df, limit)
+    return _limit(_pair_ids(df, path), limit)
 
 
 def _limit(df: DataFrame, limit: int | None) -> DataFrame:
@@ -84,11 +98,8 @@ def _local(path: str) -> str:
 
 
 def _open(path: str):
-    import pyarrow.fs as pafs
-    if "://" in path and not path.startswith("file:"):
-        fs, p = pafs.FileSystem.from_uri(path)
-        return fs.open_input_stream(p)
-    return pa.OSFile(_local(path), "rb")
+    fs, p = _file_system(path)
+    return fs.open_input_stream(p)
 
 
 ARROW_PAIR_SCHEMA = T.StructType([
@@ -109,25 +120,25 @@ def read_pairs_arrow(spark: SparkSession, path: str, limit: int | None = None,
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path")
     files = files.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
-    names = [f.name for f in schema.fields]
+    target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
     def read(batches):
         import pyarrow.ipc as ipc
-        for pdf in batches:
-            for p in pdf["path"]:
+        for paths in batches:
+            for p in paths.column(0).to_pylist():
                 offset = 0
                 with _open(p) as src, ipc.open_stream(src) as reader:
                     for rb in reader:
-                        t = rb.to_pandas()
-                        t["source_file"] = os.path.basename(_local(p))
-                        t["orig_idx"] = range(offset, offset + len(t))
-                        offset += len(t)
-                        for c in names:
-                            if c not in t.columns:
-                                t[c] = None
-                        yield t[names]
-
-    df = files.mapInPandas(read, schema)
+                        n = rb.num_rows
+                        own = {"source_file": pa.array([os.path.basename(_local(p))] * n, pa.string()),
+                               "orig_idx": pa.array(range(offset, offset + n), pa.int64())}
+                        offset += n
+                        cols = [own[f.name] if f.name in own
+                                else rb.column(f.name).cast(f.type) if f.name in rb.schema.names
+                                else pa.nulls(n, f.type) for f in target]
+                        yield pa.RecordBatch.from_arrays(cols, schema=target)
+
+    df = files.mapInArrow(read, schema)
     df = df.withColumn("pair_id", F.concat_ws("#", "source_file", F.col("orig_idx").cast("string")))
     return _limit(df, limit)
 
@@ -139,16 +150,21 @@ def read_pairs(spark: SparkSession, path: str, limit: int | None = None) -> Data
         return read_pairs_csv(spark, path, limit)
     if p.endswith(".parquet"):
         df = check_inputs(spark.read.parquet(path))
-        had = "orig_idx" in df.columns
-        if not had:
-            df = _with_file_positions(df)
-        return _limit(_pair_ids(df, had), limit)
+        df = df.withColumn("_file", F.col("_metadata.file_path"))
+        if "orig_idx" not in df.columns:
+            # The reader numbers the rows of a file, however the file is split.
+            df = df.withColumn("orig_idx", F.col("_metadata.row_index"))
+        return _limit(_pair_ids(df, path), limit)
     return read_pairs_arrow(spark, path, limit)
 
 
 def write_pairs_arrow(df: DataFrame, path: str, cols=("arg1", "arg2", "support", "type")) -> DataFrame:
-    """Write each partition as one Arrow IPC stream file under ``path``;
-    returns (file, rows) per written file.  The data never leaves its task."""
+    """Write each partition as one Arrow IPC stream file under ``path`` (a shared
+    folder or a URI, used by this write alone); returns (file, rows) per file.
+
+    A file is named by its partition and written under a hidden name of the
+    attempt, then renamed: a repeated or speculative task replaces its own file
+    and leaves no second copy of its rows."""
     from relscope.session import ship_package
     ship_package(df.sparkSession)
     cols = list(cols)
@@ -156,20 +172,29 @@ def write_pairs_arrow(df: DataFrame, path: str, cols=("arg1", "arg2", "support",
     arrow_schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in sub.schema.fields])
 
     def write(batches):
-        import uuid
         import pyarrow.ipc as ipc
-        base = _local(path)
-        os.makedirs(base, exist_ok=True)
-        name = os.path.join(base, f"part-{uuid.uuid4().hex}.arrow")
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        fs, base = _file_system(path)
+        fs.create_dir(base, recursive=True)
+        name = f"{base}/part-{task.partitionId():06d}.arrow"
+        aside = f"{base}/_{task.taskAttemptId()}.arrow"
         n = 0
-        with pa.OSFile(name, "wb") as sink, ipc.new_stream(sink, arrow_schema) as w:
-            for pdf in batches:
-                w.write_table(pa.Table.from_pandas(pdf[cols], schema=arrow_schema,
-                                                   preserve_index=False))
-                n += len(pdf)
-        yield pd.DataFrame({"file": [name], "rows": [n]})
-
-    return sub.mapInPandas(write, "file string, rows long")
+        with fs.open_output_stream(aside) as sink, ipc.new_stream(sink, arrow_schema) as w:
+            for rb in batches:
+                w.write_table(pa.Table.from_batches([rb]).cast(arrow_schema))
+                n += rb.num_rows
+        fs.move(aside, name)
+        yield pa.RecordBatch.from_pydict({"file": [name], "rows": [n]})
+
+    return sub.mapInArrow(write, "file string, rows long")
+
+
+def _file_system(path: str):
+    import pyarrow.fs as pafs
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), "/" + _local(path).strip("/")
 
 
 def _arrow_type(dt):

@@ -9,62 +9,73 @@ runs x classes^2, so no watermark is needed -- and each micro-batch rewrites
 the small cell snapshot; the run summary is computed from that snapshot with
 the same code as the batch job, so streaming and batch results are equal.
 
-Both use a checkpoint location in the shared folder, so a restarted query
-resumes exactly where it stopped.
+Output and checkpoint folders are the caller's: a restarted job that is given the
+same ones resumes where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relscope.operators import replies, scoring
-from relscope.session import scratch_dir
 
 
-def stream_predictions(spark: SparkSession, reply_dir: str, schema, out_dir: str | None = None,
-                       keys=("run_id", "strategy", "batch_id"), max_files: int = 1) -> str:
-    """Parse reply files as they arrive; append parsed batches to ``out_dir``.
-    Runs until the folder is drained (``availableNow``); returns ``out_dir``."""
-    out_dir = out_dir or scratch_dir(spark, "stream-predictions")
-    ckpt = scratch_dir(spark, "stream-predictions-ckpt")
+def stream_predictions(spark: SparkSession, reply_dir: str, schema, out_dir: str,
+                       checkpoint_dir: str, keys=("run_id", "strategy", "batch_id"),
+                       max_files: int = 1) -> str:
+    """Parse reply files as they arrive; append the parsed batches, with their
+    decoded items, to ``out_dir``.  Runs until the folder is drained
+    (``availableNow``); a later call with the same folders goes on with the files
+    that came since.  Returns ``out_dir``."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
            .parquet(reply_dir))
-    parsed = replies.parse_replies(src, keys=keys).drop("items")
+    parsed = replies.parse_replies(src, keys=keys)
     q = (parsed.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", ckpt).outputMode("append")
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out_dir
 
 
-def stream_run_summary(spark: SparkSession, pred_dir: str, schema, keys=("run_id",),
-                       cells_dir: str | None = None, max_files: int = 1,
+def _last_snapshot(spark: SparkSession, cells_dir: str) -> DataFrame:
+    """The cells of the last finished epoch; Spark's own success mark tells it from a torn one."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.parquet").load(cells_dir).select("path"))
+    last = files.select(F.max(F.regexp_extract("path", r"/epoch=(\d+)/", 1).cast("long"))).first()[0]
+    return spark.read.parquet(f"{cells_dir}/epoch={last}")
+
+
+def stream_run_summary(spark: SparkSession, pred_dir: str, schema, cells_dir: str,
+                       checkpoint_dir: str, keys=("run_id",), max_files: int = 1,
                        state_partitions: int | None = None) -> DataFrame:
     """Running scoring cells per run while predictions arrive; returns the run
-    summary computed from the final cell snapshot.
+    summary computed from the last cell snapshot.  A later call with the same
+    folders goes on with the files that came since.
+
+    Each epoch writes its own folder ``epoch=N`` under ``cells_dir``, so a reader
+    never meets a snapshot that is being replaced.
 
     The state is bounded (runs x classes^2), so it needs few partitions: the
     state store is created with ``state_partitions`` (default: the cluster's
     default parallelism) instead of the session's shuffle partitions; the
     number is fixed in the checkpoint at the first start."""
-    cells_dir = cells_dir or scratch_dir(spark, "stream-cells")
     parts = state_partitions or max(1, spark.sparkContext.defaultParallelism)
-    ckpt = scratch_dir(spark, "stream-cells-ckpt")
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
            .parquet(pred_dir))
     cells = scoring.prediction_cells(src, list(keys))
 
     def snapshot(batch: DataFrame, epoch: int) -> None:
-        # complete mode hands over every cell: rewriting the snapshot is idempotent
-        batch.write.mode("overwrite").parquet(cells_dir)
+        # complete mode hands over every cell: a repeated epoch rewrites its own folder
+        batch.write.mode("overwrite").parquet(f"{cells_dir}/epoch={epoch}")
 
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         q = (cells.writeStream.outputMode("complete").foreachBatch(snapshot)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
-    final = spark.read.parquet(cells_dir)
+    final = _last_snapshot(spark, cells_dir)
     return scoring.run_summary(final, keys=list(keys), cells=final)
