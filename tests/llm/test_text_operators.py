@@ -173,6 +173,44 @@ def test_fuzzy_lines(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_changed_words_and_letters_are_found(spark):
+    rng = np.random.default_rng(7)
+
+    def word():
+        return "".join(rng.choice(list("abcdefghiklmnoprstuvwz"), rng.integers(3, 9)))
+
+    def changed(line, n):
+        w = line.split(" ")
+        for i in rng.choice(len(w), n, replace=False):
+            w[i] = word()
+        return " ".join(w)
+
+    data = []
+    for n in (10, 20, 30, 60):
+        for k in (1, max(1, n // 10)):
+            for _ in range(8):
+                line = " ".join(word() for _ in range(n))
+                data += [line, changed(line, k)]
+    for n in (20, 60, 200):  # every fifteenth letter
+        line = " ".join(word() for _ in range(n // 5))[:n].strip()
+        data += [line, "".join("x" if i % 15 == 7 else c for i, c in enumerate(line))]
+    # brute force: a line goes exactly if an earlier one is similar (the pairs stand apart from each other)
+    goes = [any(abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 for x in data[max(0, i - 1):i])
+            for i, y in enumerate(data)]
+    assert sum(goes) >= 0.9 * len(data) / 2
+    d = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    assert [x["__lines_gone"] == 1 for x in sorted(line_dedup.dedup_lines(d).collect(), key=lambda x: x.doc_id)] == goes
+
+
 def test_simhash_of_units_is_the_majority_of_its_pairs(spark):
     x = line_dedup.simhashed(spark.createDataFrame([(1, PROSE)], "doc_id long, text string")).first()
     w = PROSE.split(" ")
