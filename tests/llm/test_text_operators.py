@@ -211,6 +211,20 @@ def test_changed_words_and_letters_are_found(spark):
     assert [x["__lines_gone"] == 1 for x in sorted(line_dedup.dedup_lines(d).collect(), key=lambda x: x.doc_id)] == goes
 
 
+def test_repeats_without_three_words_go(spark):
+    rng = np.random.default_rng(5)
+    han = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 60))
+    lines = [han, "https://example.org/a/long/path?with=several&parts=of&it", "one\ttwo\tthree\tfour\tfive", "internationalisation", "Privacy statement"]
+    near = han[:30] + "\u3042" + han[31:]
+    data = [(i, x) for i, x in enumerate(lines * 2)] + [(20, near)]
+    for k, n in enumerate((129, 130, 257, 258, 386)):  # copied one-line documents
+        line = " ".join("".join(rng.choice(list("abcdefghik"), 6)) for _ in range(n))
+        data += [(30 + 2 * k, line), (31 + 2 * k, line)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, text in data:
+        assert got[i] == (text if i < len(lines) or (i >= 30 and i % 2 == 0) else "")
+
+
 def test_simhash_of_units_is_the_majority_of_its_pairs(spark):
     x = line_dedup.simhashed(spark.createDataFrame([(1, PROSE)], "doc_id long, text string")).first()
     w = PROSE.split(" ")
