@@ -225,6 +225,22 @@ def test_repeats_without_three_words_go(spark):
         assert got[i] == (text if i < len(lines) or (i >= 30 and i % 2 == 0) else "")
 
 
+def test_units_meet_again_after_an_insertion(spark):
+    rng = np.random.default_rng(9)
+
+    def text(n):
+        return " ".join("".join(rng.choice(list("abcdefghik"), rng.integers(3, 9))) for _ in range(n))
+
+    plain = [text(1000) for _ in range(6)] + ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 2000)) for _ in range(2)]
+    front = [text(20) + " " + p for p in plain[:6]] + ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 20)) + p for p in plain[6:]]
+    d = spark.createDataFrame(list(enumerate(plain + front)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(d).collect()}
+    assert [got[i] for i in range(8)] == plain
+    assert sum(len(got[8 + i]) for i in range(6)) < 0.3 * sum(map(len, plain[:6])) and sum(len(got[8 + i]) for i in (6, 7)) < 0.4 * 4000
+    d = spark.createDataFrame([(i, x + "\n" + x) for i, x in enumerate(front)], "doc_id long, text string")
+    assert [x.text for x in sorted(line_dedup.dedup_lines(d).collect(), key=lambda x: x.doc_id)] == front
+
+
 def test_simhash_of_units_is_the_majority_of_its_pairs(spark):
     x = line_dedup.simhashed(spark.createDataFrame([(1, PROSE)], "doc_id long, text string")).first()
     w = PROSE.split(" ")
