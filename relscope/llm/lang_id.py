@@ -3,9 +3,9 @@
 Training counts the letter n-grams of a bounded sample of labelled documents
 per language and keeps, for each n-gram, the languages that use it at least
 ``share`` times as often as its heaviest user.  The n-grams go into a
-bit-sliced Bloom filter: row r of the table holds one bit per language, an
-n-gram sets its languages' bits in ``hashes`` rows, and the AND of these rows
-returns all languages that contain it.  A text's n-grams are counted per
+bit-sliced Bloom filter: row r of the table holds one bit per language, in as
+many 64-bit words as the languages need, an n-gram sets its languages' bits in
+``hashes`` rows, and the AND of these rows returns all languages that contain it.  A text's n-grams are counted per
 language from those masks (popcounts), corrected for each language's
 false-positive rate; the highest corrected share decides.
 
@@ -17,6 +17,7 @@ columns are ignored; repeated rows are predicted alike.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ SHARE = 0.5
 MIN_COUNT = 3
 #: Documents of each language that training reads, about: the bound of the sample.
 SAMPLE_PER_LANG = 2_000
-#: Languages are bits of one 64-bit mask.
-MAX_LANGS = 64
+#: Languages in one word of a Bloom row.
+WORD_BITS = 64
 _NON_LETTERS = re.compile(r"[\W\d_]+")
 BATCH_CHARS = 2_000_000
 
@@ -85,16 +86,14 @@ def _small_batches(texts: list) -> Iterator[slice]:
 def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> dict:
     """The filter learned from text and lang of documents that aren't held out."""
     known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = known.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return {"langs": [], "table": np.zeros(1, np.uint8), "fpr": np.zeros(0)}
-    share = F.lit(1.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_per_lang / r["count"]))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+        return {"langs": [], "table": np.zeros((1, 1), np.uint8), "fpr": np.zeros(0)}
+    shares = json.dumps([{"_lang": r["lang"], "share": min(1.0, sample_per_lang / r["count"])} for r in sizes])
+    shares = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(shares), "array<struct<_lang string, share double>>")))
+    sample = known.join(F.broadcast(shares), F.col("lang") == F.col("_lang"))  # one row of each language, from the driver
+    sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def count(batches):
         for pdf in batches:
@@ -106,7 +105,7 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> dict:
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(totals), F.col("lang") == F.col("_lang"))  # at most MAX_LANGS rows
+    rate = counts.join(F.broadcast(totals), F.col("lang") == F.col("_lang"))  # one row of each language
     rate = rate.withColumn("rate", F.col("n") / F.col("total"))
     rate = rate.withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
     kept = rate.where((F.col("n") >= MIN_COUNT) & (F.col("rate") >= SHARE * F.col("most"))).select("lang", "gram")
@@ -115,16 +114,17 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> dict:
     def bits(batches):
         for pdf in batches:
             h = pdf["gram"].to_numpy(np.int64).view(np.uint64)
-            mask = np.left_shift(np.int64(1), pdf["lang"].map(bit).to_numpy(np.int64))
+            at = pdf["lang"].map(bit).to_numpy(np.int64)
+            mask = np.left_shift(np.int64(1), at % WORD_BITS)
             for k in range(HASHES):
-                yield pd.DataFrame({"row": slots(h, ROWS, k), "mask": mask})
+                yield pd.DataFrame({"row": slots(h, ROWS, k), "word": at // WORD_BITS, "mask": mask})
 
-    # At most ROWS rows come back, whatever the corpus.
-    rows = kept.mapInPandas(bits, "row long, mask long").groupBy("row").agg(F.bit_or("mask").alias("mask")).toPandas()
+    # At most ROWS rows for each word come back, whatever the corpus.
+    rows = kept.mapInPandas(bits, "row long, word long, mask long").groupBy("row", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint64
-    table = np.zeros(ROWS, kind)
-    table[rows["row"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64).astype(kind)
-    fill = np.array([np.mean((table >> kind(i)) & kind(1)) for i in range(len(langs))])
+    table = np.zeros((-(-len(langs) // WORD_BITS), ROWS), kind)
+    table[rows["word"].to_numpy(np.int64), rows["row"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64).astype(kind)
+    fill = np.array([np.mean((table[i // WORD_BITS] >> kind(i % WORD_BITS)) & kind(1)) for i in range(len(langs))])
     return {"langs": langs, "table": table, "fpr": fill ** HASHES}
 
 
@@ -140,14 +140,14 @@ def predict_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
         rows = np.nonzero(n > 0)[0]
         if not len(rows):
             continue
-        mask = table[slots(h, ROWS, 0)]
-        for k in range(1, HASHES):
-            mask &= table[slots(h, ROWS, k)]
-        kind = mask.dtype.type
+        at = [slots(h, ROWS, k) for k in range(HASHES)]
+        kind = table.dtype.type
         corrected = np.empty((len(rows), len(langs)))
         for i in range(len(langs)):
+            if i % WORD_BITS == 0:
+                mask = np.bitwise_and.reduce([table[i // WORD_BITS][a] for a in at])
             # prefix sums, so that a text's count is a difference at its ends
-            upto = np.concatenate([[0], np.cumsum((mask >> kind(i)) & kind(1), dtype=np.int64)])
+            upto = np.concatenate([[0], np.cumsum((mask >> kind(i % WORD_BITS)) & kind(1), dtype=np.int64)])
             hits = (upto[spans[rows, 1]] - upto[spans[rows, 0]]) / n[rows]
             corrected[:, i] = np.clip((hits - fpr[i]) / max(1e-9, 1 - fpr[i]), 0, 1)
         best = corrected.argmax(axis=1)
@@ -159,7 +159,7 @@ def predict_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS masks, a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS masks for each 64 languages
 
     def predict(batches):
         for pdf in batches:

@@ -114,6 +114,19 @@ def test_language_edge_cases(spark, docs):
     assert none["langs"] == [] and {x.lang_pred for x in lang_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = np.random.default_rng(4)
+    names = [f"l{i:03}" for i in range(130)]  # three words; bits 63, 64, 127 and 128 are at their ends
+    own = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for x in names}
+    data = [(100 * i + j, " ".join(rng.choice(own[x], 30)), x) for i, x in enumerate(names) for j in range(8)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = lang_id.train(d)
+    assert model["langs"] == names and len(model["table"]) == 3
+    got = {x.doc_id: x for x in lang_id.identify(d, model).collect()}
+    assert len(got) == len(data) and any(got[i].held_out for i, _, _ in data)
+    assert all(got[i].lang_pred == x for i, _, x in data)
+
+
 def test_ngrams_stay_inside_their_text():
     alone, _ = lang_id.ngram_hashes(["abc def"])
     h, spans = lang_id.ngram_hashes(["xyz", None, "abc def", "12"])
