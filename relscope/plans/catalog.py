@@ -627,7 +627,7 @@ def q_read_human_labels(spark, sf_dir):
     path = _scratch(spark, "labels")
     (fx.human(spark, sf_dir).select(F.col("doc_id").alias("orig_idx"), F.col("gold").alias("support"),
                                     F.col("human").alias("support human labeled"))
-     .coalesce(1).write.options(**_CSV_W).csv(path))
+     .write.options(**_CSV_W).csv(path))
     return read_human_labels(spark, path).select("orig_idx", "support", "support_human")
 
 

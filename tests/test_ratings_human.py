@@ -87,3 +87,12 @@ def test_strategy_d_logs_reproduce_published_rows(spark):
         r = scoring.run_summary(read_predictions(spark, golden(name))).collect()[0]
         assert r.accuracy == pytest.approx(acc) and round(r.macro_f1, 6) == f1
         assert r.n_evaluated == 100
+
+
+def test_labels_are_written_and_read_as_several_files(spark, tmp_path):
+    from relscope.plans import catalog
+    src = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    src.repartition(8).write.parquet(str(tmp_path / "labels.parquet"))
+    got = catalog.queries()["read_human_labels"](spark, str(tmp_path))
+    assert len(got.inputFiles()) > 1
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i % 2, 1 - i % 3 % 2) for i in range(400)]
