@@ -53,19 +53,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v): root is the least node reachable.
 
     Repeated contraction: every node moves to the least of itself and its
-    neighbours, edges are renamed, loops dropped.  Each round at least halves
-    the nodes that still have edges, so rounds grow with the logarithm of the
-    longest chain.  Every join meets a written table on its other side, which
-    leaves a hot node's rows to the skew split; minima combine before the
-    shuffle.  Each round's tables are written, so no lineage builds up.
+    neighbours, edges are renamed, loops dropped.  Least is by label in two
+    rounds (which ends a star), by a fresh hash of the label in every third: on
+    a chain, whatever its labels, that halves the nodes on average, so rounds
+    grow with the logarithm of the longest chain.  Every join meets a written
+    table on its other side, which leaves a hot node's rows to the skew split;
+    minima combine before the shuffle.  Each round's tables are written, so no
+    lineage builds up.
     """
     edges = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                     .distinct(), f"{name}-edges")
-    moved = None
+    moved, turn = None, 0
     while not edges.isEmpty():
+        turn += 1
+        order = [F.xxhash64("u", F.lit(turn)).alias("o")] if turn % 3 == 0 else []
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-                       .select("node", F.least("node", "m").alias("to")), f"{name}-step")
+        here, there = F.struct(*order, F.col("u").alias("x")), F.struct(*[F.xxhash64("v", F.lit(turn)).alias("o") for _ in order], F.col("v").alias("x"))
+        step = written(both.groupBy("u").agg(F.min(there).alias("m")).select(F.col("u").alias("node"), F.least(here, "m")["x"].alias("to")), f"{name}-step")
         a = step.select(F.col("node").alias("u"), F.col("to").alias("a"))
         b = step.select(F.col("node").alias("v"), F.col("to").alias("b"))
         edges = written(edges.join(a, "u").join(b, "v").where("a <> b")
@@ -76,4 +80,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         else:
             moved = written(moved.join(step.select(F.col("node").alias("root"), "to"), "root", "left")
                             .select("node", F.coalesce("to", "root").alias("root")), f"{name}-moved")
+    if turn > 2:  # a root by hash isn't the least
+        least = written(moved.groupBy("root").agg(F.min("node").alias("least")), f"{name}-least")
+        moved = written(moved.join(least, "root").select("node", F.col("least").alias("root")), f"{name}-moved")
     return moved if moved is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

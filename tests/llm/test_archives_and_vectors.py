@@ -107,6 +107,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rounds_of_a_long_ascending_chain(spark, monkeypatch):
+    from relscope.llm import common
+    rounds, real = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: (rounds.append(name) if name.endswith("-step") else None) or real(df, name))
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(1, 64)] + [(100, 101)], "u long, v long")).collect()
+    assert {r.node: r.root for r in got} == {**dict.fromkeys(range(1, 65), 1), 100: 100, 101: 100} and len(got) == 66
+    assert len(rounds) <= 24
+    print("rounds", len(rounds))
+
+
 def test_offsets(spark):
     d = spark.createDataFrame([(g, i, i % 7) for g in "ab" for i in range(50)], "g string, i long, n long")
     for r in offsets(d, "g", "i", "n", span=8).collect():
