@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relscope.llm import bpe, ego_join, lang_id, line_dedup, mixing, quality_mil, quality_rules, secrets, simhash, warc
+from relscope.llm import bpe, ego_join, lang_id, line_dedup, merkle, mixing, quality_mil, quality_rules, secrets, simhash, url_filter, warc, whitening
 from relscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,21 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of each vector on the leading components."""
+    return whitening.components(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of each page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), url_filter.train(url_filter.labelled_urls(spark)))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of each document."""
+    return merkle.manifest(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_mix_sources, op2_warc_zip, op3_language_id, op4_secret_ledger, op5_fuzzy_lines, op6_simhash_pivots,
-    op7_ego_join, op8_bpe_transducer, op9_host_rules, op10_attention_mil)}
+    op7_ego_join, op8_bpe_transducer, op9_host_rules, op10_attention_mil, op11_whitening, op12_url_filter, op13_merkle_manifest)}
