@@ -8,20 +8,23 @@ recorded and the batch's pairs get null predictions, as in the reference.
 Fault tolerance: model calls are the expensive, non-repeatable part, so the
 replies are written to the shared checkpoint folder as soon as they exist and
 read back; scoring then reads that table, and a lost executor downstream never
-triggers a second round of calls.
+triggers a second round of calls.  With a reply store (``reply_store``) every
+chunk of calls is kept the moment it is done, and a killed run goes on from there.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relscope.operators import prompting, replies, sampling
+from relscope.functions.labels import support_label
+from relscope.operators import prompting, replies, reply_store, sampling
 from relscope.schema import STRATEGIES, check_strategies
 from relscope.session import scratch_dir
 
@@ -48,14 +51,22 @@ def _call(client, prompt: str, max_retries: int, retry_wait: float) -> tuple[str
 
 def batched_inference(prompts: DataFrame, client_factory: ClientFactory, max_retries: int = 2,
                       retry_wait: float = 5.0, delay_seconds: float = 0.0,
-                      parallelism: int | None = None) -> DataFrame:
+                      parallelism: int | None = None, store: str | None = None, scope: str = "",
+                      retry_failed: bool = False, chunk: int = reply_store.CHUNK) -> DataFrame:
     """Adds ``reply`` (null on failure), ``attempts`` and ``error`` to each prompt row.
 
+    With ``store`` (a shared folder) replies are durable: kept chunk by chunk inside the tasks and found
+    again by prompt and ``scope``, so a run that is started again calls only what is missing; a
+    column ``resumed`` tells those rows.
+
     ``parallelism`` spreads the prompts over that many tasks (each with its own
     client); by default as many as the cluster has cores.  The number is explicit,
     so adaptive execution doesn't merge the small prompt partitions into one task."""
     from relscope.session import ship_package
     ship_package(prompts.sparkSession)
+    if store is not None:
+        return reply_store.durable_replies(prompts, partial(_call, max_retries=max_retries, retry_wait=retry_wait), client_factory, store,
+                                           scope, retry_failed, parallelism, chunk, delay_seconds=delay_seconds)
     prompts = prompts.repartition(parallelism or prompts.sparkSession.sparkContext.defaultParallelism)
     out_schema = T.StructType(prompts.schema.fields + [
         T.StructField("reply", T.StringType()), T.StructField("attempts", T.IntegerType()),
@@ -118,22 +129,31 @@ def evaluate_pairs(pairs: DataFrame, strategies, client_factory: ClientFactory,
                    seed: int = sampling.DEFAULT_SEED, max_retries: int = 2,
                    retry_wait: float = 5.0, delay_seconds: float = 0.0,
                    relevance_col: str | None = None, parallelism: int | None = None,
-                   persist: bool = True) -> DataFrame:
+                   persist: bool = True, store: str | None = None, scope: str = "",
+                   retry_failed: bool = False, chunk: int = reply_store.CHUNK) -> DataFrame:
     """The whole chain for one or more strategies:
     sample -> exclude -> limit -> batch -> prompt -> infer -> parse -> predictions.
 
-    Returns one row per evaluated pair: pair columns, strategy, batch_id,
-    item_pos, decoded flags and the batch's ``parse_status``."""
+    Returns one row per evaluated pair: pair columns (texts, gold code and its
+    label, the human relevance where the pairs have one), strategy, batch_id,
+    item_pos, the number of few-shot examples its prompt really had
+    (``few_shot_n``), decoded flags and the batch's ``parse_status``.  ``store`` makes the
+    replies durable, see ``batched_inference``."""
     batched, blocks = plan_batches(pairs, strategies, few_shot_n, limit, batch_size, seed,
                                    relevance_col)
     # Each batch row carries its members, so the replies are attached row-locally.
-    members = [c for c in ("pair_id", "support", "orig_idx") if c in batched.columns]
+    human = relevance_col or "relevance_human_labeled"
+    if human in batched.columns:
+        batched = batched.withColumn("relevance_human_labeled", F.col(human).cast("double"))
+    members = [c for c in ("pair_id", "orig_idx", "arg1", "arg2", "support", "relevance_human_labeled") if c in batched.columns]
     prompts = prompting.build_prompts(batched, blocks, member_cols=members)
     raw = batched_inference(prompts, client_factory, max_retries, retry_wait, delay_seconds,
-                            parallelism)
-    raw = raw.select("strategy", "batch_id", F.col("n_items").alias("n_expected"),
-                     "reply", "attempts", "error", "members")
+                            parallelism, store, scope, retry_failed, chunk)
+    raw = raw.select("strategy", "batch_id", F.col("n_items").alias("n_expected"), "reply", "attempts", "error", "members", "few_shot_n")
     if persist:
         raw = persist_replies(raw)
-    parsed = replies.parse_replies(raw, keys=("strategy", "batch_id", "members"))
-    return replies.explode_replies(parsed)
+    parsed = replies.parse_replies(raw, keys=("strategy", "batch_id", "members", "few_shot_n"))
+    out = replies.explode_replies(parsed).withColumn("support_label", support_label("support"))
+    if "relevance_human_labeled" not in out.columns:
+        out = out.withColumn("relevance_human_labeled", F.lit(None).cast("double"))
+    return out

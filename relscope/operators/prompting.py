@@ -78,19 +78,20 @@ def format_pairs(batched: DataFrame, keys=("strategy", "batch_id"), member_cols=
 
 
 def build_prompts(batched: DataFrame, blocks: DataFrame | None = None, member_cols=()) -> DataFrame:
-    """``(strategy, batch_id, n_items, prompt[, members])`` for every batch.
+    """``(strategy, batch_id, n_items, prompt[, members, few_shot_n])`` for every batch;
+    ``few_shot_n`` is the number of examples the prompt has.
 
     ``batched`` has strategy, batch_id, item_pos, arg1, arg2; ``blocks`` has
     one few-shot row per strategy (or is None for zero-shot everywhere)."""
     pairs = format_pairs(batched, member_cols=member_cols)
     if blocks is not None:
-        pairs = pairs.join(F.broadcast(blocks.select("strategy", "few_shot_block")),
+        pairs = pairs.join(F.broadcast(blocks.select("strategy", "few_shot_block", F.col("n_examples").alias("few_shot_n"))),
                            "strategy", "left")  # <= 4 rows: one per strategy
     else:
-        pairs = pairs.withColumn("few_shot_block", F.lit(""))
+        pairs = pairs.withColumn("few_shot_block", F.lit("")).withColumn("few_shot_n", F.lit(0).cast("long"))
     fsb, pb, n = F.col("few_shot_block"), F.col("pairs_block"), F.col("n_items")
     expr = F.lit(None).cast("string")
     for letter in sorted(STRATEGIES, reverse=True):
         expr = F.when(F.col("strategy") == letter, P.prompt(letter, fsb, pb, n)).otherwise(expr)
-    extra = ["members"] if member_cols else []
+    extra = ["members", "few_shot_n"] if member_cols else []
     return pairs.select("strategy", "batch_id", "n_items", expr.alias("prompt"), *extra)

@@ -465,6 +465,22 @@ def q_batched_inference(spark, sf_dir):
     return out.select("strategy", "batch_id", "n_items", "reply", "attempts", "error")
 
 
+@register("resumed_inference", osa.resumed_inference)
+def q_resumed_inference(spark, sf_dir):
+    """A run that stopped after two strategies, taken up from its reply store: their prompts aren't sent again."""
+    from relscope.operators import inference
+    from relscope.operators.stub_model import stub_factory
+    batched, blocks = _eval_inputs(spark, sf_dir)
+    prompts = inference.persist_replies(prompting.build_prompts(batched, blocks), "prompts")
+    store = _scratch(spark, "replies")
+
+    def infer(rows):
+        return inference.batched_inference(rows, stub_factory, max_retries=2, retry_wait=0.0, store=store, scope="run")
+
+    infer(prompts.filter("strategy IN ('A', 'B')")).write.format("noop").mode("overwrite").save()
+    return infer(prompts).select("strategy", "batch_id", "n_items", "reply", "attempts", "error", "resumed")
+
+
 @register("evaluate_pairs", osa.evaluate_pairs)
 def q_evaluate_pairs(spark, sf_dir):
     """sample -> exclude -> batch -> prompt -> infer (stub) -> parse -> predictions."""
@@ -473,8 +489,8 @@ def q_evaluate_pairs(spark, sf_dir):
     preds = inference.evaluate_pairs(_text_pairs(spark, sf_dir), "ABCD", stub_factory,
                                      few_shot_n=10, batch_size=10, retry_wait=0.0,
                                      relevance_col="relevance")
-    return preds.select("pair_id", "strategy", "support", "batch_id", "item_pos", "pred_attack",
-                        "pred_support", "pred_neither", "pred_relevance", "parse_status")
+    return preds.select("pair_id", "arg1", "arg2", "strategy", "support", "support_label", "batch_id", "item_pos", "pred_attack",
+                        "pred_support", "pred_neither", "pred_relevance", "relevance_human_labeled", "few_shot_n", "parse_status")
 
 
 # --------------------------------------------------------------------------- sources / sinks
@@ -488,28 +504,32 @@ def _scratch(spark, name):
     return scratch_dir(spark, name)
 
 
-@register("read_pairs_csv", osa.read_pairs_plain)
+@register("read_pairs_csv", osa.read_pairs_content)
 def q_read_pairs_csv(spark, sf_dir):
+    """Pairs written as multi-line CSV and read back by ranges, with the ids of their content."""
     from relscope.sources.pairs import read_pairs_csv
     path = _scratch(spark, "pairs-csv") + "/pairs.csv"
     fx.pairs(spark, sf_dir).select(*_PAIR_COLS).write.options(**_CSV_W).csv(path)
-    return read_pairs_csv(spark, path).select(*_PAIR_COLS)
+    return read_pairs_csv(spark, path, identity="content").select("pair_id", *_PAIR_COLS)
 
 
-@register("read_pairs", osa.read_pairs_plain)
+@register("read_pairs", osa.read_pairs_content)
 def q_read_pairs(spark, sf_dir):
+    """Pairs written, rewritten in files of other names and sizes, and read: the ids are those of the content."""
     from relscope.sources.pairs import read_pairs
-    path = _scratch(spark, "pairs-parquet") + "/pairs.parquet"
-    fx.pairs(spark, sf_dir).select(*_PAIR_COLS).write.parquet(path)
-    return read_pairs(spark, path).select(*_PAIR_COLS)
+    first, path = (_scratch(spark, "pairs-parquet") + "/pairs.parquet" for _ in range(2))
+    fx.pairs(spark, sf_dir).select(*_PAIR_COLS).write.parquet(first)
+    spark.read.parquet(first).repartition(5).write.parquet(path)
+    return read_pairs(spark, path, identity="content").select("pair_id", *_PAIR_COLS)
 
 
-@register("read_pairs_arrow", osa.read_pairs_plain)
+@register("read_pairs_arrow", osa.read_pairs_content)
 def q_read_pairs_arrow(spark, sf_dir):
+    """Pairs written as Arrow streams and read back by runs of record batches, with the ids of their content."""
     from relscope.sources.pairs import read_pairs_arrow, write_pairs_arrow
     path = _scratch(spark, "pairs-arrow")
     write_pairs_arrow(fx.pairs(spark, sf_dir).repartition(3), path).write.format("noop").mode("overwrite").save()
-    return read_pairs_arrow(spark, path).select(*_PAIR_COLS)
+    return read_pairs_arrow(spark, path, identity="content").select("pair_id", *_PAIR_COLS)
 
 
 @register("check_inputs", osa.check_inputs)
@@ -533,10 +553,15 @@ def q_read_predictions(spark, sf_dir):
 
 @register("write_predictions", osa.predictions_plain)
 def q_write_predictions(spark, sf_dir):
+    from relscope.sources.predictions import read_predictions
     from relscope.sources.sinks import write_predictions
     path = _scratch(spark, "pred-parquet")
-    write_predictions(fx.predictions(spark, sf_dir), path)
-    return spark.read.parquet(path).select(*_PRED_COLS).withColumn("support", F.col("support").cast("long"))
+    rows = fx.predictions(spark, sf_dir)
+    # All runs as a first version without answers, then the real rows as two commits that replace them.
+    write_predictions(rows.withColumn("pred_attack", F.lit(None).cast("int")), path)
+    write_predictions(rows.filter("run_id < 40"), path)
+    write_predictions(rows.filter("run_id >= 40"), path)
+    return read_predictions(spark, path, runs="all").select(*_PRED_COLS)
 
 
 @register("rename_outputs", osa.rename_outputs)

@@ -207,7 +207,11 @@ def _stub_item(label: str) -> str:
 EVAL_FS_N = {"A": 10, "B": 10, "C": 10, "D": 10}
 
 
-def batched_inference() -> str:
+def resumed_inference() -> str:
+    return batched_inference(", strategy IN ('A', 'B') AS resumed")
+
+
+def batched_inference(more: str = "") -> str:
     tail = f"""
 SELECT strategy, batch_id, n_items,
        CASE WHEN substr(h, 1, 1) = '0' THEN NULL
@@ -215,15 +219,18 @@ SELECT strategy, batch_id, n_items,
                    range(0, n_items + CASE WHEN substr(h, 1, 1) = '1' THEN 1 ELSE 0 END),
                    lambda i: {_stub_item(_stub_label('i'))}), ', ') || ']' END AS reply,
        CAST(CASE WHEN substr(h, 1, 1) = '0' THEN 2 ELSE 1 END AS INTEGER) AS attempts,
-       CASE WHEN substr(h, 1, 1) = '0' THEN 'RuntimeError: model unavailable' END AS error
+       CASE WHEN substr(h, 1, 1) = '0' THEN 'RuntimeError: model unavailable' END AS error{more}
 FROM (SELECT *, {_STUB_H} AS h FROM o_prompts) t"""
     return build_prompts(EVAL_FS_N, tail)
 
 
 def evaluate_pairs() -> str:
+    examples = " UNION ALL ".join(f"SELECT '{s}' AS strategy, count(*) AS few_shot_n FROM o_fs_{s}" for s in "ABCD")
     lab = _stub_label("e.item_pos")
     tail = f"""
-SELECT e.pair_id, e.strategy, e.support, e.batch_id, e.item_pos,
+SELECT e.pair_id, e.arg1, e.arg2, e.strategy, e.support, e.batch_id, e.item_pos, (length(e.arg2) % 5) * CAST(0.25 AS DOUBLE) AS relevance_human_labeled,
+       CASE e.support WHEN 0 THEN 'Attack' WHEN 1 THEN 'Support' WHEN 2 THEN 'No Relation' END AS support_label,
+       f.few_shot_n,
        CASE WHEN st = 'ok' THEN CAST(CASE WHEN {lab} = 0 THEN 1 ELSE 0 END AS INTEGER) END AS pred_attack,
        CASE WHEN st = 'ok' AND e.strategy = 'B' THEN CAST(CASE WHEN {lab} = 0 THEN 0 ELSE 1 END AS INTEGER)
             WHEN st = 'ok' AND e.strategy IN ('C', 'D') THEN CAST(CASE WHEN {lab} = 1 THEN 1 ELSE 0 END AS INTEGER)
@@ -237,7 +244,8 @@ FROM (SELECT *, CAST(floor(pos / 10) AS BIGINT) AS batch_id, CAST(pos % 10 AS IN
 JOIN (SELECT strategy, batch_id, {_STUB_H} AS h,
              CASE WHEN substr({_STUB_H}, 1, 1) = '0' THEN 'call_failed'
                   WHEN substr({_STUB_H}, 1, 1) = '1' THEN 'wrong_count' ELSE 'ok' END AS st
-      FROM o_prompts) p ON p.strategy = e.strategy AND p.batch_id = e.batch_id"""
+      FROM o_prompts) p ON p.strategy = e.strategy AND p.batch_id = e.batch_id
+JOIN ({examples}) f ON f.strategy = e.strategy"""
     return build_prompts(EVAL_FS_N, tail)
 
 
@@ -245,6 +253,15 @@ def read_pairs_plain() -> str:
     return with_clause(["fx_pairs"]) + "SELECT arg1, arg2, support, type FROM fx_pairs"
 
 
+def read_pairs_content() -> str:
+    """Pairs with the hash of their content; later ones of equal rows are numbered."""
+    told = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("arg1", "arg2", "support", "type"))
+    return with_clause(["fx_pairs"]) + f"""
+SELECT h || CASE WHEN k > 0 THEN '#' || k ELSE '' END AS pair_id, arg1, arg2, support, type
+FROM (SELECT *, row_number() OVER (PARTITION BY h) - 1 AS k
+      FROM (SELECT *, sha256({told}) AS h FROM fx_pairs) x) y"""
+
+
 def check_inputs() -> str:
     return with_clause(["fx_pairs"]) + "SELECT pair_id FROM fx_pairs"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relscope.sources import run_store
 from relscope.sources.formats import stored_format
 
 # Column names as written in prediction and label files, and the
@@ -30,12 +31,12 @@ _TYPES = {"orig_idx": "long", "run_id": "long", "support": "long", "pred_attack"
           "support_human": "long", "relevance": "double"}
 
 
-def _typed(df: DataFrame, renames: dict[str, str]) -> DataFrame:
+def _typed(df: DataFrame, renames: dict[str, str], as_stored=()) -> DataFrame:
     cols = []
     for c in df.columns:
         name = renames.get(c, c)
         e = F.col(f"`{c}`")
-        if name in _TYPES:
+        if name in _TYPES and name not in as_stored:
             # int(float(v)) semantics: '1.0' -> 1; junk -> null, never an error.
             # Whole numbers are tried first: a double would change ids above 2^53.
             number = e.try_cast("double")
@@ -44,16 +45,19 @@ def _typed(df: DataFrame, renames: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
-def read_predictions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a per-pair prediction file (CSV with the published header, or
-    Parquet, told by the files unless ``fmt`` says) into the canonical prediction columns.  ``pair_id`` is the
+def read_predictions(spark: SparkSession, path: str, fmt: str | None = None, runs="current") -> DataFrame:
+    """Read per-pair predictions into the canonical prediction columns: a folder of committed runs
+    (``runs``: the current ones, 'all', or a list of run ids), or a plain file or folder (CSV
+    with the published header, or Parquet, told by the files unless ``fmt`` says).  ``pair_id`` is the
     original index as text when the file has no pair id."""
-    fmt = fmt or stored_format(spark, path)
-    if fmt == "parquet":
+    as_stored = ()
+    if run_store.is_store(spark, path):
+        df, as_stored = run_store.read_runs_of(spark, path, runs), ("run_id",)  # a run's id may be any text
+    elif (fmt or stored_format(spark, path)) == "parquet":
         df = spark.read.parquet(path)
     else:
         df = spark.read.options(**_CSV).option("inferSchema", False).csv(path)
-    df = _typed(df, PREDICTION_RENAMES)
+    df = _typed(df, PREDICTION_RENAMES, as_stored)
     if "pair_id" not in df.columns and "orig_idx" in df.columns:
         df = df.withColumn("pair_id", F.col("orig_idx").cast("string"))
     return df

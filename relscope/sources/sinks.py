@@ -1,7 +1,7 @@
 """Sinks: predictions, run summaries, annotated runs, comparisons, report, annotation sample.
 
-Row-sized outputs are written in parallel (partitioned by strategy for the
-predictions); result-sized ones (comparisons, report) are coalesced to one
+Row-sized outputs are written in parallel (predictions as committed runs, see
+``run_store``); result-sized ones (comparisons, report) are coalesced to one
 file after they are already small.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from relscope.functions.labels import support_label
 from relscope.schema import COMPARISON_COLS
+from relscope.sources import run_store
 
 # Published column names of the per-pair prediction file.
 PUBLISHED_NAMES = {"support": "support [true value]", "h1": "relevance human labeled",
@@ -27,22 +28,15 @@ def with_support_label(df: DataFrame) -> DataFrame:
     return df.withColumn("support_label", support_label("support"))
 
 
-def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", fresh_run: bool = True,
-                      partition_by=("strategy",)) -> None:
-    """Per-pair predictions.  A fresh run replaces only its own partitions
-    (dynamic partition overwrite); otherwise rows are appended."""
-    w = df.write.partitionBy(*partition_by)
-    if fresh_run:
-        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        w = w.mode("append")
+def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", run_id: str | None = None, meta: dict | None = None) -> str:
+    """Per-pair predictions of one or more runs as one commit of the folder's run store.
+
+    A run is named by ``run_id`` or the column of that name; writing it again
+    replaces its rows only, rows of other runs stay, and a write that dies is
+    never seen.  CSV files carry the published column names.  Returns the version."""
     if fmt == "csv":
-        rename_outputs(with_support_label(df)).write.partitionBy(*partition_by) \
-            .mode("overwrite" if fresh_run else "append") \
-            .option("partitionOverwriteMode", "dynamic").option("header", True) \
-            .option("escape", '"').csv(path)
-    else:
-        w.parquet(path)
+        df = rename_outputs(with_support_label(df))
+    return run_store.commit_runs(df, path, fmt, run_id, meta)
 
 
 def append_run_summary(summary: DataFrame, path: str, fmt: str = "parquet") -> None:
