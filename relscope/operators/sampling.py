@@ -4,35 +4,39 @@ Randomness is a seeded md5 order: ``md5(seed || '|' || pair_id)``.  The same
 key in Spark and DuckDB gives the same multiset semantics as a random shuffle
 and is reproducible.
 
-Global positions without a one-partition window
------------------------------------------------
-``seeded_shuffle`` numbers every row 0..N-1 in key order:
-
-1. rows per group (a partial aggregate: one row per group);
-2. bucket = first d hex digits of the key, d chosen per group so that a bucket
-   holds about ``ROWS_PER_BUCKET`` rows (uniform, because the key is a hash of
-   a unique id);
-3. count rows per (group, bucket) -- again a partial aggregate, at most
-   N / ROWS_PER_BUCKET + groups rows -- and running offsets over it;
-4. position = offset of the bucket + row_number() inside the bucket.
-
-Step 4's window is partitioned by (group, bucket) and the offset join uses the
-same keys, so the data is shuffled once; each window task sorts about
-``ROWS_PER_BUCKET`` rows however large or skewed a group is.
+Positions and selections from one histogram of keys
+---------------------------------------------------
+``ranked`` numbers every row 0..N-1 in key order, or the first rows of it:
+
+1. one aggregate counts rows per (group, cell), a cell being the first digits
+   of the key.  Their number is derived from the planner's size of the input, so
+   that a cell holds about ``ROWS_PER_BUCKET`` rows; a wrong guess costs time only;
+2. running sums over the cells give the rows before each cell: over the first
+   three digits of a group (4,096 sums at most) and over the cells below each of these;
+3. position = rows before the cell + row_number() inside the cell.
+
+A quota or limit keeps the cells that start below it, and the rest of the rows
+goes before any shuffle: the kept cells are broadcast, as there are never more of them than rows asked for.
+The input is read twice, once for the histogram and once for the rows, which
+are shuffled once; no task sorts more than a cell, however large or skewed a group
+is.  Quotas of any size take this one path.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
-# Target rows per window task of the position numbering, and the most hex
-# digits a bucket may use (16**6 = 16.7 M buckets per group).
+#: Rows that a cell should hold: what one window task sorts.
 ROWS_PER_BUCKET = 200_000
-MAX_DIGITS = 6
-# Quotas up to this size use the WindowGroupLimit plan (top-k per class before
-# the shuffle); larger ones use global positions per class.
+#: Digits whose running sums one window holds; digits where the planner can't tell the input's size.
+TOP_DIGITS, UNKNOWN_DIGITS = 3, 4
+#: Cells kept for a quota are broadcast up to this many rows asked for (24 bytes each), beyond it AQE decides.
+BROADCAST_ROWS = 1_000_000
+#: Not read any more (every quota takes one path); the name stays for callers that set it.
 SMALL_QUOTA = 1000
 
 
@@ -40,40 +44,74 @@ def order_key(seed: int = DEFAULT_SEED, id_col: str = "pair_id") -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def seeded_shuffle(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "pair_id",
-                   group_cols=(), pos_col: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET,
-                   bounded_groups: bool = True, max_digits: int = MAX_DIGITS) -> DataFrame:
-    """Adds ``pos`` (0-based position in seeded random order, per group) and
-    ``shuffle_key``.
-
-    The number of buckets adapts to each group's size: a group of n rows is
-    split on the first ``d = ceil(log16(n / rows_per_bucket))`` hex digits of
-    the key, so every window task sorts about ``rows_per_bucket`` rows -- a
-    hot group holding a third of the data gets many buckets, a small group
-    one.  ``bounded_groups`` says the group columns have few values (classes,
-    strategies): the per-group size table is then broadcast."""
+def key_digits(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of the key that split ``df`` into cells of about ``rows_per_bucket`` rows, by the planner's estimate."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())):
+        return UNKNOWN_DIGITS
+    width = 8 + int(df._jdf.schema().defaultSize())
+    return min(12, max(1, math.ceil(math.log(max(1.0, size / width / rows_per_bucket), 16))))
+
+
+def _before_cells(cells: DataFrame, keys: list[str], digits: int) -> DataFrame:
+    """Adds ``_before``: the rows of the group in earlier cells."""
+    low = max(0, digits - TOP_DIGITS)
+    cells = cells.withColumn("_top", F.expr(f"_cell div {16 ** low}L"))
+
+    def sums(of: DataFrame, within: list[str], order: str) -> Column:
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    if not low:
+        return cells.withColumn("_before", sums(cells, keys, "_cell")).drop("_top")
+    tops = cells.groupBy(*keys, "_top").agg(F.sum("_n").alias("_n"))
+    tops = tops.select(*keys, "_top", sums(tops, keys, "_top").alias("_base"))
+    inner = cells.withColumn("_in", sums(cells, [*keys, "_top"], "_cell"))
+    # A group may be null: compared null-safe, still an equi-join.
+    on = [inner[k].eqNullSafe(tops[k]) for k in keys] + [inner["_top"] == tops["_top"]]
+    return inner.join(tops, on).select(*[inner[k] for k in keys], inner["_cell"], inner["_n"], (F.col("_base") + F.col("_in")).alias("_before"))
+
+
+def ranked(df: DataFrame, key: Column, id_col: str, group_cols=(), pos_col: str = "pos", key_col: str = "shuffle_key",
+           digits: int = 1, quota: Column | None = None, most: int | None = None, total: int | None = None) -> DataFrame:
+    """Adds ``key_col`` and ``pos_col``, the 0-based position in key order, per group.
+
+    With ``quota`` (a column over the group columns, at most ``most``; ``total`` over all groups)
+    only the rows with a position below it stay.  ``digits`` 0 means that a group
+    is known to fit one window task: no histogram is taken."""
     groups = list(group_cols)
-    keyed = df.withColumn("shuffle_key", order_key(seed, id_col))
-    gk = groups if groups else ["_g"]
+    keyed = df.withColumn(key_col, key)
     if not groups:
-        keyed = keyed.withColumn("_g", F.lit(0))
-    sizes = keyed.groupBy(*gk).agg(F.count(F.lit(1)).alias("_gn"))
-    digits = F.least(F.lit(max_digits), F.greatest(F.lit(0), F.ceil(
-        F.log(16.0, F.col("_gn") / F.lit(float(rows_per_bucket)))))).cast("int")
-    sizes = sizes.select(*gk, digits.alias("_d"))
-    if bounded_groups or not groups:
-        sizes = F.broadcast(sizes)   # one row per group value
-    keyed = keyed.join(sizes, gk).withColumn(
-        "_bucket", F.when(F.col("_d") == 0, F.lit(0)).otherwise(
-            F.conv(F.expr("substring(shuffle_key, 1, _d)"), 16, 10).cast("long")))
-    counts = keyed.groupBy(*gk, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*gk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select(*gk, "_bucket", (F.sum("_n").over(run) - F.col("_n")).alias("_offset"))
-    inner = Window.partitionBy(*gk, "_bucket").orderBy("shuffle_key", id_col)
-    out = (keyed.join(offsets, gk + ["_bucket"])
-           .withColumn(pos_col, F.col("_offset") + F.row_number().over(inner) - 1))
-    drop = ["_bucket", "_offset", "_d"] + ([] if groups else ["_g"])
-    return out.drop(*drop)
+        # One value for all rows, told from the key: a constant would be optimized away, and with it the partitioning.
+        keyed = keyed.withColumn("_g", F.length(key_col) > 32)
+    gk = groups or ["_g"]
+    if digits:
+        keyed = keyed.withColumn("_cell", F.conv(F.substring(key_col, 1, digits), 16, 10).cast("long"))
+        cells = _before_cells(keyed.groupBy(*gk, "_cell").agg(F.count(F.lit(1)).alias("_n")), gk, digits)
+        if quota is not None:
+            cells = cells.where(F.col("_before") < quota)
+        cells = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(gk)], F.col("_cell").alias("_c"), "_before")
+        if total is not None and total <= BROADCAST_ROWS:
+            cells = F.broadcast(cells)  # no more cells than rows asked for
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(gk)] + [F.col("_cell") == F.col("_c")]
+        keyed = keyed.join(cells, on).drop("_c", *[f"_k{i}" for i in range(len(gk))])
+    else:
+        keyed = keyed.withColumn("_cell", F.lit(0)).withColumn("_before", F.lit(0).cast("long"))
+    inner = Window.partitionBy(*gk, *(["_cell"] if digits else [])).orderBy(key_col, id_col)
+    out = keyed.withColumn("_rn", F.row_number().over(inner))
+    if quota is not None:
+        # No cell gives more rows than the largest quota: with a literal bound Catalyst cuts each task's rows before the shuffle.
+        out = out.where((F.col("_rn") <= most) & (F.col("_before") + F.col("_rn") <= quota))
+    out = out.withColumn(pos_col, (F.col("_before") + F.col("_rn") - 1).cast("long"))
+    return out.drop("_rn", "_cell", "_before", *([] if groups else ["_g"]))
+
+
+def seeded_shuffle(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "pair_id",
+                   group_cols=(), pos_col: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``pos`` (0-based position in seeded random order, per group) and
+    ``shuffle_key``."""
+    return ranked(df, order_key(seed, id_col), id_col, group_cols, pos_col, digits=key_digits(df, rows_per_bucket))
 
 
 def class_quotas(n: int, classes) -> dict:
@@ -87,61 +125,49 @@ def eligible_pool(df: DataFrame, classes, class_col: str = "support") -> DataFra
     return df.filter(F.col(class_col).isin(list(classes)))
 
 
+def _numbered_examples(picked: DataFrame, n: int, id_col: str, group_cols=()) -> DataFrame:
+    """Adds ``example_seq``, the 1-based order of at most ``n`` examples (per group)."""
+    digits = 0 if n <= ROWS_PER_BUCKET else math.ceil(math.log(n / ROWS_PER_BUCKET, 16))
+    key = F.md5(F.concat_ws("|", F.lit("fs"), F.col("shuffle_key")))
+    if not digits and not group_cols:
+        # The limit drops nothing, but tells the planner how few rows a sample has (an exclusion then broadcasts it).
+        few = picked.withColumn("_fs", key).orderBy("_fs", id_col).limit(n)
+        return few.withColumn("example_seq", F.row_number().over(Window.orderBy("_fs", id_col)).cast("long")).drop("_fs")
+    out = ranked(picked, key, id_col, group_cols, "_seq", "_fs", digits)
+    return out.withColumn("example_seq", (F.col("_seq") + 1).cast("long")).drop("_seq", "_fs")
+
+
 def stratified_sample(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED,
                       id_col: str = "pair_id", class_col: str = "support") -> DataFrame:
     """n rows balanced over ``classes`` (at most what a class has), in seeded
-    order; adds ``example_seq`` (1-based order of the examples).
-
-    Small quotas: ``row_number() over (partition by class order by key) <= q``
-    -- Catalyst plans a WindowGroupLimit, so each task keeps at most q rows per
-    class before the shuffle and a hot class costs nothing extra.  Large quotas:
-    per-class global positions (``seeded_shuffle``), never one task per class."""
-    if n <= 0:
-        return (df.limit(0).withColumn("shuffle_key", F.lit(None).cast("string"))
-                .withColumn("example_seq", F.lit(None).cast("int")))
-    quotas = {c: q for c, q in class_quotas(n, classes).items() if q > 0}
-    pool = eligible_pool(df, quotas.keys(), class_col)
+    order; adds ``shuffle_key`` and ``example_seq`` (1-based order of the examples).
+
+    The histogram of a class tells the key at which its quota ends; rows beyond go before the shuffle."""
+    quotas = {c: q for c, q in class_quotas(max(n, 0), classes).items() if q > 0}
+    pool = eligible_pool(df, quotas.keys(), class_col) if quotas else df.where("false")
     quota = F.lit(0)
     for c, q in quotas.items():
         quota = F.when(F.col(class_col) == c, F.lit(q)).otherwise(quota)
-    top = max(quotas.values())
-    if top <= SMALL_QUOTA:
-        w = Window.partitionBy(class_col).orderBy("shuffle_key", id_col)
-        ranked = pool.withColumn("shuffle_key", order_key(seed, id_col)).withColumn(
-            "_rn", F.row_number().over(w))
-        picked = ranked.filter((F.col("_rn") <= top) & (F.col("_rn") <= quota)).drop("_rn")
-    else:
-        ranked = seeded_shuffle(pool, seed, id_col, [class_col], "_rn")
-        picked = ranked.filter(F.col("_rn") < quota).drop("_rn")
-    # The sample has at most n rows (a parameter), so ordering it globally is bounded.
-    seq = Window.orderBy(F.md5(F.concat_ws("|", F.lit("fs"), F.col("shuffle_key"))), id_col)
-    return picked.withColumn("example_seq", F.row_number().over(seq).cast("long"))
+    picked = ranked(pool, order_key(seed, id_col), id_col, [class_col], "_pos", digits=key_digits(pool),
+                    quota=quota, most=max(quotas.values(), default=1), total=sum(quotas.values()))
+    return _numbered_examples(picked.drop("_pos"), sum(quotas.values()), id_col)
 
 
 def stratified_sample_by(df: DataFrame, n_by_group: dict, pools: dict, group_col: str = "strategy",
                          seed: int = DEFAULT_SEED, id_col: str = "pair_id",
                          class_col: str = "support") -> DataFrame:
     """``stratified_sample`` for several groups (e.g. strategies) in one plan:
-    each group has its own n and class pool; the window is partitioned by
-    (group, class) and still gets the WindowGroupLimit pre-filter."""
-    quota = F.lit(0)
-    top = 0
+    each group has its own n and class pool; histogram, cut-off and order are per
+    (group, class)."""
+    quota, all_quotas = F.lit(0), []
     for g, n in n_by_group.items():
         for c, q in class_quotas(n, pools[g]).items():
-            top = max(top, q)
+            all_quotas.append(q)
             quota = F.when((F.col(group_col) == g) & (F.col(class_col) == c), F.lit(q)).otherwise(quota)
-    keyed = df.withColumn("shuffle_key", order_key(seed, id_col)).withColumn("_quota", quota)
-    keyed = keyed.filter(F.col("_quota") > 0)
-    if top <= SMALL_QUOTA:
-        w = Window.partitionBy(group_col, class_col).orderBy("shuffle_key", id_col)
-        picked = (keyed.withColumn("_rn", F.row_number().over(w))
-                  .filter((F.col("_rn") <= max(top, 1)) & (F.col("_rn") <= F.col("_quota"))))
-    else:
-        picked = (seeded_shuffle(keyed.drop("shuffle_key"), seed, id_col, [group_col, class_col], "_rn")
-                  .filter(F.col("_rn") < F.col("_quota")))
-    seq = Window.partitionBy(group_col).orderBy(
-        F.md5(F.concat_ws("|", F.lit("fs"), F.col("shuffle_key"))), id_col)
-    return picked.drop("_rn", "_quota").withColumn("example_seq", F.row_number().over(seq).cast("long"))
+    pool = df.filter(quota > 0)
+    picked = ranked(pool, order_key(seed, id_col), id_col, [group_col, class_col], "_pos", digits=key_digits(pool),
+                    quota=quota, most=max([1, *all_quotas]), total=sum(all_quotas))
+    return _numbered_examples(picked.drop("_pos"), max(n_by_group.values(), default=0), id_col, [group_col])
 
 
 def union_class_samples(df: DataFrame, n: int, classes, seed: int = DEFAULT_SEED,
@@ -172,23 +198,13 @@ def exclude_few_shot(df: DataFrame, few_shot: DataFrame, id_col: str = "pair_id"
 def limit_sample(df: DataFrame, limit: int | None, seed: int = DEFAULT_SEED,
                  id_col: str = "pair_id", pos_col: str = "pos", group_cols=()) -> DataFrame:
     """First ``limit`` rows in seeded order (all rows when limit is None), with
-    their 0-based position (per group when ``group_cols`` is given).
-    Small limits (<= SMALL_QUOTA) are a top-k: ``row_number() <= limit`` lets
-    Catalyst keep at most ``limit`` rows per task and group before the shuffle
-    (WindowGroupLimit).  Larger limits, and none, use the bucketed global
-    positions of ``seeded_shuffle``.  Both give the same positions."""
-    if limit is not None and limit <= SMALL_QUOTA:
-        groups = list(group_cols)
-        gk = groups if groups else ["_g"]
-        keyed = df.withColumn("shuffle_key", order_key(seed, id_col))
-        if not groups:
-            keyed = keyed.withColumn("_g", F.lit(0))
-        w = Window.partitionBy(*gk).orderBy("shuffle_key", id_col)
-        out = (keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
-               .withColumn(pos_col, (F.col("_rn") - 1).cast("long")).drop("_rn"))
-        return out if groups else out.drop("_g")
-    out = seeded_shuffle(df, seed, id_col, group_cols=group_cols, pos_col=pos_col)
-    return out if limit is None else out.filter(F.col(pos_col) < limit)
+    their 0-based position (per group when ``group_cols`` is given).  The
+    histogram tells the key at which the limit is reached; rows beyond go before the shuffle."""
+    if limit is None:
+        return seeded_shuffle(df, seed, id_col, group_cols=group_cols, pos_col=pos_col)
+    # The number of groups isn't known: their kept cells are broadcast without groups only.
+    return ranked(df, order_key(seed, id_col), id_col, group_cols, pos_col, digits=key_digits(df), quota=F.lit(limit),
+                  most=max(limit, 1), total=None if group_cols else limit)
 
 
 def assign_batches(df: DataFrame, batch_size: int, pos_col: str = "pos") -> DataFrame:

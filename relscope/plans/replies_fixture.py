@@ -48,7 +48,7 @@ def _item(quoted: bool, null_attack: Column | None = None) -> Column:
 
 def batched_predictions(spark, sf_dir) -> DataFrame:
     pred = fx.predictions(spark, sf_dir)
-    pos = sampling.seeded_shuffle(pred, group_cols=["run_id"], bounded_groups=False)
+    pos = sampling.seeded_shuffle(pred, group_cols=["run_id"])
     return sampling.assign_batches(pos, BATCH)
 
 

@@ -94,3 +94,75 @@ def test_few_shot_block_and_answers(spark):
     assert '"relevance": 0.5}' in blk
     zero = prompting.few_shot_block(fs, "D", None).collect()[0]
     assert zero.n_examples == 0 and zero.few_shot_block == ""
+
+
+def _brute_order(ids, mark="42"):
+    import hashlib
+    return sorted(ids, key=lambda p: (hashlib.md5(f"{mark}|{p}".encode()).hexdigest(), p))
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4, 6])
+def test_ranked_equals_brute_force_at_any_number_of_digits(spark, digits):
+    rows = [(f"p{i}", [None, "a", "b"][i % 3 if i % 11 else 1]) for i in range(900)]
+    df = spark.createDataFrame(rows, "pair_id string, g string")
+    brute = {}
+    for g in (None, "a", "b"):
+        for pos, p in enumerate(_brute_order([i for i, x in rows if x == g])):
+            brute[p] = pos
+    got = sampling.ranked(df, sampling.order_key(), "pair_id", ["g"], digits=digits).collect()
+    assert {r.pair_id: r.pos for r in got} == brute and len(got) == 900
+    for quota in (1, 40, 250, 5000):
+        for total in (None, 10_000):
+            kept = sampling.ranked(df, sampling.order_key(), "pair_id", ["g"], digits=digits, quota=F.lit(quota), most=quota, total=total)
+            assert {r.pair_id: r.pos for r in kept.collect()} == {p: k for p, k in brute.items() if k < quota}
+    one = {r.pair_id: r.pos for r in sampling.ranked(df, sampling.order_key(), "pair_id", digits=digits).collect()}
+    assert one == {p: k for k, p in enumerate(_brute_order([i for i, _ in rows]))}
+
+
+@pytest.mark.parametrize("n", [-1, 0, 1, 7, 2999, 10_000])
+def test_one_schema_and_order_for_every_sample_size(spark, n):
+    df = _ids(spark, 3000)
+    got = sampling.stratified_sample(df, n, (0, 1, 2))
+    assert got.dtypes == sampling.stratified_sample(df, 5, (0, 1, 2)).dtypes
+    rows = got.collect()
+    want = set()
+    for c, q in sampling.class_quotas(max(n, 0), (0, 1, 2)).items():
+        want |= set(_brute_order([f"p{i}" for i in range(c, 3000, 3)])[:max(q, 0)])
+    assert {r.pair_id for r in rows} == want
+    by_seq = sorted(rows, key=lambda r: r.example_seq)
+    assert [r.example_seq for r in by_seq] == list(range(1, len(rows) + 1))
+    assert [r.pair_id for r in by_seq] == [p for _, p in sorted((k, p) for k, p in _fs_keys(rows))]
+
+
+def _fs_keys(rows):
+    import hashlib
+    return [(hashlib.md5(f"fs|{r.shuffle_key}".encode()).hexdigest(), r.pair_id) for r in rows]
+
+
+def test_large_samples_are_numbered_without_one_task(spark, monkeypatch):
+    df = _ids(spark, 600)
+    small = {r.pair_id: r.example_seq for r in sampling.stratified_sample(df, 300, (0, 1, 2)).collect()}
+    monkeypatch.setattr(sampling, "ROWS_PER_BUCKET", 20)
+    large = sampling.stratified_sample(df, 300, (0, 1, 2))
+    assert {r.pair_id: r.example_seq for r in large.collect()} == small
+    assert "SinglePartition" not in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_read_the_input_twice_and_use_no_single_task(spark):
+    import tempfile
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/p"
+    fx.predictions(spark, SF_SMALL).select("pair_id", "support").write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (sampling.seeded_shuffle(df), sampling.assign_batches(sampling.limit_sample(df, None), 20),
+                sampling.limit_sample(df, 500), sampling.limit_sample(df, 5000)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and "SinglePartition" not in plan
+    # A selection cuts its rows by the kept cells before they are shuffled.
+    assert "BroadcastHashJoin" in sampling.limit_sample(df, 500)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digits_follow_the_size_of_the_input(spark):
+    wide = spark.range(10_000_000).select(F.col("id").cast("string").alias("pair_id"))
+    assert sampling.key_digits(wide, 10 ** 9) == 1
+    assert sampling.key_digits(wide, 1000) > sampling.key_digits(wide, 100_000) >= 1
+    assert sampling.key_digits(spark.createDataFrame([("a",)], "pair_id string")) <= sampling.UNKNOWN_DIGITS
