@@ -65,8 +65,16 @@ def prediction_cells(pred: DataFrame, keys=None) -> DataFrame:
     Rows whose gold code the strategy cannot score count in ``n_rejected`` and
     in nothing else."""
     k = _keys(pred, keys)
-    cols = k + ["strategy", "support", "pred_attack", "pred_support", "pred_neither"]
-    raw = pred.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"))
+    return label_cells(pred.groupBy(*k, *RAW_CELL).agg(F.count(F.lit(1)).alias("_rows")), k)
+
+
+#: What a prediction row is reduced to before the label rules.
+RAW_CELL = ("strategy", "support", "pred_attack", "pred_support", "pred_neither")
+
+
+def label_cells(raw: DataFrame, keys) -> DataFrame:
+    """Scoring cells from counts (``_rows``) of the raw values."""
+    k = list(keys)
     known = F.coalesce(known_gold(), F.lit(False))
     d = derive_labels(raw).withColumns(
         {"n": F.when(known, F.col("_rows")).otherwise(F.lit(0)),

@@ -16,6 +16,7 @@ from relscope.operators import comparisons as cmp
 from relscope.operators import human as hum
 from relscope.operators import prompting
 from relscope.operators import sampling
+from relscope.operators.inference import persist_replies
 from relscope.operators import ratings
 from relscope.operators import replies as rep
 from relscope.operators import scoring
@@ -657,16 +658,30 @@ def q_read_human_labels(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- streaming
+def _stream_replies(spark, sf_dir):
+    """(folder of parsed batches, folder of decoded rows) after a stop, files that come twice, and a restart."""
+    from relscope.streaming.jobs import stream_predictions
+    src, out, decoded, ckpt = (_scratch(spark, f"stream-{n}") for n in ("replies", "batches", "decoded", "ckpt"))
+    rows = persist_replies(rfx.build(spark, sf_dir), "stream-input")
+    first, second = rows.filter("batch_id % 3 = 0"), rows.filter("batch_id % 3 <> 0")
+    for part in (first.repartition(2), second.repartition(2).union(first)):
+        part.write.mode("append").parquet(src)
+        stream_predictions(spark, src, rows.schema, out, ckpt, max_files=2, decoded_dir=decoded)
+    return out, decoded
+
+
 @register("stream_predictions", orep.parse_replies)
 def q_stream_predictions(spark, sf_dir):
-    from relscope.streaming.jobs import stream_predictions
-    src = _scratch(spark, "reply-files")
-    rfx.build(spark, sf_dir).repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    out = stream_predictions(spark, src, schema, _scratch(spark, "stream-predictions"),
-                             _scratch(spark, "stream-predictions-ckpt"))
-    return spark.read.parquet(out).select("run_id", "batch_id", "n_expected", "n_items_reply",
-                                          "parse_status")
+    out, _ = _stream_replies(spark, sf_dir)
+    return spark.read.parquet(out).select("run_id", "batch_id", "n_expected", "n_items_reply", "parse_status")
+
+
+@register("stream_decoded", orep.decode_predictions)
+def q_stream_decoded(spark, sf_dir):
+    """One row per pair of the replies that came as a stream, repeated ones dropped."""
+    _, decoded = _stream_replies(spark, sf_dir)
+    return spark.read.parquet(decoded).select("run_id", "batch_id", "item_pos", "pred_attack", "pred_support", "pred_neither",
+                                              "pred_relevance", "off_rubric")
 
 
 @register("stream_run_summary", os_.run_summary)
@@ -679,6 +694,20 @@ def q_stream_run_summary(spark, sf_dir):
                               _scratch(spark, "stream-cells-ckpt"))
 
 
+@register("stream_progress", os_.progress)
+def q_stream_progress(spark, sf_dir):
+    """Pairs done of those planned, while one run in three still waits for its predictions."""
+    from relscope.streaming.jobs import progress_at, stream_run_summary
+    src, plan, cells, ckpt = (_scratch(spark, f"progress-{n}") for n in ("files", "plan", "cells", "ckpt"))
+    rows = persist_replies(fx.predictions(spark, sf_dir), "progress-input")
+    batches = rows.groupBy("run_id", "strategy").agg(F.count("*").alias("n"))
+    batches.select("run_id", "strategy", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), "n").selectExpr(
+        "run_id", "strategy", "IF(half = 0, n div 2, n - n div 2) AS n_items").write.parquet(plan)
+    rows.filter("run_id % 3 <> 0").repartition(2).write.parquet(src)
+    stream_run_summary(spark, src, rows.schema, cells, ckpt, max_files=2, expected_dir=plan)
+    return progress_at(spark, cells, rows.schema)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -277,3 +277,10 @@ FROM o_labeled WHERE strategy IN {inlist}"""
 
 def row_correct() -> str:
     return _w() + "SELECT pair_id, run_id, strategy, correct FROM o_labeled"
+
+
+def progress() -> str:
+    return with_clause(["fx_predictions"]) + """
+SELECT run_id, strategy, CAST(count(*) FILTER (WHERE run_id % 3 <> 0) AS BIGINT) AS n_done, count(*) AS n_total,
+       CAST(count(*) FILTER (WHERE run_id % 3 <> 0) AS DOUBLE) / count(*) AS progress
+FROM fx_predictions GROUP BY run_id, strategy"""
