@@ -186,10 +186,12 @@ def comparison_report(comparisons: DataFrame) -> DataFrame:
 
     Group tables in fixed group order with rows in spec order, notes for
     groups 3 and 3b, then the list of significant results and the count line.
-    Every group with results gets a table (the published report omits group 6)."""
+    Every group with results gets a table (the published report omits group 6).
+    The comparisons, a row a spec, are written once: every part of the report reads that table."""
     spark = comparisons.sparkSession
-    from relscope.session import ship_package
+    from relscope.session import persisted, ship_package
     ship_package(spark)
+    comparisons = persisted(comparisons, "comparisons")
     fmt = lambda c, s: py_format(F.col(c).cast("double"), F.lit(s))
     rows = comparisons.select(
         "group_seq", F.lit(3).alias("part"), F.col("spec_seq").alias("seq"),
@@ -235,20 +237,24 @@ def comparison_report(comparisons: DataFrame) -> DataFrame:
             .select("section", "group_seq", "part", "seq", "line"))
 
 
+def assembled_report(lines: DataFrame) -> DataFrame:
+    """``(section, group_seq, part, seq, pos, line)``: the report's lines with title, headings and blank lines."""
+    at = lambda section, part: (F.col("section") == section) & (F.col("part") == part)
+    blank = F.lit("")
+    around = (F.when(at(1, 0), F.array(blank, F.col("line"), blank))
+              .when(at(1, 1) | at(2, 0), F.array(F.col("line"), blank))
+              .when(F.col("section") == 3, F.array(blank, F.col("line"))).otherwise(F.array("line")))
+    place = ["section", "group_seq", "part", "seq"]
+    body = lines.select(*place, F.posexplode(around).alias("pos", "line"))
+    from relscope.session import values_frame
+    fixed = [(0, -1, 0, 0, i, t) for i, t in enumerate(("# Statistical Evaluation Report", "", "## Results"))]
+    fixed += [(2, -1, -1, 0, i, t) for i, t in enumerate(("", "## Plain-Language Summary", ""))]
+    return body.unionByName(values_frame(lines.sparkSession, fixed, "section int, group_seq int, part int, seq int, pos int, line string"))
+
+
+REPORT_ORDER = ("section", "group_seq", "part", "seq", "pos")
+
+
 def report_text(lines: DataFrame) -> str:
-    """Assemble the ordered report lines (result-sized) into Markdown text."""
-    rows = lines.orderBy("section", "group_seq", "part", "seq").collect()
-    out = ["# Statistical Evaluation Report", "", "## Results", ""]
-    last = None
-    for r in rows:
-        if r.section == 1 and last is not None and r.group_seq != last and r.part == 0:
-            out.append("")
-        if r.section == 2 and last != "sig":
-            out += ["", "## Plain-Language Summary", ""]
-            last = "sig"
-        if r.section == 3:
-            out.append("")
-        out.append(r.line)
-        if r.section == 1:
-            last = r.group_seq
-    return "\n".join(out) + "\n"
+    """The assembled report (result-sized) as Markdown text."""
+    return "".join(r["line"] + "\n" for r in assembled_report(lines).orderBy(*REPORT_ORDER).collect())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relscope.operators import scoring
+from relscope.schema import FLAG_COLS
 
 
 def as_predictions(df: DataFrame, gold: str = "gold", human: str = "human", keys=()) -> DataFrame:
@@ -29,34 +30,31 @@ def human_agreement(df: DataFrame, gold: str = "gold", human: str = "human", key
     """Label distributions, confusion totals, P/R/F1, macro F1 and accuracy of
     human vs gold.  Counted beside them: rows with a missing value (``n_dropped``),
     complete rows whose gold (``n_rejected``) or human code (``n_human_rejected``)
-    is none of the three.  The counts are there even if no row is complete."""
+    is none of the three.  The counts are there even if no row is complete, the metrics
+    are null then.
+
+    One scan: rows are counted by their two labels, and everything is a sum over these few counts."""
     keys = list(keys)
-    pred = as_predictions(df, gold, human, keys)
-    summ = scoring.run_summary(pred, keys=keys)
-    dropped = (df.groupBy(*keys).agg(
-        F.count_if(F.col(gold).isNull() | F.col(human).isNull()).alias("n_dropped"),
-        F.count_if(F.col(gold).isNotNull() & ~F.col(human).cast("long").isin(0, 1, 2))
-        .alias("n_human_rejected"),
-        F.count_if(F.col(human).cast("long") == 0).alias("human_count_attack"),
-        F.count_if(F.col(human).cast("long") == 1).alias("human_count_support"),
-        F.count_if(F.col(human).cast("long") == 2).alias("human_count_no_relation")))
+    h = F.col("_human")
+    raw = df.groupBy(*keys, F.col(gold).cast("long").alias("support"), F.col(human).cast("long").alias("_human")).agg(F.count(F.lit(1)).alias("_all"))
+    both = F.col("support").isNotNull() & h.isNotNull()
+    raw = raw.select(*keys, F.lit("C").alias("strategy"), "support", "_human", "_all", both.alias("_both"),
+                     F.when(both, F.col("_all")).otherwise(F.lit(0)).alias("_rows"),
+                     *[(h == code).cast("int").alias(flag) for code, flag in enumerate(FLAG_COLS)])
+    cells = scoring.label_cells(raw, keys, ("_human", "_all", "_both"))
+
+    def count(cond: str) -> str:
+        return f"CAST(coalesce(sum(CASE WHEN {cond} THEN _all ELSE 0 END), 0) AS BIGINT)"
+
+    counts = {"n_dropped": count("NOT _both"), "n_human_rejected": count("support IS NOT NULL AND _human NOT IN (0, 1, 2)"),
+              "human_count_attack": count("_human = 0"), "human_count_support": count("_human = 1"),
+              "human_count_no_relation": count("_human = 2"), "_complete": count("_both")}
+    summ = scoring.run_summary(cells, keys=keys, cells=cells, extra=counts, one="C")
     summ = summ.drop("strategy", "n_valid", "n_scored", "predicted_count_attack",
-                     "predicted_count_support", "predicted_count_no_relation")
-    if keys:
-        return _zeroed(summ.join(dropped, keys, "right"))
-    return _zeroed(_single(summ, dropped))
-
-
-def _zeroed(df: DataFrame) -> DataFrame:
-    df = df.withColumnRenamed("n_evaluated", "n")
-    return df.fillna(0, subset=["n", "n_rejected"])
-
-
-def _single(summ: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Attach the one-row drop counts to the one-row summary (equi-join on a constant key)."""
-    s = summ.withColumn("_k", F.lit(1))
-    d = dropped.withColumn("_k", F.lit(1))
-    return d.join(s, "_k", "left").drop("_k")
+                     "predicted_count_support", "predicted_count_no_relation").withColumnRenamed("n_evaluated", "n")
+    always = [*keys, "n", "n_rejected", *counts]
+    told = [F.col(c) if c in always else F.when(F.col("_complete") > 0, F.col(c)).alias(c) for c in summ.columns if c != "_complete"]
+    return summ.select(*told).fillna(0, subset=["n", "n_rejected"])
 
 
 def human_confusion(df: DataFrame, gold: str = "gold", human: str = "human", keys=()) -> DataFrame:

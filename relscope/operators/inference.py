@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from relscope.functions.labels import support_label
 from relscope.operators import prompting, replies, reply_store, sampling
 from relscope.schema import STRATEGIES, check_strategies
-from relscope.session import scratch_dir
+from relscope.session import persisted
 
 ClientFactory = Callable[[], object]
 
@@ -88,13 +88,8 @@ def batched_inference(prompts: DataFrame, client_factory: ClientFactory, max_ret
 
 
 def persist_replies(replies_df: DataFrame, name: str = "replies") -> DataFrame:
-    """Write a frame (replies, or any intermediate worth keeping) to the shared
-    checkpoint folder and read it back: the lineage is cut, and a lost
-    executor later never recomputes what is behind it."""
-    spark = replies_df.sparkSession
-    path = scratch_dir(spark, name)
-    replies_df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The replies as a written table, see ``session.persisted``."""
+    return persisted(replies_df, name)
 
 
 def plan_batches(pairs: DataFrame, strategies, few_shot_n=0, limit: int | None = None,

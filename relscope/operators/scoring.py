@@ -72,9 +72,9 @@ def prediction_cells(pred: DataFrame, keys=None) -> DataFrame:
 RAW_CELL = ("strategy", "support", "pred_attack", "pred_support", "pred_neither")
 
 
-def label_cells(raw: DataFrame, keys) -> DataFrame:
-    """Scoring cells from counts (``_rows``) of the raw values."""
-    k = list(keys)
+def label_cells(raw: DataFrame, keys, carry=()) -> DataFrame:
+    """Scoring cells from counts (``_rows``) of the raw values; columns of ``carry`` go along."""
+    k = [*keys, *carry]
     known = F.coalesce(known_gold(), F.lit(False))
     d = derive_labels(raw).withColumns(
         {"n": F.when(known, F.col("_rows")).otherwise(F.lit(0)),
@@ -130,8 +130,9 @@ def _f1_sql(p: str, r: str) -> str:
     return f"coalesce(try_divide(2.0 * {p} * {r}, {p} + {r}), 0.0)"
 
 
-def _cell_aggregates(cells: DataFrame, k: list[str]) -> DataFrame:
-    """Per run: totals plus TP/FP/FN/TN of every class (strategy applicability later)."""
+def _cell_aggregates(cells: DataFrame, k: list[str], extra=(), one: str | None = None) -> DataFrame:
+    """Per run: totals plus TP/FP/FN/TN of every class (strategy applicability later), and the
+    ``extra`` aggregates.  ``one`` is the strategy of all cells: then a group without cells counts too."""
     sc = "(valid AND y_pred IS NOT NULL)"
     aggs = ["CAST(sum(n) AS BIGINT) AS n_evaluated",
             "CAST(sum(n_rejected) AS BIGINT) AS n_rejected",
@@ -151,18 +152,24 @@ def _cell_aggregates(cells: DataFrame, k: list[str]) -> DataFrame:
                  f"{_n_if_sql(f'{sc} AND {t} AND NOT {p}')} AS _fn_{c}",
                  f"{_n_if_sql(f'{sc} AND NOT {t} AND NOT {p}')} AS _tn_{c}"]
     with_yt = cells.withColumn("_yt", y_true("strategy", "support"))
+    aggs += list(extra)
+    if one is not None:
+        return with_yt.groupBy(*k).agg(*[F.expr(a) for a in aggs]).withColumn("strategy", F.lit(one))
     return with_yt.groupBy(*k, "strategy").agg(*[F.expr(a) for a in aggs])
 
 
-def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> DataFrame:
-    """One flat row per run and strategy: counts, accuracy, P/R/F1, macro F1.
+def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None, extra: dict[str, str] | None = None,
+                one: str | None = None) -> DataFrame:
+    """One flat row per run and strategy: counts, accuracy, P/R/F1, macro F1, and ``extra``
+    aggregates (name -> SQL) of the cells.
 
     Classes a strategy does not score are null (A exports Attack only, B
     Attack and Support).  Accuracy is null when no row is valid."""
     k = _keys(pred, keys) if cells is None else list(keys or [])
     if cells is None:
         cells = prediction_cells(pred, k)
-    a = _cell_aggregates(cells, k)
+    extra = extra or {}
+    a = _cell_aggregates(cells, k, [f"{sql} AS {name}" for name, sql in extra.items()], one)
     out = [f"`{c}`" for c in k] + [
         "strategy", "n_evaluated", "n_rejected", "n_valid", "n_scored", "ground_truth_count_attack",
         "ground_truth_count_support", "ground_truth_count_no_relation", "predicted_count_attack",
@@ -188,7 +195,7 @@ def run_summary(pred: DataFrame, keys=None, cells: DataFrame | None = None) -> D
     out.append(f"CASE WHEN strategy = 'A' THEN ({f1s[ATTACK]} + {f1s[NOT_ATTACK]}) / 2 "
                f"WHEN strategy = 'B' THEN ({f1s[ATTACK]} + {f1s[SUPPORT]}) / 2 "
                f"ELSE ({f1s[ATTACK]} + {f1s[SUPPORT]} + {f1s[NO_RELATION]}) / 3 END AS macro_f1")
-    return a.selectExpr(*out)
+    return a.selectExpr(*out, *extra)
 
 
 def accuracy(pred: DataFrame, keys=None) -> DataFrame:

@@ -433,10 +433,8 @@ def q_decode_predictions(spark, sf_dir):
 
 @register("attach_replies", orep.attach_replies)
 def q_attach_replies(spark, sf_dir):
-    # The batched rows feed both the replies and the join: write them once to
-    # the shared folder (cutting the lineage) instead of computing them twice.
-    from relscope.operators.inference import persist_replies as persist
-    batched = persist(rfx.batched_predictions(spark, sf_dir), "batched")
+    """Every pair with the item of its batch's reply: batched rows and parsed replies joined on the batch."""
+    batched = rfx.batched_predictions(spark, sf_dir)
     parsed = rep.parse_replies(rfx.build(spark, sf_dir, batched), keys=_RKEYS)
     j = rep.attach_replies(batched.select("pair_id", *_RKEYS, "item_pos"), parsed, keys=_RKEYS)
     return j.select("pair_id", "run_id", "batch_id", "item_pos", "pred_attack", "pred_support",

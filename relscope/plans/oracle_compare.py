@@ -272,4 +272,7 @@ FROM o_cmp"""
 
 
 def report_plain() -> str:
-    return "SELECT line AS value FROM (" + comparison_report() + ") r"
+    fixed = ", ".join(_lit(t) for t in ("# Statistical Evaluation Report", "", "## Results", "", "## Plain-Language Summary", ""))
+    return "SELECT unnest(CASE WHEN section = 1 AND part = 0 THEN ['', line, ''] WHEN section = 1 AND part = 1 THEN [line, ''] " + \
+        "WHEN section = 2 AND part = 0 THEN [line, ''] WHEN section = 3 THEN ['', line] ELSE [line] END) AS value FROM (" + \
+        comparison_report() + f") r UNION ALL SELECT unnest([{fixed}])"

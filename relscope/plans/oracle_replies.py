@@ -85,12 +85,18 @@ FROM o_dec"""
 
 
 def attach_replies() -> str:
-    return _w("o_dec", "fxr_items", "o_ps") + """
-SELECT i.pair_id, i.run_id, i.batch_id, i.item_pos, d.pred_attack, d.pred_support, d.pred_neither,
-       d.pred_relevance, s.parse_status
-FROM fxr_items i
-LEFT JOIN o_dec d ON d.run_id = i.run_id AND d.batch_id = i.batch_id AND d.item_pos = i.item_pos
-LEFT JOIN o_ps s ON s.run_id = i.run_id AND s.batch_id = i.batch_id"""
+    """The parsed replies are computed once, then each pair picks its item by place: one join, no unnesting."""
+    c = ctes()
+    dec = ", ".join(f"{_dec_flag(_raw('it', k))} AS pred_{k}" for k in _FLAGS)
+    text = with_clause(["fx_predictions", "fxr_items", "o_ps"], c)
+    for heavy in ("fxr_items", "fx_replies", "o_ps"):
+        text = text.replace(f"{heavy} AS (", f"{heavy} AS MATERIALIZED (", 1)
+    return text + f"""
+SELECT pair_id, run_id, batch_id, item_pos, {dec},
+       CASE WHEN strategy = 'D' THEN {_dec_rel(_raw('it', 'relevance'))} END AS pred_relevance, parse_status
+FROM (SELECT i.pair_id, i.run_id, i.strategy, i.batch_id, i.item_pos, s.parse_status,
+             CASE WHEN s.parse_status = 'ok' THEN s.items[i.item_pos + 1] END AS it
+      FROM fxr_items i LEFT JOIN o_ps s ON s.run_id = i.run_id AND s.strategy = i.strategy AND s.batch_id = i.batch_id) x"""
 
 
 def batch_failures() -> str:

@@ -73,6 +73,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "relscope", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def persisted(df, name: str):
+    """Write a frame (replies, or any intermediate worth keeping) to the shared
+    checkpoint folder and read it back: it is computed once, the lineage is cut, and a lost
+    executor later never recomputes what is behind it."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sql_literal(v) -> str:
     if v is None:
         return "NULL"

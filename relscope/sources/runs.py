@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relscope.schema import RUN_METADATA_COLS, RUN_METRIC_COLS
+from relscope.sources.csv_ranges import read_csv
 from relscope.sources.formats import stored_format
 
 # Timestamp layouts seen in run files ("6/7/26 18:02" and
@@ -39,15 +41,14 @@ def read_runs(spark: SparkSession, path: str, fmt: str | None = None) -> DataFra
     """Read run summaries: a Parquet overview as the evaluation job stores it
     (typed, with its ``run_seq``), or a CSV as strings, then typed without ever failing.
 
-    For CSV ``run_seq`` keeps the file order (the file is read whole, multi-line CSV is
-    not split, and the id grows with the position) so "first match wins"
-    lookups stay reproducible."""
+    For CSV ``run_seq`` numbers the rows by file, then position, so "first match wins"
+    lookups stay reproducible, over several files too (their names tell the order)."""
     if (fmt or stored_format(spark, path)) == "parquet":
         stored = spark.read.parquet(path)
         return stored.withColumn("timestamp", parse_timestamp(F.col("timestamp").cast("string")))
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').csv(path))
-    raw = raw.withColumn("run_seq", F.monotonically_increasing_id())
+    raw = read_csv(spark, path)
+    order = Window.orderBy("_file", "_row")  # one row a run: result-sized
+    raw = raw.withColumn("run_seq", (F.row_number().over(order) - 1).cast("long")).drop("_file", "_row")
     cols = []
     for c in raw.columns:
         if c == "timestamp":

@@ -50,7 +50,8 @@ def append_run_summary(summary: DataFrame, path: str, fmt: str = "parquet") -> N
 
 
 def write_annotated_runs(runs: DataFrame, path: str) -> None:
-    runs.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Annotated runs in one file (result-sized); what computes them stays parallel."""
+    runs.repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_comparisons(comparisons: DataFrame, path: str) -> None:
@@ -60,8 +61,9 @@ def write_comparisons(comparisons: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report lines in order as one text file."""
-    (lines.orderBy("section", "group_seq", "part", "seq").select("line").coalesce(1)
+    """The assembled Markdown report, title, headings and blank lines included, as one text file."""
+    from relscope.operators.comparisons import REPORT_ORDER, assembled_report
+    (assembled_report(lines).orderBy(*REPORT_ORDER).select("line").coalesce(1)
      .write.mode("overwrite").text(path))
 
 

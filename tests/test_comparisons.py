@@ -96,3 +96,30 @@ def test_n_correct_half_to_even(spark):
                    F.lit("x").alias("dataset_file"))
     got = [r.n_correct for r in C.annotate_runs(df).collect()]
     assert got == [486, 688, 2, 4]
+
+
+def test_the_report_sink_writes_title_headings_and_blank_lines(spark, tmp_path):
+    import os
+    import re
+
+    from relscope.sources.runs import read_runs
+    from relscope.sources.sinks import write_report
+    runs = C.annotate_runs(read_runs(spark, golden("ResultOverview_allTests.csv")))
+    lines = C.comparison_report(C.compare_runs(spec_frame(spark, STUDY_SPECS), runs))
+    write_report(lines, str(tmp_path / "report"))
+    got = "".join((tmp_path / "report" / f).read_text() for f in sorted(os.listdir(tmp_path / "report")) if f.startswith("part-"))
+    assert got == C.report_text(lines)
+    published = open(golden("evaluation_report.md")).read()
+    # From the results on, but for group 6 (a table here, none there) and the closing prose.
+    here = re.sub(r"### Group 6.*?(?=## Plain)", "", got[got.index("## Results"):], flags=re.S)
+    count = re.search(r"Of \d+ comparisons, .*? are not\.", published).group(0)
+    there = published[published.index("## Results"):published.index(count)] + count + "\n"
+    assert here == there and got.startswith("# Statistical Evaluation Report\n\n## Results\n\n### ")
+
+
+def test_runs_of_several_files_are_numbered_by_file_then_position(spark, tmp_path):
+    from relscope.sources.runs import read_runs
+    for name, models in (("b.csv", "xyz"), ("a.csv", "uv")):
+        (tmp_path / name).write_text("model,strategy\n" + "".join(f'"{m}\n",B\n' for m in models))
+    rows = read_runs(spark, str(tmp_path)).orderBy("run_seq").collect()
+    assert [(r.run_seq, r.model[0]) for r in rows] == list(enumerate("uvxyz"))

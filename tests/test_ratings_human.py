@@ -96,3 +96,18 @@ def test_labels_are_written_and_read_as_several_files(spark, tmp_path):
     got = catalog.queries()["read_human_labels"](spark, str(tmp_path))
     assert len(got.inputFiles()) > 1
     assert sorted(tuple(r) for r in got.collect()) == [(i, i % 2, 1 - i % 3 % 2) for i in range(400)]
+
+
+def test_human_agreement_reads_its_input_once_and_keeps_groups_without_a_complete_row(spark, tmp_path):
+    rows = [("a", 0, 0), ("a", 1, 2), ("a", 5, 1), ("b", None, 1), ("b", 2, None), (None, 2, 2)]
+    spark.createDataFrame(rows, "g string, gold long, human long").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    out = H.human_agreement(df, keys=["g"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    got = {r.g: r for r in out.collect()}
+    assert (got["a"].n, got["a"].n_rejected, got["a"].n_dropped, got["a"].accuracy) == (2, 1, 0, 0.5)
+    assert (got["b"].n, got["b"].n_dropped, got["b"].accuracy, got["b"].macro_f1, got["b"].human_count_support) == (0, 2, None, None, 1)
+    assert got[None].accuracy == 1.0
+    one = H.human_agreement(df.where("false")).first()
+    assert (one.n, one.n_dropped, one.n_rejected, one.accuracy) == (0, 0, 0, None)
