@@ -36,7 +36,8 @@ MIN_COUNT = 3
 SAMPLE_PER_LANG = 2_000
 #: Languages in one word of a Bloom row.
 WORD_BITS = 64
-_NON_LETTERS = re.compile(r"[\W\d_]+")
+#: Anything but letters; Python's \w also holds numbers such as fractions, circled digits and Roman numerals.
+_NON_LETTERS = re.compile(r"[\W\d_%s]+" % "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
 BATCH_CHARS = 2_000_000
 
 
@@ -166,5 +167,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             names, scores = predict_texts(shared.value, [None if t is None or t != t else t for t in pdf["text"]])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": names, "score": scores})
 
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInPandas(
-        predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    # Ids travel as texts: beside a null, pandas would turn longs into doubles.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInPandas(
+        predict, "doc_id string, held_out boolean, lang_pred string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

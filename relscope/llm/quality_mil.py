@@ -217,8 +217,10 @@ def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s,
                                 "predicted": (s >= threshold).astype(np.int32)})
 
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInPandas(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+    # Ids travel as texts: beside a null, pandas would turn longs into doubles.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInPandas(
+        run, "doc_id string, held_out boolean, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep_good(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:

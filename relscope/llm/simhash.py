@@ -65,8 +65,9 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
         for pdf in batches:
             fp = [fingerprint(t if isinstance(t, str) else None, words) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "fp": np.array(fp, np.uint64).view(np.int64)})
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return d.mapInPandas(run, "doc_id long, text_hash long, fp long")
+    # Ids travel as texts: beside a null, pandas would turn longs into doubles.
+    d = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return d.mapInPandas(run, "doc_id string, text_hash long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _fields(pieces: int = PIECES) -> list[tuple[int, int]]:
