@@ -36,8 +36,7 @@ MIN_COUNT = 3
 SAMPLE_PER_LANG = 2_000
 #: Languages in one word of a Bloom row.
 WORD_BITS = 64
-#: Anything but letters; Python's \w also holds numbers such as fractions, circled digits and Roman numerals.
-_NON_LETTERS = re.compile(r"[\W\d_%s]+" % "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+_NON_LETTERS = re.compile(r"[\W\d_]+")
 BATCH_CHARS = 2_000_000
 
 
@@ -46,13 +45,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _has_letter(cleaned: str) -> bool:
+    """Whether anything is a letter: numbers such as fractions, circled digits and Roman numerals are left, too."""
+    return any(map(str.isalpha, cleaned))
+
+
 def ngram_hashes(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-grams of many texts in one row, and each text's [start, end) among them.
 
     Letters are lower-cased, anything else becomes one space; two spaces stand
     on either side of a text, so no n-gram reaches into the next one.
     """
-    clean = [("  " + c.strip() + "  ") if t and (c := _NON_LETTERS.sub(" ", t.lower())).strip() else "" for t in texts]
+    clean = [("  " + c.strip() + "  ") if t and _has_letter(c := _NON_LETTERS.sub(" ", t.lower())) else "" for t in texts]
     sizes = np.array([len(c) for c in clean], np.int64)
     codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     total = max(0, len(codes) - n + 1)
