@@ -47,13 +47,22 @@ BASE_KINDS = ("assign", "access", "hex")
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
+#: Matches whose lengths are summed together.
+BLOCK = 128
+
+
+def _once(value: F.Column, body) -> F.Column:
+    """``body`` of a value that is computed once (a lambda's body is computed for each element)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rule_spans(text: F.Column, rule: Rule, rank: int, wanted: F.Column, name: str):
     """Two steps, as (columns, spans): the matches, and their spans by summing the lengths of what lies between."""
     pattern = F.lit(rule.pattern)
     matches = F.when(wanted, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
     m = F.col(name)
     between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(m))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc, x):
         a = acc["at"] + F.length(x["gap"])
@@ -62,9 +71,19 @@ def rule_spans(text: F.Column, rule: Rule, rank: int, wanted: F.Column, name: st
         good = F.length(F.regexp_extract(x["match"], rule.pattern, rule.group)) >= rule.least
         return F.struct(z.cast("long").alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(between.alias("gap"), m.alias("match"))
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    return matches, F.when(F.size(m) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def whole(x):
+        return (F.length(x["gap"]) + F.length(x["match"])).cast("long")
+
+    def in_blocks(zipped):
+        """Spans block by block: appending copies a block, never all matches."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)))
+        bases = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, blk: F.array_append(
+            acc, F.element_at(acc, -1) + F.aggregate(blk, F.lit(0).cast("long"), lambda s, x: s + whole(x))))
+        return _once(F.struct(blocks.alias("blocks"), bases.alias("bases")), lambda of: F.flatten(F.transform(
+            of["blocks"], lambda blk, i: F.aggregate(blk, F.struct(of["bases"][i].alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
+
+    found = _once(F.arrays_zip(between.alias("gap"), m.alias("match")), in_blocks)
+    return matches, F.when(F.size(m) > 0, found).otherwise(none)
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:

@@ -70,3 +70,17 @@ def test_the_lexicon_s_words_are_bounded_by_a_histogram(spark):
         least = min((int(w[1:]) for w in {f"w{i}" for i in range(500)} - set(got)), default=500)
         assert set(got) == {f"w{i}" for i in range(least)}
     assert len(bpe.frequent_words(counts, 10_000)) == 500
+
+
+def test_many_secrets_in_one_text_are_found_in_time_that_grows_with_them(spark):
+    import time
+
+    from relscope.llm import secrets
+    run, n = "0123456789abcdef" * 2, 30_000
+    text = " ".join([run] * n)
+    began = time.time()
+    r = secrets.digest(secrets.scan_documents(spark.createDataFrame([(1, text), (2, run), (3, "x " + " ".join([run] * 129))], "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert [x.n_hex for x in r] == [n, 1, 129]
+    assert r[0].spans == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(n))
+    assert r[2].spans == ",".join(f"hex:{2 + 33 * i}:{34 + 33 * i}" for i in range(129))
