@@ -95,26 +95,33 @@ def persist_replies(replies_df: DataFrame, name: str = "replies") -> DataFrame:
 def plan_batches(pairs: DataFrame, strategies, few_shot_n=0, limit: int | None = None,
                  batch_size: int = 10, seed: int = sampling.DEFAULT_SEED,
                  relevance_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All strategies in one plan: every pair is repeated once per strategy
-    (a generator, not a join), then few-shot sample per (strategy, class),
-    exclusion, positions per strategy, limit and batches -- one pass over the
-    pairs and one shuffle for the positions, whatever the number of strategies.
+    """All strategies in one plan, texts late: ids and gold codes are written once as a narrow table, repeated per
+    strategy (a generator, not a join), sampled, excluded, numbered and dealt to batches.  Then
+    each pair's places, as many as strategies, meet its texts by ``pair_id`` (which must be unique): the
+    texts are read once beside the ids and cross one shuffle before the prompts are put together.
 
     ``few_shot_n`` is an int or a dict strategy -> n.  Returns (batched rows,
     few-shot blocks); both carry ``strategy``."""
     letters = check_strategies(strategies)
     n_by = few_shot_n if isinstance(few_shot_n, dict) else {s: few_shot_n for s in letters}
-    per = pairs.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in letters])))
+    narrow = persisted(pairs.select("pair_id", "support"), "pair-ids")
+    per = narrow.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in letters])))
     pools = {s: STRATEGIES[s].few_shot_pool for s in letters}
     n_pos = {s: n for s, n in n_by.items() if n > 0 and s in letters}
     if n_pos:
         fs = sampling.stratified_sample_by(per, n_pos, pools, "strategy", seed)
+        fs = persisted(fs.select("pair_id", "strategy", "example_seq"), "few-shot")  # a few rows
         ev = sampling.exclude_few_shot(per, fs, group_cols=["strategy"])
     else:
         fs, ev = None, per
     ev = sampling.limit_sample(ev, limit, seed, group_cols=["strategy"])
-    batched = sampling.assign_batches(ev, batch_size)
-    sample = fs if fs is not None else per.limit(0).withColumn("example_seq", F.lit(0))
+    places = sampling.assign_batches(ev, batch_size).select("pair_id", F.struct("strategy", "batch_id", "item_pos", "pos", "shuffle_key").alias("place"))
+    places = places.groupBy(F.col("pair_id").alias("_id")).agg(F.collect_list("place").alias("_places"))
+    batched = pairs.join(places, pairs["pair_id"] == places["_id"]).select(*pairs.columns, F.inline("_places"))
+    if fs is not None:
+        sample = pairs.join(fs.withColumnRenamed("pair_id", "_id"), pairs["pair_id"] == F.col("_id")).drop("_id")
+    else:
+        sample = pairs.limit(0).withColumn("strategy", F.lit("")).withColumn("example_seq", F.lit(0))
     blocks = prompting.few_shot_blocks(sample, letters, relevance_col)
     return batched, blocks
 

@@ -166,3 +166,24 @@ def test_digits_follow_the_size_of_the_input(spark):
     assert sampling.key_digits(wide, 10 ** 9) == 1
     assert sampling.key_digits(wide, 1000) > sampling.key_digits(wide, 100_000) >= 1
     assert sampling.key_digits(spark.createDataFrame([("a",)], "pair_id string")) <= sampling.UNKNOWN_DIGITS
+
+
+def test_texts_are_read_late_and_cross_one_shuffle(spark):
+    import tempfile
+
+    from relscope.operators import inference
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/pairs"
+    fx.pairs(spark, SF_SMALL).write.parquet(path)
+    pairs = spark.read.parquet(path)
+    batched, blocks = inference.plan_batches(pairs, "ABCD", few_shot_n=4, batch_size=10)
+    plan = batched._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and path in line]
+    assert len(scans) == 1 and "arg1" in scans[0]  # ids and gold codes were written aside, in one more read
+    n = pairs.count()
+    for letter, rows in {r.strategy: r["count"] for r in batched.groupBy("strategy").count().collect()}.items():
+        assert rows == n - 4, letter
+    again, _ = inference.plan_batches(pairs.repartition(3), "ABCD", few_shot_n=4, batch_size=10)
+    place = ["strategy", "batch_id", "item_pos", "pair_id", "arg1", "arg2", "support"]
+    assert batched.select(place).exceptAll(again.select(place)).count() == 0
+    zero, empty = inference.plan_batches(pairs, "AD", few_shot_n=0, limit=7)
+    assert zero.count() == 14 and {r.few_shot_block for r in empty.collect()} == {""}
