@@ -36,7 +36,7 @@ SAMPLE = 3_000
 HIDDEN, STEPS, RATE, DECAY, SEED = 24, 400, 0.02, 1e-4, 7
 THRESHOLD = 0.3
 RECENT_WORDS = 300_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 SYMBOLS = frozenset("#*$%&|<>~^=_{}[]\\/+@")
 
 
