@@ -68,9 +68,7 @@ def _before_cells(cells: DataFrame, keys: list[str], digits: int) -> DataFrame:
     tops = cells.groupBy(*keys, "_top").agg(F.sum("_n").alias("_n"))
     tops = tops.select(*keys, "_top", sums(tops, keys, "_top").alias("_base"))
     inner = cells.withColumn("_in", sums(cells, [*keys, "_top"], "_cell"))
-    # A group may be null: compared null-safe, still an equi-join.
-    on = [inner[k].eqNullSafe(tops[k]) for k in keys] + [inner["_top"] == tops["_top"]]
-    return inner.join(tops, on).select(*[inner[k] for k in keys], inner["_cell"], inner["_n"], (F.col("_base") + F.col("_in")).alias("_before"))
+    return inner.join(tops, [*keys, "_top"]).withColumn("_before", F.col("_base") + F.col("_in")).drop("_top", "_base", "_in")
 
 
 def ranked(df: DataFrame, key: Column, id_col: str, group_cols=(), pos_col: str = "pos", key_col: str = "shuffle_key",
@@ -85,17 +83,19 @@ def ranked(df: DataFrame, key: Column, id_col: str, group_cols=(), pos_col: str
     if not groups:
         # One value for all rows, told from the key: a constant would be optimized away, and with it the partitioning.
         keyed = keyed.withColumn("_g", F.length(key_col) > 32)
-    gk = groups or ["_g"]
+    else:
+        # Groups as texts without nulls: join and window then agree on one partitioning, and the rows are shuffled once.
+        keyed = keyed.withColumns({f"_g{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(groups)})
+    gk = [f"_g{i}" for i in range(len(groups))] or ["_g"]
     if digits:
         keyed = keyed.withColumn("_cell", F.conv(F.substring(key_col, 1, digits), 16, 10).cast("long"))
-        cells = _before_cells(keyed.groupBy(*gk, "_cell").agg(F.count(F.lit(1)).alias("_n")), gk, digits)
+        cells = _before_cells(keyed.groupBy(*gk, *groups, "_cell").agg(F.count(F.lit(1)).alias("_n")), gk, digits)
         if quota is not None:
             cells = cells.where(F.col("_before") < quota)
-        cells = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(gk)], F.col("_cell").alias("_c"), "_before")
+        cells = cells.select(*gk, "_cell", "_before")
         if total is not None and total <= BROADCAST_ROWS:
             cells = F.broadcast(cells)  # no more cells than rows asked for
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(gk)] + [F.col("_cell") == F.col("_c")]
-        keyed = keyed.join(cells, on).drop("_c", *[f"_k{i}" for i in range(len(gk))])
+        keyed = keyed.join(cells, [*gk, "_cell"])
     else:
         keyed = keyed.withColumn("_cell", F.lit(0)).withColumn("_before", F.lit(0).cast("long"))
     inner = Window.partitionBy(*gk, *(["_cell"] if digits else [])).orderBy(key_col, id_col)
@@ -104,7 +104,7 @@ def ranked(df: DataFrame, key: Column, id_col: str, group_cols=(), pos_col: str
         # No cell gives more rows than the largest quota: with a literal bound Catalyst cuts each task's rows before the shuffle.
         out = out.where((F.col("_rn") <= most) & (F.col("_before") + F.col("_rn") <= quota))
     out = out.withColumn(pos_col, (F.col("_before") + F.col("_rn") - 1).cast("long"))
-    return out.drop("_rn", "_cell", "_before", *([] if groups else ["_g"]))
+    return out.drop("_rn", "_cell", "_before", *gk)
 
 
 def seeded_shuffle(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "pair_id",

@@ -157,6 +157,9 @@ def test_shuffles_read_the_input_twice_and_use_no_single_task(spark):
                 sampling.limit_sample(df, 500), sampling.limit_sample(df, 5000)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 2 and "SinglePartition" not in plan
+    # Cells: counted, summed, joined; rows: one exchange that join and window share.
+    for out in (sampling.seeded_shuffle(df), sampling.seeded_shuffle(df, group_cols=["support"])):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
     # A selection cuts its rows by the kept cells before they are shuffled.
     assert "BroadcastHashJoin" in sampling.limit_sample(df, 500)._jdf.queryExecution().executedPlan().toString()
 
