@@ -18,7 +18,7 @@ import time
 from collections.abc import Callable
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +29,8 @@ from relscope.schema import STRATEGIES, check_strategies
 from relscope.session import persisted
 
 ClientFactory = Callable[[], object]
+#: Prompts of an Arrow batch that a task has as Python strings at a time; the other columns stay in Arrow.
+SLICE = 64
 
 
 def _call(client, prompt: str, max_retries: int, retry_wait: float) -> tuple[str | None, int, str | None]:
@@ -72,19 +74,22 @@ def batched_inference(prompts: DataFrame, client_factory: ClientFactory, max_ret
         T.StructField("reply", T.StringType()), T.StructField("attempts", T.IntegerType()),
         T.StructField("error", T.StringType())])
 
+    names = out_schema.names
+
     def run(batches):
         client = client_factory()  # once per task
-        for pdf in batches:
-            res = []
-            for p in pdf["prompt"]:
-                res.append(_call(client, p, max_retries, retry_wait))
-                if delay_seconds:
-                    time.sleep(delay_seconds)
-            yield pdf.assign(reply=[r[0] for r in res],
-                             attempts=pd.array([r[1] for r in res], dtype="Int32"),
-                             error=[r[2] for r in res])
-
-    return prompts.mapInPandas(run, out_schema)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                res = []
+                for p in part.column("prompt").to_pylist():
+                    res.append(_call(client, p, max_retries, retry_wait))
+                    if delay_seconds:
+                        time.sleep(delay_seconds)
+                done = [pa.array([r[k] for r in res], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *done], names=names)
+
+    return prompts.mapInArrow(run, out_schema)
 
 
 def persist_replies(replies_df: DataFrame, name: str = "replies") -> DataFrame:

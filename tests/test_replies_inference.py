@@ -103,3 +103,40 @@ def test_model_calls_spread_over_tasks(spark):
     tasks = out.select("id", F.spark_partition_id().alias("task"))
     assert tasks.select("task").distinct().count() > 1
     assert out.count() == 40
+
+
+def test_every_prompt_of_every_slice_is_called(spark):
+    from pyspark.sql import functions as F
+    from relscope.operators import inference
+    n = 5 * inference.SLICE + 7
+    prompts = spark.range(n).coalesce(1).select("id", F.when(F.col("id") != 3, F.col("id").cast("string")).alias("prompt"),
+                                                F.array(F.struct(F.col("id").alias("x"))).alias("members"))
+    out = inference.batched_inference(prompts, lambda: (lambda prompt: f"[{prompt}]"), retry_wait=0, parallelism=1)
+    rows = out.collect()
+    assert {r.id: r.reply for r in rows} == {i: f"[{i if i != 3 else None}]" for i in range(n)}
+    assert all(r.members[0].x == r.id and r.attempts == 1 for r in rows)
+
+
+def test_inference_gives_slices_of_an_arrow_batch():
+    import pyarrow as pa
+    from relscope.operators import inference
+
+    class Prompts:  # what batched_inference asks of a DataFrame
+        from pyspark.sql import types as T
+        schema = T.StructType([T.StructField("prompt", T.StringType())])
+        sparkSession = None
+
+        def repartition(self, n):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    import relscope.session as session
+    shipped, session.ship_package = session.ship_package, lambda spark: None
+    try:
+        run = inference.batched_inference(Prompts(), lambda: (lambda prompt: "[]"), parallelism=1)
+    finally:
+        session.ship_package = shipped
+    sizes = [b.num_rows for b in run([pa.record_batch({"prompt": [str(i) for i in range(1000)]})])]
+    assert sum(sizes) == 1000 and max(sizes) <= inference.SLICE
