@@ -656,15 +656,27 @@ def q_read_human_labels(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- streaming
+def _for_stream(df, least):
+    """``df`` dealt over at least so many files, and over four for each task of its scan: files and tasks don't grow with the table."""
+    return df.repartition(max(least, 4 * df.rdd.getNumPartitions()))
+
+
+def _share(spark, folder, epochs):
+    """Files an epoch takes so that a folder's files make so many."""
+    from relscope.sources import files
+    n = sum(name.endswith(".parquet") for name in files.names(spark, folder))
+    return max(1, -(-n // epochs))
+
+
 def _stream_replies(spark, sf_dir):
     """(folder of parsed batches, folder of decoded rows) after a stop, files that come twice, and a restart."""
     from relscope.streaming.jobs import stream_predictions
     src, out, decoded, ckpt = (_scratch(spark, f"stream-{n}") for n in ("replies", "batches", "decoded", "ckpt"))
     rows = persist_replies(rfx.build(spark, sf_dir), "stream-input")
     first, second = rows.filter("batch_id % 3 = 0"), rows.filter("batch_id % 3 <> 0")
-    for part in (first.repartition(2), second.repartition(2).union(first)):
+    for part in (_for_stream(first, 2), _for_stream(second, 2).union(first)):
         part.write.mode("append").parquet(src)
-        stream_predictions(spark, src, rows.schema, out, ckpt, max_files=2, decoded_dir=decoded)
+        stream_predictions(spark, src, rows.schema, out, ckpt, max_files=_share(spark, src, 2), decoded_dir=decoded)
     return out, decoded
 
 
@@ -686,10 +698,10 @@ def q_stream_decoded(spark, sf_dir):
 def q_stream_run_summary(spark, sf_dir):
     from relscope.streaming.jobs import stream_run_summary
     src = _scratch(spark, "prediction-files")
-    fx.predictions(spark, sf_dir).repartition(4).write.parquet(src)
+    _for_stream(fx.predictions(spark, sf_dir), 4).write.parquet(src)
     schema = spark.read.parquet(src).schema
     return stream_run_summary(spark, src, schema, _scratch(spark, "stream-cells"),
-                              _scratch(spark, "stream-cells-ckpt"))
+                              _scratch(spark, "stream-cells-ckpt"), max_files=_share(spark, src, 4))
 
 
 @register("stream_progress", os_.progress)
@@ -701,8 +713,8 @@ def q_stream_progress(spark, sf_dir):
     batches = rows.groupBy("run_id", "strategy").agg(F.count("*").alias("n"))
     batches.select("run_id", "strategy", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), "n").selectExpr(
         "run_id", "strategy", "IF(half = 0, n div 2, n - n div 2) AS n_items").write.parquet(plan)
-    rows.filter("run_id % 3 <> 0").repartition(2).write.parquet(src)
-    stream_run_summary(spark, src, rows.schema, cells, ckpt, max_files=2, expected_dir=plan)
+    _for_stream(rows.filter("run_id % 3 <> 0"), 2).write.parquet(src)
+    stream_run_summary(spark, src, rows.schema, cells, ckpt, max_files=max(2, _share(spark, src, 1)), expected_dir=plan)
     return progress_at(spark, cells, rows.schema)
 
 

@@ -107,3 +107,13 @@ def test_an_empty_folder_gives_an_empty_summary(spark):
         assert got.collect() == [] and got.columns == scoring.run_summary(pred, keys=["run_id"]).columns
     assert S.stream_predictions(spark, out + "/no-replies", rfx.build(spark, SF_SMALL).schema, out + "/p", out + "/ckpt2") == out + "/p"
     assert not os.path.exists(out + "/p")
+
+
+def test_stream_inputs_have_more_files_the_more_tasks_their_scan_has(spark):
+    from relscope.plans import catalog
+    rows = spark.range(0, 9600, 1, 12)
+    assert catalog._for_stream(rows, 4).rdd.getNumPartitions() == 48
+    assert catalog._for_stream(rows.coalesce(1), 4).rdd.getNumPartitions() == 4
+    src = folder()
+    catalog._for_stream(rows, 4).write.parquet(src)
+    assert catalog._share(spark, src, 4) == 12 and catalog._share(spark, src, 100) == 1 and catalog._share(spark, src + "/none", 4) == 1
