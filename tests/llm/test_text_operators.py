@@ -391,3 +391,29 @@ def test_attention_gradient():
     first = np.arange(0, 1000, 5)
     m.fit(np.concatenate(bags), first, np.array(y), np.ones(200))
     assert ((m.score(np.concatenate(bags), first) > 0.5) == np.array(y)).mean() > 0.95
+
+
+def test_lines_that_share_pieces_meet_whatever_the_size_of_the_group(spark, monkeypatch):
+    """All pairs that share two pieces: of rare ones, of frequent ones, and of one each; blocks smaller than the group."""
+    from itertools import combinations
+    from relscope.llm import line_dedup as L
+    monkeypatch.setattr(L, "BLOCK", 16)
+    n = 3 * L.ALL
+    pieces = {i: [1, 2, 100 + i] for i in range(n)}                                # two frequent pieces
+    pieces |= {n + i: [3, 1000 + i] + [50] * (i < 2) for i in range(n)}            # one frequent piece, two units with a rare one beside it
+    pieces |= {2 * n + i: [60, 61] for i in range(L.ALL // 2)}                     # rare pieces alone
+    first = spark.createDataFrame([((u + 1) << 16, u, 100, k) for u, k in pieces.items()], "a long, b long, len int, ks array<long>")
+    shared = L.shared_pieces(first)
+
+    def found(pairs):
+        return {tuple(sorted((r.x.b, r.y.b))) for r in pairs.collect()}
+
+    want = {p for p in combinations(pieces, 2) if len(set(pieces[p[0]]) & set(pieces[p[1]])) > 1}
+    none = spark.createDataFrame([], "a long, b long, root struct<a: long, b: long>")
+    met = found(L.meeting_pairs(shared, first))
+    assert met < want and met | found(L.remaining_pairs(shared, first, none)) == want
+    one = first.selectExpr("a", "b", "named_struct('a', 0L, 'b', 0L) AS root")
+    assert found(L.remaining_pairs(shared, first, one)) == set()
+    met_short = found(L.remaining_pairs(short := L.shared_pieces(first.selectExpr("a", "b", "10 AS len", "ks")), first.selectExpr("a", "b", "10 AS len", "ks"), none))
+    met_short |= found(L.meeting_pairs(short, first.selectExpr("a", "b", "10 AS len", "ks")))
+    assert met_short == {p for p in combinations(pieces, 2) if set(pieces[p[0]]) & set(pieces[p[1]])}
