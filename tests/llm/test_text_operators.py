@@ -417,3 +417,10 @@ def test_lines_that_share_pieces_meet_whatever_the_size_of_the_group(spark, monk
     met_short = found(L.remaining_pairs(short := L.shared_pieces(first.selectExpr("a", "b", "10 AS len", "ks")), first.selectExpr("a", "b", "10 AS len", "ks"), none))
     met_short |= found(L.meeting_pairs(short, first.selectExpr("a", "b", "10 AS len", "ks")))
     assert met_short == {p for p in combinations(pieces, 2) if set(pieces[p[0]]) & set(pieces[p[1]])}
+
+
+def test_long_lines_meet_at_one_rare_piece(spark):
+    from relscope.llm import line_dedup as L
+    first = spark.createDataFrame([((u + 1) << 16, u, 300, [7, 100 + u]) for u in range(3)], "a long, b long, len int, ks array<long>")
+    met = {tuple(sorted((r.x.b, r.y.b))) for r in L.meeting_pairs(L.shared_pieces(first), first).collect()}
+    assert met == {(0, 1), (0, 2), (1, 2)}
