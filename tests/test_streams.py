@@ -115,5 +115,5 @@ def test_stream_inputs_have_more_files_the_more_tasks_their_scan_has(spark):
     assert catalog._for_stream(rows, 4).rdd.getNumPartitions() == 48
     assert catalog._for_stream(rows.coalesce(1), 4).rdd.getNumPartitions() == 4
     src = folder()
-    catalog._for_stream(rows, 4).write.parquet(src)
+    catalog._for_stream(rows, 4).write.mode("append").parquet(src)
     assert catalog._share(spark, src, 4) == 12 and catalog._share(spark, src, 100) == 1 and catalog._share(spark, src + "/none", 4) == 1
