@@ -24,7 +24,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from relscope.llm.common import written
+from relscope.llm.common import slices, written
 from relscope.session import scratch_dir
 
 #: Bound of the lexicon: words beyond it are merged, with the same ids.
@@ -44,8 +44,8 @@ LEXICON_WORDS = 50_000
 RECENT_WORDS = 200_000
 #: Bytes up to which words are merged together; longer ones go one by one.
 SHORT = 48
-#: Pieces never reach over a lone space between two other characters: texts are cut there first, and equal chunks are coded once.
-CHUNKS = re.compile(r" (?<=\S )(?=\S)")
+#: Texts that become Python strings at once: rows, and bytes beyond the first row.
+SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
 
 # Fixed value: the pre-tokenizer's pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -111,6 +111,7 @@ class Vocabulary:
         self.pair_key, self.pair_rank = keys[order], ranks[order]
         self.made = np.zeros(ranks.max(initial=-1) + 1, np.int64)
         self.made[ranks] = [self.id_of[x + y] for x, y in self.rank]
+        self.byte_rank = self._ranks(np.repeat(self.id_of_byte, 256), np.tile(self.id_of_byte, 256))  # at (left byte << 8 | right byte)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the lowest-ranked neighbours merge first, the leftmost of equals."""
@@ -155,9 +156,10 @@ class Vocabulary:
                 parts.append((np.full(len(ids), i), ids))
         size = np.array([len(words[i]) for i in short], np.int64)
         word = np.repeat(np.array(short, np.int64), size)
-        ids = self.id_of_byte[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
+        letters = np.frombuffer(b"".join(words[i] for i in short), np.uint8).astype(np.int64)
+        ids = self.id_of_byte[letters]
         rank = np.full(len(ids), far)
-        rank[:-1] = np.where(word[1:] == word[:-1], self._ranks(ids[:-1], ids[1:]), far)
+        rank[:-1] = np.where(word[1:] == word[:-1], self.byte_rank[letters[:-1] << 8 | letters[1:]], far)
         while len(size):
             low = np.minimum.reduceat(rank, np.cumsum(size) - size)
             going = np.repeat(low < far, size)
@@ -312,16 +314,14 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def _chunks(v: Vocabulary, text: str | None) -> list[str | tuple[str] | int]:
-    """A text cut at lone spaces: (chunk,) begins a stretch, a bare one follows a space, a number is a special token."""
+def _pieces(v: Vocabulary, text: str | None) -> list[str | int]:
+    """The words of a text; a number is a special token."""
     out: list = []
     for stretch, special in v.segments(text or ""):
         if special is not None:
             out.append(special)
         else:
-            chunks = CHUNKS.split(stretch)
-            chunks[0] = (chunks[0],)
-            out += chunks
+            out += v.pieces(stretch)
     return out
 
 
@@ -331,24 +331,28 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _pieces(v: Vocabulary, chunk: str | tuple[str]) -> list[str]:
-    if isinstance(chunk, str) and chunk.isascii() and chunk.isalpha():
-        return [" " + chunk]
-    return v.pieces(chunk[0] if isinstance(chunk, tuple) else " " + chunk)
-
-
 class Coder:
-    """Encodes and decodes texts with a vocabulary and a lexicon; remembers the ids of recent chunks."""
+    """Encodes and decodes texts with a vocabulary and a lexicon; remembers the ids of recent words."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.v, self.lexicon = vocabulary, lexicon
-        self._forget()
+        special = sorted(vocabulary.special.values())
+        self._remember(special, np.array(special, np.int64), np.arange(len(special) + 1), np.zeros(len(special), np.int64))
+
+    def _remember(self, words: list[str | int], ids: np.ndarray, first: np.ndarray, uses: np.ndarray) -> None:
+        """Word number n has the ids ``ids[first[n]:first[n + 1]]``; the special tokens come first.  A new word gets the next number."""
+        self.number: dict[str | int, int] = defaultdict(count(len(words)).__next__, zip(words, range(len(words))))
+        self.ids, self.first, self.uses = ids, first, uses
 
     def _forget(self) -> None:
-        """Chunk number n has the ids ``ids[first[n]:first[n + 1]]``; the special tokens come first."""
-        special = sorted(self.v.special.values())
-        self.number = {i: n for n, i in enumerate(special)}
-        self.ids, self.first = np.array(special, np.int64), np.arange(len(special) + 1)
+        """Forgets the least used words: half of the bound stays."""
+        size, special = np.diff(self.first), len(self.v.special)
+        order = special + np.argsort(-self.uses[special:], kind="stable")
+        keep = np.sort(np.concatenate([np.arange(special), order[:RECENT_WORDS // 2]]))
+        keep = keep[np.cumsum(size[keep]) <= 5 * RECENT_WORDS]
+        words = list(self.number)
+        self._remember([words[i] for i in keep.tolist()], _gather(self.ids, self.first[keep], size[keep]),
+                       np.concatenate([[0], np.cumsum(size[keep])]), self.uses[keep] // 2)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words and where each begins: from the lexicon, else merged."""
@@ -363,29 +367,21 @@ class Coder:
         start[unseen], size[unseen] = len(lex.ids) + begin[:-1], np.diff(begin)
         return _gather(np.concatenate([lex.ids, merged]), start, size), np.concatenate([[0], np.cumsum(size)])
 
-    def learn(self, chunks: list[str | tuple[str]]) -> None:
-        """Numbers new chunks and remembers their ids."""
-        lists = [_pieces(self.v, c) for c in chunks]
-        number: dict[str, int] = defaultdict(count().__next__)
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64)
-        ids, first = self.words(list(number))
-        size = np.diff(first)[at]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x) for x in lists])]
-        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
-        self.first = np.concatenate([self.first, len(self.ids) + ends])
-        self.ids = np.concatenate([self.ids, _gather(ids, first[at], size)])
-
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts, one after the other, and where each begins; what is new in all of them is learned at once."""
         if len(self.number) > RECENT_WORDS or len(self.ids) > 10 * RECENT_WORDS:
             self._forget()
-        chunks = [_chunks(self.v, t) for t in texts]
-        new = set().union(*chunks).difference(self.number)
-        if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(chunks)), np.int64)
+        lists, known = [_pieces(self.v, t) for t in texts], len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64)
+        if len(self.number) > known:
+            ids, first = self.words(list(islice(self.number, known, None)))
+            self.first = np.concatenate([self.first, len(self.ids) + first[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        uses = np.bincount(at, minlength=len(self.number))
+        uses[:known] += self.uses
+        self.uses = uses
         size = np.diff(self.first)[at]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, chunks)])]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, lists)])]
         return _gather(self.ids, self.first[at], size), ends
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -404,24 +400,22 @@ class Coder:
 
 
 def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, n) over all texts; each task counts before the shuffle, in bounded memory, and cuts each distinct chunk once."""
+    """(word, n) over all texts; each task counts before the shuffle, in bounded memory."""
     def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = _vocabulary(SparkFiles.get(vocabulary)), Counter()
 
         def flush():
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                if not isinstance(chunk, int):
-                    for w in _pieces(v, chunk):
-                        words[w] += n
-            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(words.values(), pa.int64())})
+            for i in v.special.values():
+                seen.pop(i, None)
+            return pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(_chunks(v, text))
-                if len(seen) > RECENT_WORDS:
-                    yield flush()
-                    seen.clear()
+            for part in slices(batch, 0, SLICE_ROWS, SLICE_BYTES):
+                for text in part.column(0).to_pylist():
+                    seen.update(_pieces(v, text))
+                    if len(seen) > RECENT_WORDS:
+                        yield flush()
+                        seen.clear()
         if seen:
             yield flush()
     counts = docs.select("text").mapInArrow(count_task, "word string, n long")
@@ -473,8 +467,7 @@ def transcode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_WORDS,
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(_vocabulary(SparkFiles.get(vocabulary)), Lexicon.map(SparkFiles.get(lexicon)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # long texts make large lists: few at a time
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, SLICE_ROWS, SLICE_BYTES):  # texts make large lists: few at a time
                 ids, first = coder.encode_all(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(

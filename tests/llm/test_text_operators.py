@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 from relscope.llm import bpe, lang_id, line_dedup, mixing, quality_mil, quality_rules, queries, secrets, simhash
+from relscope.llm.common import slices
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -331,6 +333,27 @@ def test_merging_long_words_equals_the_library():
         assert coder.encode([t])[0] == TOKENIZER.encode(t, add_special_tokens=False).ids
 
 
+def test_common_words_are_learned_once_whatever_is_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "RECENT_WORDS", 60)
+    coder, learned = bpe.Coder(bpe.Vocabulary(queries.vocabulary_path()), bpe.Lexicon.compile([], [])), Counter()
+    words_of = coder.words
+    coder.words = lambda w: (learned.update(w), words_of(w))[1]
+    for i in range(60):
+        texts = [f"the fox, the river. new{i}x  old{i}y é{i} <|endoftext|>'s fox", None, f"fox! {i} the"]
+        ids, first = coder.encode_all(texts)
+        want = [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, first[1:-1])] == want
+        assert coder.decode_all(ids, first) == [TOKENIZER.decode(x, skip_special_tokens=False) for x in want]
+        assert len(coder.number) < 100
+    assert learned[" fox"] == 1 == learned[" river"] and learned[" new"] == 1 and sum(learned.values()) > 100
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    batch = pa.RecordBatch.from_pydict({"n": pa.array(range(9)), "t": ["é" * 30, None, "", "x" * 500, "a", None, "b", "c", "d"]})
+    assert [p.column(0).to_pylist() for p in slices(batch, 1, 3, 100)] == [[0, 1, 2], [3], [4, 5, 6], [7, 8]]
+    assert list(slices(batch.slice(0, 0), 1, 3, 100)) == []
+
+
 # ------------------------------------------------------------------ 9
 def brute_metrics(t):
     t, w = t or "", words(t)
