@@ -24,7 +24,8 @@ from collections.abc import Iterator
 from itertools import chain, count, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,15 +161,16 @@ class Model:
                 p[k] = p[k] - RATE * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
 
 
-def _parts(texts: list) -> Iterator[slice]:
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Where each stretch of a column of texts begins, and its texts: only these become Python strings, the others stay in Arrow."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        size += n
         if size >= BATCH_CHARS:
-            yield slice(start, i + 1)
+            yield start, texts[start:i + 1].to_pylist()
             start, size = i + 1, 0
     if start < len(texts):
-        yield slice(start, len(texts))
+        yield start, texts[start:].to_pylist()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
@@ -184,15 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
 
     def encode(batches):
         encoder = Encoder()
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            for part in _parts(texts):
-                x, first = encoder(texts[part])
-                bags = np.split(x.astype(np.float32), first[1:])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part], "quality": pdf["quality"].iloc[part],
-                                    "x": [b.tobytes() for b in bags]})
-
-    data = rows.mapInPandas(encode, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "x"])
+        for batch in batches:
+            for start, texts in _parts(batch.column("text")):
+                x, first = encoder(texts)
+                bags = pa.array([b.tobytes() for b in np.split(x.astype(np.float32), first[1:])], pa.binary())
+                ids, quality = (batch.column(c).slice(start, len(texts)) for c in ("doc_id", "quality"))
+                yield pa.RecordBatch.from_arrays([ids, quality, bags], ["doc_id", "quality", "x"])
+
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    data = rows.mapInArrow(encode, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "x"])
     if data["quality"].nunique() < 2:
         return float(n[1] / (n[0] + n[1]))
     bags = [np.frombuffer(b, np.float32).reshape(-1, Encoder.WIDTH) for b in data["x"]]
@@ -204,35 +206,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     return model
 
 
+def _scores(encoder: Encoder, model: Model | float, texts: pa.Array) -> np.ndarray:
+    """Scores of a column of texts, stretch by stretch."""
+    if isinstance(model, float):
+        return np.full(len(texts), model)
+    return np.concatenate([model.score(*encoder(part)) for _, part in _parts(texts)] or [np.zeros(0)])
+
+
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (with doc_id, text) -> doc_id, held_out, score, predicted of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):
         encoder, m = Encoder(), shared.value
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            s = np.full(len(texts), m) if isinstance(m, float) else np.concatenate(
-                [m.score(*encoder(texts[part])) for part in _parts(texts)] or [np.zeros(0)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s,
-                                "predicted": (s >= threshold).astype(np.int32)})
+        for batch in batches:
+            s = _scores(encoder, m, batch.column("text"))
+            columns = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": s, "predicted": (s >= threshold).astype(np.int32)}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    # Ids travel as texts: beside a null, pandas would turn longs into doubles.
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInPandas(
-        run, "doc_id string, held_out boolean, score double, predicted int")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInArrow(
+        run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored below the threshold, columns as they are (no join: rows are scored in place)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, m = Encoder(), shared.value
-        for series in batches:
-            texts = [t if isinstance(t, str) else None for t in series]
-            yield pd.Series(np.full(len(texts), m) if isinstance(m, float) else np.concatenate(
-                [m.score(*encoder(texts[part])) for part in _parts(texts)] or [np.zeros(0)]))
+        for texts in batches:
+            yield pa.array(_scores(encoder, m, texts), pa.float64())
 
     return docs.where(quality(F.col("text")) >= threshold)

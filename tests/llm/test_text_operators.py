@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from relscope.llm import bpe, lang_id, line_dedup, mixing, quality_mil, quality_rules, queries, secrets, simhash
 from relscope.llm.common import slices
+from relscope.session import BATCH_BYTES, ship_package
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -400,6 +401,19 @@ def test_quality_edge_cases(spark, docs):
     assert first.tolist() == [0, 1, 2, 3] and len(x) == 3 + -(-5000 // quality_mil.PASSAGE)
 
 
+def test_few_texts_at_once_become_python_strings(spark):
+    from pyspark.sql import functions as F
+    texts = pa.array(["x" * 600_000, None, "é" * 600_000, "", "z" * 2_000_000, "end"])
+    assert [(at, [len(t or "") for t in part]) for at, part in quality_mil._parts(texts)] == [
+        (0, [600_000, 0, 600_000]), (3, [0, 2_000_000]), (5, [3])]
+    spark.conf.unset(BATCH_BYTES[0])
+    ship_package(spark)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 2000)").alias("text"))
+    sizes = docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) < 1000  # 30 MB in one batch before
+    assert quality_mil.keep_good(docs, 0.5).count() == 3000
+
+
 def test_attention_gradient():
     """Training finds the one passage that decides."""
     rng = np.random.default_rng(1)
