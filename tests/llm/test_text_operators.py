@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from relscope.llm import bpe, lang_id, line_dedup, mixing, quality_mil, quality_rules, queries, secrets, simhash
-from relscope.llm.common import slices
+from relscope.llm.common import CLEANUP, slices
 from relscope.session import BATCH_BYTES, ship_package
 
 SF = "/root/testdata/sf0.001"
@@ -227,6 +227,57 @@ def test_changed_words_and_letters_are_found(spark):
     assert [x["__lines_gone"] == 1 for x in sorted(line_dedup.dedup_lines(d).collect(), key=lambda x: x.doc_id)] == goes
 
 
+def test_line_dedup_leaves_no_shuffle_files_but_of_its_counts(spark):
+    import time
+    from pyspark.sql import functions as F
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+    before, had = shuffled(), spark.conf.get(CLEANUP, "false")
+    d = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit(PROSE + " "), F.col("id")).alias("text"))
+    out = line_dedup.dedup_lines(d)
+    for _ in range(50):  # files are removed a little later
+        if len(new := shuffled() - before) < 8:
+            break
+        time.sleep(0.2)
+    assert len(new) < 8 and spark.conf.get(CLEANUP, "false") == had
+    assert out.where("__lines_gone > 0").count() == 39
+
+
+def test_pairs_of_any_lengths_are_verified_like_brute_force(spark, monkeypatch):
+    """By words, by letters after the words left it open, short ones at once, and a short one with a long one; in several slices."""
+    monkeypatch.setattr(line_dedup, "SLICE", 60)
+    monkeypatch.setattr(line_dedup, "SLICES", 3)
+    from itertools import combinations
+    rng = np.random.default_rng(11)
+
+    def text(n):
+        return " ".join("".join(rng.choice(list("abcdefghik"), rng.integers(3, 9))) for _ in range(200))[:n].strip() + "z"
+
+    def typos(t, every):
+        return "".join("x" if i % every == 3 and c != " " else c for i, c in enumerate(t))
+
+    lines = []
+    for n in (40, 240, 262, 400):
+        t = text(n)
+        lines += [t, typos(t, 40), typos(t, 20), (t + t[: n // 10]).strip(), text(n)]
+    lines = list(dict.fromkeys(lines))
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    u = line_dedup.units(d).selectExpr("doc_id", "text_hash", "place", *line_dedup._KEY)
+    u = u.selectExpr("a", "b", "struct(doc_id, text_hash, place) AS first").cache()
+    of = {(r.a, r.b): r.first.doc_id for r in u.collect()}
+    assert len(of) == len(lines)
+    x, y = (u.selectExpr("struct(a, b) AS " + e, "first.doc_id AS i" + e) for e in "xy")
+    got = line_dedup.verified(x.join(y, x["ix"] < y["iy"]).select("x", "y"), u, d, 0.8).collect()
+    got = {tuple(sorted((of[tuple(r.u)], of[tuple(r.v)]))) for r in got}
+    near = {(i, j) for i, j in combinations(range(len(lines)), 2) if abs(len(lines[i]) - len(lines[j])) <= 0.2 * max(len(lines[i]), len(lines[j]))}
+    assert got == {(i, j) for i, j in near if edits(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)}
+    assert any(len(lines[i]) <= line_dedup.MIDDLE < len(lines[j]) for i, j in got)
+
+
 def test_repeats_without_three_words_go(spark):
     rng = np.random.default_rng(5)
     han = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 60))
