@@ -512,3 +512,32 @@ def test_long_lines_meet_at_one_rare_piece(spark):
     first = spark.createDataFrame([((u + 1) << 16, u, 300, [7, 100 + u]) for u in range(3)], "a long, b long, len int, ks array<long>")
     met = {tuple(sorted((r.x.b, r.y.b))) for r in L.meeting_pairs(L.shared_pieces(first), first).collect()}
     assert met == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_character_counts_rule_out_pairs_of_frequent_pieces_before_they_are_written(spark, monkeypatch):
+    """Units that share frequent pieces: links and pairs of two long texts are written, none that the counts rule out, and no link is lost."""
+    import random
+    from itertools import combinations
+    from relscope.llm import line_dedup as L
+    monkeypatch.setattr(L, "BLOCK", 16)
+    rng = random.Random(5)
+
+    def text(n, letters):
+        return "x" + "".join(rng.choice(letters) for _ in range(n - 2)) + "x"
+
+    lines = [text(n, a) for n in (20, 90) for a in ("abcdefgh ", "ijklmnop ", "qrstuvwx ", "\u00e9\u4e2d\U0001f600yz ") for _ in range(6)]
+    lines += [x[:7] + "#" + x[8:] for x in lines[::4]] + [x[:9] + x[10:] for x in lines[1::4]]
+    long = " ".join(text(8, "abcdefgh") for _ in range(60))
+    lines = [" ".join(x.split()) for x in lines] + [long, long[:300] + long[301:], long.translate(str.maketrans("abcdefgh", "ijklmnop"))]
+    assert len(set(lines)) == len(lines)
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    first = L.units(d, 1, 1).selectExpr(*L._KEY, "length(t) AS len", "struct(doc_id, text_hash, place) AS first").cache()
+    of = {(r.a, r.b): r["first"].doc_id for r in first.collect()}
+    assert len(of) == len(lines)
+    shared = first.selectExpr(f"{L._UNIT_KEY} AS x", "array(CAST(NULL AS BIGINT)) AS rare", "array(1L, 2L) AS often").selectExpr("x", "slice(rare, 1, 0) AS rare", "often")
+    none = spark.createDataFrame([], "a long, b long, root struct<a: long, b: long>")
+    got = {tuple(sorted((of[tuple(r.u)], of[tuple(r.v)]))): r.verdict for r in L.remaining_links(shared, first, none, d, 0.8).collect()}
+
+    n = len(lines)
+    near = {(i, j) for i, j in combinations(range(n), 2) if edits(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)}
+    assert got == {p: 0 if p == (n - 3, n - 2) else 1 for p in near} and len(near) > 20
