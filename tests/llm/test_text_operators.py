@@ -541,3 +541,13 @@ def test_character_counts_rule_out_pairs_of_frequent_pieces_before_they_are_writ
     n = len(lines)
     near = {(i, j) for i, j in combinations(range(n), 2) if edits(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)}
     assert got == {p: 0 if p == (n - 3, n - 2) else 1 for p in near} and len(near) > 20
+
+
+def test_units_that_share_one_piece_are_not_left_out(spark):
+    """Whatever the length: a unit with one shared piece has a row, rare or frequent, and none without."""
+    from relscope.llm import line_dedup as L
+    n = 2 * L.ALL
+    pieces = {i: [1, 100 + i] for i in range(n)} | {n + i: [2, 1000 + i] for i in range(3)} | {n + 3: [9]}
+    first = spark.createDataFrame([((u + 1) << 16, u, 100, k) for u, k in pieces.items()], "a long, b long, len int, ks array<long>")
+    got = {(r.x >> 16) - 1: (r.rare, r.often) for r in L.shared_pieces(first).collect()}
+    assert got == {u: ([], [1]) for u in range(n)} | {n + i: ([2], []) for i in range(3)}
