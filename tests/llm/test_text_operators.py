@@ -551,3 +551,27 @@ def test_units_that_share_one_piece_are_not_left_out(spark):
     first = spark.createDataFrame([((u + 1) << 16, u, 100, k) for u, k in pieces.items()], "a long, b long, len int, ks array<long>")
     got = {(r.x >> 16) - 1: (r.rare, r.often) for r in L.shared_pieces(first).collect()}
     assert got == {u: ([], [1]) for u in range(n)} | {n + i: ([2], []) for i in range(3)}
+
+
+def test_lines_of_any_length_meet_at_one_rare_piece(spark):
+    """Lines of 4 to 900 characters whose sketches share one rare piece; and similar lines, changed in every eighth letter, go."""
+    import random
+    from itertools import combinations
+    from relscope.llm import line_dedup as L
+    units = {10 * i + j: [7 + i, 1000 + 10 * i + j] for i in range(6) for j in range(4)}
+    length = (4, 14, 60, 150, 230, 900)
+    first = spark.createDataFrame([((u + 1) << 16, u, length[u // 10], k) for u, k in units.items()], "a long, b long, len int, ks array<long>")
+    met = {tuple(sorted((r.x.b, r.y.b))) for r in L.meeting_pairs(L.shared_pieces(first), first).collect()}
+    assert met == {p for p in combinations(units, 2) if p[0] // 10 == p[1] // 10}
+    rng = random.Random(3)
+    lines = []
+    for k in range(40):
+        x = " ".join("".join(rng.choice("abcdefghiklmnoprstuvwz") for _ in range(rng.randint(3, 8))) for _ in range(18))
+        lines += [x, "".join("x" if i % 8 == 5 else c for i, c in enumerate(x))]
+    of = spark.createDataFrame(list(enumerate(lines)), "i long, t string").selectExpr("i", f"array_distinct({L.sketch('t')}) AS ks").collect()
+    ks = {r.i: set(r.ks) for r in of}
+    one = [i for i in range(0, 80, 2) if len(ks[i] & ks[i + 1]) == 1 and edits(lines[i], lines[i + 1]) <= 0.2 * len(lines[i])]
+    assert one  # similar, and one piece in common
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {x.doc_id for x in L.dedup_lines(d).where("__lines_gone > 0").collect()}
+    assert {i + 1 for i in one} <= gone and not any(i % 2 == 0 for i in gone)
