@@ -7,8 +7,13 @@ intervals of ``BLOCK`` vectors.  Pairs of intervals are joined recursively: a
 pair whose bounding boxes are more than eps apart is skipped with all its
 parts, the others split into ``FAN`` parts each until single intervals meet,
 whose parts are skipped the same way inside the task.  What meets is compared
-by cosine in double precision.  Every join step is a DataFrame; interval pairs
-send on link counts and a spanning forest, never the links themselves.
+by cosine in double precision.  Every join step is a DataFrame; tiles of interval
+pairs send on link counts and a spanning forest, never the links themselves.
+
+A task compares a tile: the pairs of one run of intervals with another.  An
+interval is sent once to each tile that has a pair of it, and tiles go in
+rounds that send about as much as the intervals' own size, so the disk taken
+doesn't grow with the pairs.
 
 Exact copies count as one vector with a weight, whatever their number.
 
@@ -23,13 +28,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relscope.llm.common import components, offsets, written
+from relscope.llm.common import components, discard, offsets, written
 from relscope.llm.simhash import forest
 
 LEAST = 0.9
@@ -37,6 +43,8 @@ AXES = 6
 #: Vectors from which the principal axes are taken (those with the least hashes): a bound; any axes give the same links.
 SAMPLE = 5_000
 BLOCK, FAN, PART = 1_024, 8, 64
+#: Intervals are cut into so many runs at least, tiles hold about so many bytes of vectors at most, rounds send so many at least.
+RUNS, TILE_BYTES, ROUND_BYTES = 16, 16 << 20, 64 << 20
 NODE = "struct<a:bigint,b:bigint>"
 
 
@@ -124,8 +132,8 @@ def _intervals(classes: DataFrame, axes: np.ndarray, eps: float, count: int):
     order = ["dim", *[f"c{k}" for k in range(AXES)], "p0", "a", "b"]
     parts = max(1, math.ceil(count / (8 * BLOCK)))
     placed = _projected(classes, axes, eps).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "ego-sorted")
-    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("nth", F.expr("at & 8589934591L"))
+    sorted_ = written(placed.withColumn("at", F.monotonically_increasing_id()), "ego-sorted")
+    placed = sorted_.withColumn("part", F.shiftright("at", 33)).withColumn("nth", F.expr("at & 8589934591L"))
     sizes = placed.groupBy("part").agg(F.count("*").alias("rows")).withColumn("all", F.lit(0))
     sizes = offsets(sizes, "all", "part", "rows").select(F.col("part").alias("_part"), "before")
     placed = placed.join(F.broadcast(sizes), F.col("part") == F.col("_part"))  # one row per 8 intervals
@@ -134,6 +142,7 @@ def _intervals(classes: DataFrame, axes: np.ndarray, eps: float, count: int):
     dims = [F.min("dim").alias("dlo"), F.max("dim").alias("dhi")]
     lists = [F.collect_list(c).alias(c) for c in ("a", "b", "n", "dim")]  # BLOCK rows each
     blocks = written(seq.groupBy("block").agg(*low, *high, *dims, *lists, F.flatten(F.collect_list("v")).alias("v")), "ego-blocks")
+    discard(sorted_)
     bounds = [f"{s}{k}" for k in range(AXES) for s in ("lo", "hi")] + ["dlo", "dhi"]
     return blocks.select("block", *bounds), blocks.select("block", "a", "b", "n", "dim", "v")
 
@@ -158,51 +167,56 @@ def _pairs(boxes: DataFrame, eps: float, count: int) -> DataFrame:
     return pairs
 
 
-def _compare(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
-    """For each vector of a pair of intervals that links in it: its links there (with copies) and a forest edge."""
-    x, y = (blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns]) for s in "xy")
-    met = (pairs.join(x, F.col("i") == F.col("x_block")).join(y, F.col("j") == F.col("y_block")).drop("x_block", "y_block"))
-    names = ("a", "b", "n", "dim")
-
-    def numpy(column, row):
-        return column[row].values.to_numpy(zero_copy_only=False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                same = batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
-                cols = {c: numpy(batch.column(f"x_{c}"), r) for c in names}
-                values, n_x = [numpy(batch.column("x_v"), r)], len(cols["n"])
-                if not same:
-                    cols = {c: np.concatenate([cols[c], numpy(batch.column(f"y_{c}"), r)]) for c in names}
-                    values.append(numpy(batch.column("y_v"), r))
-                values, at = np.concatenate(values), np.concatenate([[0], np.cumsum(cols["dim"], dtype=np.int64)])
-                left, right = [], []
-                for dim in np.unique(cols["dim"]):
-                    rows = np.nonzero(cols["dim"] == dim)[0]
-                    u = unit(values[at[rows][:, None] + np.arange(dim)])
-                    cut = int((rows < n_x).sum())
-                    ax = axes_for(axes, int(dim))
-                    if same:
-                        i, j = join_intervals(u, None, ax, least)
-                    elif 0 < cut < len(rows):
-                        i, j = join_intervals(u[:cut], u[cut:], ax, least)
-                        j = j + cut
-                    else:
-                        continue
-                    left.append(rows[i])
-                    right.append(rows[j])
-                none = np.zeros(0, np.int64)
-                i, j = np.concatenate([none, *left]), np.concatenate([none, *right])
-                total, weight = len(cols["n"]), cols["n"]
-                more = (np.bincount(i, weight[j], total) + np.bincount(j, weight[i], total)).astype(np.int64)
-                root, hit = forest(total, i, j), np.nonzero(more)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(cols["a"][hit]), pa.array(cols["b"][hit]), pa.array(more[hit]),
-                                                  pa.array(cols["a"][root[hit]]), pa.array(cols["b"][root[hit]])],
-                                                 names=["a", "b", "more", "ra", "rb"])
-
-    # One interval pair a task batch at most: a row holds two intervals.
-    return met.repartition("i", "j").mapInArrow(run, "a long, b long, more long, ra long, rb long")
+def _tiles(pairs: DataFrame, side: int) -> DataFrame:
+    """The intervals (block) that each tile (p, q) of ``side`` times ``side`` intervals needs, with those (js) that each is compared with there."""
+    of = [F.expr(f"{c} div {side}").alias(t) for c, t in (("i", "p"), ("j", "q"))]
+    needs = F.explode(F.expr("array(struct(i AS block, j AS j), struct(j AS block, CAST(NULL AS BIGINT) AS j))")).alias("m")
+    return pairs.select(*of, needs).groupBy("p", "q", F.col("m.block").alias("block")).agg(F.collect_list("m.j").alias("js"))
+
+
+def _compare(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, least: float) -> list[DataFrame]:
+    """For each vector of a tile that links in it: its links there (with copies) and a forest edge; one written table a round."""
+    item = 4 if dict(blocks.dtypes)["v"] == "array<float>" else 8
+    size = blocks.agg(F.count("*"), F.sum(F.size("v") * item + F.size("a") * 28)).first()
+    count, whole = size[0], size[1]
+    side = max(1, min(count // RUNS, TILE_BYTES * count // (2 * whole)))
+    needs = written(_tiles(pairs, side), "ego-tiles")
+    sent, tiles = needs.count(), needs.select("p", "q").distinct().count()
+    rounds = max(1, math.ceil(sent * whole / count / max(whole, ROUND_BYTES)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = {c: table.column(c).combine_chunks() for c in ("a", "b", "n", "dim", "v")}
+        row = {block: r for r, block in enumerate(table.column("block").to_pylist())}
+
+        def numpy(c, r):
+            return column[c][r].values.to_numpy(zero_copy_only=False)
+
+        a, b, weight = (np.concatenate([numpy(c, r) for r in row.values()]) for c in ("a", "b", "n"))
+        base = dict(zip(row, np.cumsum([0] + [len(numpy("n", r)) for r in row.values()])))
+        units = {}
+        for block, r in row.items():  # by dimension: places in the tile, unit vectors
+            dims, values = numpy("dim", r), numpy("v", r)
+            at = np.concatenate([[0], np.cumsum(dims, dtype=np.int64)])
+            units[block] = {int(d): (base[block] + (rows := np.nonzero(dims == d)[0]), unit(values[at[rows][:, None] + np.arange(d)])) for d in np.unique(dims)}
+        more, root = np.zeros(len(a), np.int64), np.arange(len(a))
+        for x, js in zip(row, table.column("js").to_pylist()):
+            for y in js:
+                for dim in units[x].keys() & units[y].keys():
+                    (rx, ux), (ry, uy) = units[x][dim], units[y][dim]
+                    i, j = join_intervals(ux, None if x == y else uy, axes_for(axes, dim), least)
+                    if len(i):
+                        i, j = rx[i], ry[j]
+                        more += (np.bincount(i, weight[j], len(a)) + np.bincount(j, weight[i], len(a))).astype(np.int64)
+                        root = forest(len(a), root[i], root[j])[root]
+        hit = np.nonzero(more)[0]
+        return pa.table({"a": a[hit], "b": b[hit], "more": more[hit], "ra": a[root[hit]], "rb": b[root[hit]]})
+
+    def linked(k):
+        here = needs.where(F.pmod(F.xxhash64("p", "q"), F.lit(rounds)) == k)  # about as many rows as there are intervals
+        met = blocks.join(F.broadcast(here), "block").repartition(max(1, math.ceil(tiles / rounds)), "p", "q")
+        return written(met.groupBy("p", "q").applyInArrow(run, "a long, b long, more long, ra long, rb long"), "ego-links")
+    return [linked(k) for k in range(rounds)]
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
@@ -224,7 +238,11 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     sample = classes.where(F.col("dim") == dim).orderBy("a", "b").limit(SAMPLE).select("v").toPandas()["v"]
     axes = principal_axes(unit(np.stack(sample.to_list())))
     boxes, blocks = _intervals(classes, axes, eps, count)
-    found = written(_compare(_pairs(boxes, eps, math.ceil(count / BLOCK)), blocks, axes, least), "ego-links")
+    names = written(classes.select("a", "b", "least", "n"), "ego-ids")
+    discard(classes)  # the vectors are in the intervals
+    classes = names
+    found = reduce(DataFrame.union, _compare(_pairs(boxes, eps, math.ceil(count / BLOCK)), blocks, axes, least))
+    discard(blocks)
     more = found.groupBy("a", "b").agg(F.sum("more").alias("more"))
     node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     roots = components(found.select(node("a", "b").alias("u"), node("ra", "rb").alias("v")), "ego")

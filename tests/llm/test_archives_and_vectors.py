@@ -133,3 +133,31 @@ def test_oracle(spark, key):
     assert cols == sorted(rel.columns)
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted(
         (tuple(r) for r in rel.project(", ".join(cols)).fetchall()), key=repr)
+
+
+def test_embedding_links_in_tiles_and_rounds(spark, monkeypatch):
+    """Tiles of several intervals in several rounds give all pairs' links; an interval is sent to a tile once, not with each of its pairs."""
+    from relscope.llm.common import written
+    monkeypatch.setattr(ego_join, "BLOCK", 16)
+    monkeypatch.setattr(ego_join, "RUNS", 4)
+    monkeypatch.setattr(ego_join, "ROUND_BYTES", 1)
+    rng = np.random.default_rng(6)
+    v = (rng.normal(size=(12, 8))[rng.integers(0, 12, 300)] + rng.normal(0, 0.2, (300, 8))).astype(np.float32)
+    v = np.concatenate([v, v[:9]])
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(400 + i, v[i].tolist()[:5]) for i in range(40)]
+    rounds = []
+    monkeypatch.setattr(ego_join, "written", lambda df, name: rounds.append(name) or written(df, name))
+    got = ego_join.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    ids, dims = np.array([i for i, _ in data]), np.array([len(x) for _, x in data])
+    m = np.zeros((len(data), len(data)), bool)
+    for d in (8, 5):
+        at = np.nonzero(dims == d)[0]
+        u = ego_join.unit(np.array([data[i][1] for i in at]))
+        m[np.ix_(at, at)] = u @ u.T >= 0.9
+    np.fill_diagonal(m, False)
+    root = forest(len(data), *np.nonzero(m))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(int(i), int(n), int(ids[q])) for i, n, q in zip(ids, m.sum(1), root)]
+    assert rounds.count("ego-links") > 2
+    pairs = spark.range(8).selectExpr("id AS i").crossJoin(spark.range(8).selectExpr("id AS j")).where("i <= j")
+    tiles = ego_join._tiles(pairs, 4).collect()
+    assert len(tiles) == 4 + 8 + 4 and sorted((t.block, j) for t in tiles for j in t.js) == [(i, j) for i in range(8) for j in range(i, 8)]
