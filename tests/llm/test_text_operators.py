@@ -575,3 +575,28 @@ def test_lines_of_any_length_meet_at_one_rare_piece(spark):
     d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     gone = {x.doc_id for x in L.dedup_lines(d).where("__lines_gone > 0").collect()}
     assert {i + 1 for i in one} <= gone and not any(i % 2 == 0 for i in gone)
+
+
+def test_line_dedup_removes_its_large_tables_and_blocks_meet_in_slices(spark, monkeypatch):
+    """Slices of blocks give the pairs of one; sketches, texts and pairs are gone from the scratch folder while the result is still to be read."""
+    import os
+    from itertools import combinations
+    from relscope.llm import line_dedup as L
+    monkeypatch.setattr(L, "BLOCK", 4)
+    s = spark.createDataFrame([(g, False, (u + 1) << 16 | 50, u, u // 4, 4) for g in (1, 2) for u in range(20)], "g long, one boolean, x long, c long, i int, last int")
+    met = [[((r.x >> 16) - 1, (r.y >> 16) - 1) for r in L.block_pairs(s, "TRUE", k, 3).collect()] for k in range(3)]
+    assert sorted(p for m in met for p in m) == sorted(2 * [*combinations(range(20), 2)]) and sum(map(bool, met)) > 1
+    tables, write = {}, L.written
+
+    def written(df, name):
+        out = write(df, name)
+        tables.setdefault(name, []).append(out)
+        tables[name, len(tables[name])] = [f.removeprefix("file:").removeprefix("//") for f in out.inputFiles()]
+        return out
+    monkeypatch.setattr(L, "written", written)
+    lines = [PROSE + f" {i}" for i in range(40)]
+    out = L.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    for name in ("lines-units", "lines-pairs", "lines-texts", "lines-short", "lines-shared"):
+        files = [f for k, v in tables.items() if k[0] == name and isinstance(k, tuple) for f in v]
+        assert files and not any(map(os.path.exists, files)), name
+    assert out.where("__lines_gone > 0").count() == 39
